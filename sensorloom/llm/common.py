@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,23 +74,25 @@ def fold(column: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % parts
 
 
-def prefix_sums(df: DataFrame, order: list[Column], value: str, out: str, partitions: int | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, order: list[Column], value: str, out: str, part: str | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows before, in a total order.
 
     Rows are dealt by ranges of the order; only one total per range goes to the driver. The
-    ranges must not change between the two passes, so the dealt rows are staged.
+    ranges must not change between the two passes, so the dealt rows are staged. ``part`` names
+    a column for the number of a row's range.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     dealt = stage(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranges")
     totals = {r["_part"]: r["t"] or 0 for r in dealt.groupBy("_part").agg(F.sum(value).alias("t")).collect()}
     before, run = {}, 0
-    for part in sorted(totals):
-        before[part], run = run, run + totals[part]
+    for k in sorted(totals):
+        before[k], run = run, run + totals[k]
     inside = F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
     base = spark.createDataFrame([(p, b) for p, b in before.items()] or [(-1, 0)], "_part int, _base long")
-    return dealt.join(F.broadcast(base), "_part").withColumn(out, F.col("_base") + F.coalesce(inside, F.lit(0))).drop("_part", "_at", "_base")
+    rows = dealt.join(F.broadcast(base), "_part").withColumn(out, F.col("_base") + F.coalesce(inside, F.lit(0)))
+    return (rows.withColumn(part, F.col("_part")) if part else rows).drop("_part", "_at", "_base")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
@@ -116,3 +120,31 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("lo").alias("node")).distinct()
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component_id")).union(roots.select("node", F.col("node")))
+
+
+#: A key filter never has more bits than this (8 MB broadcast).
+MAX_FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, key: str):
+    """A function from a long column to boolean: false only for values that are not among the keys.
+
+    A bitmap with one bit per hashed key. Its size is bounded; once full it lets more rows
+    through, which the exact join behind it sorts out.
+    """
+    spark = keys.sparkSession
+    n = max(1, keys.count())
+    bits = min(MAX_FILTER_BITS, 1 << max(12, (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
+    words = keys.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("v"))
+    found = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    table = np.zeros(bits // 64, dtype=np.int64)
+    table[found["w"].to_numpy()] = found["v"].to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def held(p: pd.Series) -> pd.Series:
+        at = p.to_numpy().astype(np.int64)
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return lambda column: held(F.pmod(F.xxhash64(column.cast("long")), F.lit(bits)))

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing
+from . import decontaminate, mixing, neardup, quality, tokenstore
 from .common import read
 
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 QUERIES = {
+    "op1_tokenstore": lambda spark, sf: tokenstore.report(read(spark, sf, "documents"), vocabulary()),
+    "op5_quality": lambda spark, sf: quality.report(read(spark, sf, "documents"), read(spark, sf, "labels")),
+    "op6_neardup": lambda spark, sf: neardup.report(read(spark, sf, "documents")),
     "op9_decontaminate": lambda spark, sf: decontaminate.report(read(spark, sf, "documents"), read(spark, sf, "benchmark")),
     "op10_mixing": lambda spark, sf: mixing.report(read(spark, sf, "documents")),
 }
