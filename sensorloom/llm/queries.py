@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, quality, tokenstore
+from . import decontaminate, lmscore, mixing, neardup, quality, substrings, tokenstore, toxicity, vectors
 from .common import read
 
 
@@ -15,11 +15,16 @@ def vocabulary() -> str:
 
 QUERIES = {
     "op1_tokenstore": lambda spark, sf: tokenstore.report(read(spark, sf, "documents"), vocabulary()),
+    "op3_vectors": lambda spark, sf: vectors.report(read(spark, sf, "embeddings")),
+    "op4_lmscore": lambda spark, sf: lmscore.report(read(spark, sf, "documents")),
     "op5_quality": lambda spark, sf: quality.report(read(spark, sf, "documents"), read(spark, sf, "labels")),
     "op6_neardup": lambda spark, sf: neardup.report(read(spark, sf, "documents")),
+    "op7_toxicity": lambda spark, sf: toxicity.report(read(spark, sf, "documents"), read(spark, sf, "labels")),
+    "op8_substrings": lambda spark, sf: substrings.report(read(spark, sf, "documents")),
     "op9_decontaminate": lambda spark, sf: decontaminate.report(read(spark, sf, "documents"), read(spark, sf, "benchmark")),
     "op10_mixing": lambda spark, sf: mixing.report(read(spark, sf, "documents")),
 }
 ORACLE_SQL = {
+    "op8_substrings": substrings.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,
 }
