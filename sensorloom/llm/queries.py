@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lmscore, mixing, neardup, quality, substrings, tokenstore, toxicity, vectors
+from . import decontaminate, html, lmscore, mixing, neardup, quality, substrings, tokenstore, toxicity, vectors
 from .common import read
 
 
@@ -15,6 +15,7 @@ def vocabulary() -> str:
 
 QUERIES = {
     "op1_tokenstore": lambda spark, sf: tokenstore.report(read(spark, sf, "documents"), vocabulary()),
+    "op2_html": lambda spark, sf: html.report(read(spark, sf, "pages")),
     "op3_vectors": lambda spark, sf: vectors.report(read(spark, sf, "embeddings")),
     "op4_lmscore": lambda spark, sf: lmscore.report(read(spark, sf, "documents")),
     "op5_quality": lambda spark, sf: quality.report(read(spark, sf, "documents"), read(spark, sf, "labels")),
