@@ -10,8 +10,8 @@ from dataclasses import dataclass, field
 from .errors import IncomparableSampling, SchemaError
 
 BASES = ("TIME_WEIGHTED", "EVENT_WEIGHTED")
-RETRIEVALS = ("RECORDED", "INTERPOLATED", "SAMPLED", "UNKNOWN")
-AGGREGATES = ("NONE", "AVERAGE", "MINIMUM", "MAXIMUM", "TOTAL", "COUNT")
+RETRIEVALS = ("RECORDED", "INTERPOLATED")
+AGGREGATES = ("NONE", "OPC_UA_AVERAGE", "OPC_UA_TIME_AVERAGE")
 ROLES = ("PV", "SP", "OP", "MODE")
 SEVERITIES = ("BAD", "UNCERTAIN", "GOOD")
 
@@ -24,8 +24,8 @@ class SamplingContract:
     stepped: bool = False
 
     def digest(self) -> str:
-        """SHA-256 over the four settings as key=value, joined by bars."""
-        text = f"basis={self.basis}|retrieval={self.retrieval}|aggregate={self.aggregate}|stepped={self.stepped}"
+        """SHA-256 over the four settings as key=value, joined by bars; the text form is fixed."""
+        text = f"calculation_basis={self.basis}|retrieval_mode={self.retrieval}|aggregate_type={self.aggregate}|stepped={self.stepped}"
         return hashlib.sha256(text.encode()).hexdigest()
 
 
