@@ -28,8 +28,11 @@ FLOAT32_MAX = 3.4028234663852886e38
 
 def numeric_code(quality: Column) -> Column:
     """Integer view of a code: digits, or an integral decimal; anything else is null."""
-    s = F.trim(quality)
-    return F.when(s.rlike(r"^[+-]?[0-9]{1,18}(\.0*)?$"), F.regexp_extract(s, r"^([+-]?[0-9]+)", 1).try_cast("bigint"))
+    return F.regexp_extract(F.trim(quality), r"^([+-]?[0-9]{1,18})(\.0*)?$", 1).try_cast("bigint")
+
+
+def _table(entries: dict) -> Column:
+    return F.create_map(*(F.lit(x) for kv in entries.items() for x in kv))
 
 
 def _declared(quality: Column, codes: Column | None) -> Column:
@@ -39,34 +42,28 @@ def _declared(quality: Column, codes: Column | None) -> Column:
     return F.coalesce(F.try_element_at(codes, quality), F.try_element_at(folded, F.upper(F.trim(quality))))
 
 
-def _lookup(key: Column, table: dict) -> Column:
-    out = None
-    for severity in ("GOOD", "UNCERTAIN", "BAD"):
-        names = [k for k, v in table.items() if v == severity]
-        if names:
-            out = F.when(key.isin(names), severity) if out is None else out.when(key.isin(names), severity)
-    return out
+def severity(quality: Column, codes: Column | None = None, code: Column | None = None) -> Column:
+    """Declared code, then digital state, then status bits, then vendor string, else UNCERTAIN.
 
-
-def severity(quality: Column, codes: Column | None = None) -> Column:
-    """Declared code, then digital state, then status bits, then vendor string, else UNCERTAIN."""
-    code = numeric_code(quality)
-    top, info = F.shiftright(code, 30), code.bitwiseAND(F.lit(0xFFFF))
-    base = code - info
-    good = ((info == 0) | (info.bitwiseAND(F.lit(0x0C00)) != 0)) & base.isin(list(GOOD_STATUS))
-    bits = F.when(code.isNull(), F.lit(None)).when(top == 0, F.when(good, "GOOD").otherwise("UNCERTAIN")).when(top == 1, "UNCERTAIN").otherwise("BAD")
-    return F.coalesce(_declared(quality, codes), _lookup(code, DIGITAL_SEVERITY), bits, _lookup(F.upper(F.trim(quality)), STRING_SEVERITY), F.lit("UNCERTAIN"))
+    ``code`` is the numeric view where a column already holds it.
+    """
+    code = numeric_code(quality) if code is None else code
+    info = code.bitwiseAND(F.lit(0xFFFF))
+    good = (code - info).isin(list(GOOD_STATUS)) & ((info == 0) | (info.bitwiseAND(F.lit(0x0C00)) != 0))
+    bits = F.when((code < 0) | (code >= 1 << 31), "BAD").when(good, "GOOD").when(code.isNotNull(), "UNCERTAIN")
+    digital = F.try_element_at(_table(DIGITAL_SEVERITY), code.try_cast("int"))
+    return F.coalesce(_declared(quality, codes), digital, bits, F.try_element_at(_table(STRING_SEVERITY), F.upper(F.trim(quality))), F.lit("UNCERTAIN"))
 
 
-def unmapped(quality: Column, codes: Column | None = None) -> Column:
+def unmapped(quality: Column, codes: Column | None = None, code: Column | None = None) -> Column:
     """Whether no rule but the last said anything about the code."""
-    code = numeric_code(quality)
+    code = numeric_code(quality) if code is None else code
     known = F.upper(F.trim(quality)).isin(list(STRING_SEVERITY)) | code.isin(list(DIGITAL_SEVERITY)) | (F.shiftright(code, 30) == 1)
-    return (severity(quality, codes) == "UNCERTAIN") & _declared(quality, codes).isNull() & ~F.coalesce(known, F.lit(False))
+    return (severity(quality, codes, code) == "UNCERTAIN") & _declared(quality, codes).isNull() & ~F.coalesce(known, F.lit(False))
 
 
 def rank(severity_name: Column) -> Column:
-    return F.when(severity_name == "GOOD", 2).when(severity_name == "UNCERTAIN", 1).otherwise(0).cast("tinyint")
+    return (F.array_position(F.array(*map(F.lit, sorted(RANK, key=RANK.get))), severity_name) - 1).cast("tinyint")
 
 
 def clipped(value: Column, code: Column, zero: Column, span: Column) -> Column:
@@ -81,8 +78,9 @@ def annotate(samples: DataFrame, codes: str | None = None, least: str = "GOOD")
     A value on a digital state is nulled; NaN is no value. MODE rows (with ``state``) are valid by their state.
     """
     q, c = F.col("quality"), F.col(codes) if codes else None
-    out = samples.withColumn("q_num", numeric_code(q)).withColumn("severity", severity(q, c)).withColumn("unmapped", unmapped(q, c))
-    out = out.withColumn("sev_rank", rank(F.col("severity"))).withColumn("is_digital_state", F.coalesce(F.col("q_num").isin(list(DIGITAL_SEVERITY)), F.lit(False)))
+    out = samples.withColumn("q_num", numeric_code(q))
+    out = out.withColumns({"severity": severity(q, c, F.col("q_num")), "unmapped": unmapped(q, c, F.col("q_num")), "is_digital_state": F.coalesce(F.col("q_num").isin(list(DIGITAL_SEVERITY)), F.lit(False))})
+    out = out.withColumn("sev_rank", rank(F.col("severity")))
     value = F.when(~F.col("is_digital_state") & ~F.isnan("value"), F.col("value"))
     has = F.coalesce(F.col("state").isNotNull(), F.lit(False)) | value.isNotNull() if "state" in samples.columns else value.isNotNull()
-    return out.withColumn("valid", (F.col("sev_rank") >= RANK[least]) & has).withColumn("value", value)
+    return out.withColumn("valid", ((F.col("severity") == "GOOD") if least == "GOOD" else (F.col("sev_rank") >= RANK[least])) & has).withColumn("value", value)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .features import mad
-from .physics import BY_ROW, TAG
+from .physics import TAG, by_row
 
 # Consistency factors of the normal distribution, and Shewhart's table for n = 2 to 10.
 MAD_SCALE = 1.4826
@@ -36,7 +36,7 @@ def mad_baseline(valid: DataFrame) -> DataFrame:
 
 def moving_range_baseline(valid: DataFrame) -> DataFrame:
     """tag, n, center (median), scale (mean absolute difference of neighbours / 1.128)."""
-    steps = valid.withColumn("step", F.abs(F.col("value") - F.lag("value").over(BY_ROW)))
+    steps = valid.withColumn("step", F.abs(F.col("value") - F.lag("value").over(by_row())))
     return steps.groupBy(*TAG).agg(F.count("value").alias("n"), F.median("value").alias("center"), (F.avg("step") / MOVING_RANGE_D2).alias("scale"))
 
 
@@ -80,8 +80,8 @@ def chart(valid: DataFrame, baselines: DataFrame) -> DataFrame:
 
 def _islands(rows: DataFrame, sign: Column) -> DataFrame:
     """Adds place: the position of a row in its run of one sign."""
-    marked = rows.withColumn("_s", sign).withColumn("_new", (~F.col("_s").eqNullSafe(F.lag("_s").over(BY_ROW))).cast("int"))
-    marked = marked.withColumn("_run", F.sum("_new").over(BY_ROW))
+    marked = rows.withColumn("_s", sign).withColumn("_new", (~F.col("_s").eqNullSafe(F.lag("_s").over(by_row()))).cast("int"))
+    marked = marked.withColumn("_run", F.sum("_new").over(by_row()))
     return marked.withColumn("place", F.row_number().over(Window.partitionBy(*TAG, "_run").orderBy("row_ix"))).drop("_new", "_run")
 
 
@@ -96,7 +96,7 @@ def run_of_nine(charted: DataFrame, length: int = 9) -> DataFrame:
 
 def trend_of_six(charted: DataFrame, steps: int = 5) -> DataFrame:
     """Every row from the fifth of equally signed steps on."""
-    step = F.signum(F.col("value") - F.lag("value").over(BY_ROW))
+    step = F.signum(F.col("value") - F.lag("value").over(by_row()))
     return _islands(charted, step).where((F.col("place") >= steps) & (F.col("_s") != 0)).drop("_s", "place")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .physics import BY_ROW, TAG, intervals, seconds
+from .physics import TAG, by_row, intervals, seconds
 
 
 def mad(values: DataFrame, keys: list[str] = TAG, value: str = "value") -> DataFrame:
@@ -18,7 +18,7 @@ def mad(values: DataFrame, keys: list[str] = TAG, value: str = "value") -> DataF
 
 def changes(valid: DataFrame) -> DataFrame:
     """Adds prev and changed: whether a value differs from the valid one before."""
-    return valid.withColumn("prev", F.lag("value").over(BY_ROW)).withColumn("changed", F.coalesce(F.col("value") != F.col("prev"), F.lit(False)))
+    return valid.withColumn("prev", F.lag("value").over(by_row())).withColumn("changed", F.coalesce(F.col("value") != F.col("prev"), F.lit(False)))
 
 
 def stall(valid: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def stall(valid: DataFrame) -> DataFrame:
 
 def constant_runs(valid: DataFrame) -> DataFrame:
     """Runs of equal values over valid rows: tag, run, value, start, end, n, duration_s."""
-    rows = changes(valid).withColumn("run", F.sum((F.col("changed") | F.col("prev").isNull()).cast("int")).over(BY_ROW))
+    rows = changes(valid).withColumn("run", F.sum((F.col("changed") | F.col("prev").isNull()).cast("int")).over(by_row()))
     return rows.groupBy(*TAG, "run").agg(F.first("value").alias("value"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n")).withColumn("duration_s", seconds(F.col("end"), F.col("start")))
 
 
@@ -107,5 +107,5 @@ def population_baseline(windows: DataFrame) -> DataFrame:
 
 def flag_runs(valid: DataFrame, flag: str) -> DataFrame:
     """Flagged rows as runs over the valid sequence: tag, start, end, n."""
-    rows = valid.withColumn("run", F.sum((~F.col(flag)).cast("int")).over(BY_ROW)).where(flag)
+    rows = valid.withColumn("run", F.sum((~F.col(flag)).cast("int")).over(by_row())).where(flag)
     return rows.groupBy(*TAG, "run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n")).drop("run")

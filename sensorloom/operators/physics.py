@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TAG = ["source_id", "point_id"]
-BY_ROW = Window.partitionBy(*TAG).orderBy("row_ix")
+
+
+def by_row():
+    """A tag's rows in stored order."""
+    return Window.partitionBy(*TAG).orderBy("row_ix")
+
+
 LOST = ("comm_outage", "scan_off", "unknown")
 NO_MEDIAN_S = 3600.0
 
@@ -30,7 +36,7 @@ def window(samples: DataFrame, start: datetime, end: datetime) -> DataFrame:
 
 def intervals(samples: DataFrame) -> DataFrame:
     """Adds dt: seconds since the row before, over all rows whatever their severity."""
-    return samples.withColumn("dt", seconds(F.col("ts"), F.lag("ts").over(BY_ROW)))
+    return samples.withColumn("dt", seconds(F.col("ts"), F.lag("ts").over(by_row())))
 
 
 def thresholds(samples: DataFrame) -> DataFrame:
@@ -119,7 +125,7 @@ def clipping(samples: DataFrame, zero: Column, span: Column) -> DataFrame:
 
 def stamp_audit(samples: DataFrame) -> DataFrame:
     """tag, n, n_backwards, n_duplicate_stamps (distinct stamps seen more than once)."""
-    back = samples.withColumn("back", F.col("ts") < F.lag("ts").over(BY_ROW))
+    back = samples.withColumn("back", F.col("ts") < F.lag("ts").over(by_row()))
     turns = back.groupBy(*TAG).agg(F.count(F.lit(1)).alias("n"), F.count_if("back").alias("n_backwards"))
     twice = samples.groupBy(*TAG, "ts").count().where("count > 1").groupBy(*TAG).agg(F.count(F.lit(1)).alias("n_duplicate_stamps"))
     return turns.join(twice, TAG, "left").na.fill(0, ["n_duplicate_stamps"])
@@ -134,7 +140,7 @@ def monotonic_refusals(samples: DataFrame, step: str = "read") -> DataFrame:
 def time_weighted_mean(annotated: DataFrame, end: Column | None = None) -> DataFrame:
     """tag, tw_mean: a GOOD value holds until the next one, the last until ``end``; null where no time passes."""
     good = annotated.where((F.col("severity") == "GOOD") & F.col("value").isNotNull())
-    after = F.coalesce(F.lead("ts").over(BY_ROW), end if end is not None else F.col("ts"))
+    after = F.coalesce(F.lead("ts").over(by_row()), end if end is not None else F.col("ts"))
     w = good.withColumn("w", F.greatest(F.lit(0.0), seconds(after, F.col("ts"))))
     total = F.sum("w")
     return w.groupBy(*TAG).agg(F.when(total > 0, F.sum(F.col("value") * F.col("w")) / total).alias("tw_mean"))
