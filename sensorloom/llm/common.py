@@ -24,6 +24,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of one Arrow batch between the JVM and Python; a worker holds a few times as much.
+BATCH = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Keeps Arrow batches small, so that long texts don't add up in a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(key)
+    if not (size.rstrip("b").isdigit() and 0 < int(size.rstrip("b")) <= BATCH):
+        spark.conf.set(key, str(BATCH))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a folder of our own only where none is configured."""
     sc = spark.sparkContext

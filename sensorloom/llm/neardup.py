@@ -1,16 +1,16 @@
 """MinHash near-duplicates with odd sketches.
 
-A document's set holds its distinct word shingles (of three words by default) as 64-bit hashes. Documents of equal sets
-form one class. Each class gets ``SAMPLES`` MinHash values: the first ``BANDS * ROWS`` of them
-form the band keys of the candidate search, and all are folded into an odd sketch, a parity
-bitmap whose XOR population count estimates the similarity of two sets. Candidates that the
-sketches leave open are confirmed on the full sets.
-
-No bucket is expanded into all its pairs. Every class is first compared with the leader of each
-of its buckets. Where the links found leave a bucket in several components, each class outside
-the bucket's largest component meets its other partners in the order of their estimates, a page
-at a time, until none is left that is in another component; so no link between components is
-missed and linked groups cost a few comparisons per member. Hot leaders and buckets are salted.
+A document's set holds its distinct word shingles (of three words by default) as 64-bit hashes.
+Documents of equal sets form one class. Each class gets MinHash values: bands of ``ROWS`` of them
+form the keys of the candidate search, and all are folded into an odd sketch, a parity bitmap
+whose XOR population count estimates the similarity of two sets. Candidates that the sketches
+leave open are confirmed on the full sets.
+
+No bucket is expanded into its pairs. Classes that share buckets, directly or through others,
+form a coarse group, which no link leaves. A group's classes meet in blocks of ``BLOCK`` (a larger
+group in all pairs of its blocks), each set shipped once per block pair; there a pair is only
+looked at while its two classes are in different components, first by its sketches, then on the
+full sets. One edge per class comes out, to the smallest of its component.
 
 Defined cases: null and empty texts, and texts of white space, have an empty set, link with
 nothing and stay; fewer words than a shingle form one; repeated rows are copies of each
@@ -21,57 +21,51 @@ other columns pass through ``keep`` untouched.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, key_filter, stage
+from .common import bounded, components, key_filter, stage
+from .streams import per_group
+from .wordhash import M1, M3, hashes, mixed, windows
 
 SHINGLE = 3
 PERCENT = 85
-#: A pair of 0.85 shares no band with probability (1 - 0.85 ** 4) ** 20 = 4e-7, one of 0.8 with 3e-5.
-BANDS, ROWS = 20, 4
-SAMPLES = 128
+#: Rows of a band; the number of bands keeps the chance to miss a pair at the threshold under MISS.
+ROWS = 4
+MISS = 5e-7
 BITS = 512
 #: Sketch estimates this much under the similarity asked for, about five standard errors, are no candidates.
 MARGIN = 0.19
-PAGE = 4
-GROUP = 2048
+BLOCK = 1024
+#: Groups of more than one block joined by broadcast up to this many rows.
+MAX_BROADCAST = 100_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _draw = np.random.default_rng(20240601)
-_A = (_draw.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_B = _draw.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)[:, None]
-_P = _draw.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
+_A = (_draw.integers(0, 1 << 31, 1024, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_B = _draw.integers(0, 1 << 32, 1024, dtype=np.uint32)[:, None]
+_P = _draw.integers(0, 1 << 63, 1024, dtype=np.uint64)
 
 
-def most_bits(percent: int) -> int:
-    """Most differing sketch bits of a candidate pair: half of BITS * (1 - (1 - 2 / BITS) ** d) at d differing entries."""
-    differing = 2 * SAMPLES * (1 - (percent / 100 - MARGIN))
-    return round(BITS / 2 * (1 - (1 - 2 / BITS) ** differing))
-
-
-class _Words(dict):
-    """64-bit hashes of words, remembered; emptied at a million words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def bands_for(percent: int) -> int:
+    """20 bands at 85 %, 28 at 80 %."""
+    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
 
 
-_WORDS = _Words()
+def samples_for(percent: int) -> int:
+    return max(128, ROWS * bands_for(percent))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _M2
-    return x ^ (x >> np.uint64(29))
+def most_bits(percent: int) -> int:
+    """Most differing sketch bits of a candidate pair: half of BITS * (1 - (1 - 2 / BITS) ** d) at d differing entries."""
+    differing = 2 * samples_for(percent) * (1 - (percent / 100 - MARGIN))
+    return round(BITS / 2 * (1 - (1 - 2 / BITS) ** differing))
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -79,55 +73,76 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    w = hashes(words)
     n = max(1, len(w) - size + 1)
-    h = np.full(n, min(len(w), size), np.uint64)
-    for i in range(min(size, len(w))):
-        h = mixed(h * _M1 + w[i : i + n] + _M3)
-    return np.unique(h)
+    return np.unique(windows(w, np.arange(n), min(size, len(w))))
 
 
-def minhashes(hashes: np.ndarray) -> np.ndarray:
-    """``SAMPLES`` minima of multiply-add hashes."""
-    x = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+def minhashes(found: np.ndarray, samples: int) -> np.ndarray:
+    """Minima of multiply-add hashes."""
+    x = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.full(samples, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 2048):
-        least = np.minimum(least, (_A * x[None, i : i + 2048] + _B).min(axis=1))
+        least = np.minimum(least, (_A[:samples] * x[None, i : i + 2048] + _B[:samples]).min(axis=1))
     return least
 
 
 def odd_sketch(least: np.ndarray) -> np.ndarray:
     """Parity bitmap of the (sample, minimum) pairs, as 64-bit words."""
-    at = mixed(least.astype(np.uint64) * _M1 + _P) % np.uint64(BITS)
+    at = mixed(least.astype(np.uint64) * M1 + _P[: len(least)]) % np.uint64(BITS)
     odd = np.bincount(at.astype(np.int64), minlength=BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _M3
-    for i in range(ROWS):
-        key = mixed(key * _M1 + least[i : BANDS * ROWS : ROWS].astype(np.uint64))
-    return key.view(np.int64)
-
-
-def estimate(bits: np.ndarray) -> np.ndarray:
+def estimate(bits: np.ndarray, samples: int) -> np.ndarray:
     """Similarity from differing sketch bits."""
-    return 1 + BITS / (4 * SAMPLES) * np.log(np.maximum(1 - 2 * bits / BITS, 1e-9))
+    return 1 + BITS / (4 * samples) * np.log(np.maximum(1 - 2 * bits / BITS, 1e-9))
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """100 * intersection >= percent * union, on the full sets (sorted, distinct)."""
-    lo, hi = sorted((len(a), len(b)))
-    if 100 * lo < percent * hi or not lo:
-        return False
-    at = np.searchsorted(a, b)
-    at[at == len(a)] = 0
-    both = int((a[at] == b).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
+    key = np.arange(1, bands + 1, dtype=np.uint64) * M3
+    for i in range(ROWS):
+        key = mixed(key * M1 + least[i : bands * ROWS : ROWS].astype(np.uint64))
+    return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+def linked(one: np.ndarray, many: list[np.ndarray], percent: int) -> np.ndarray:
+    """100 * intersection >= percent * union with each of many, on the full sets (sorted, distinct)."""
+    size = np.array([len(m) for m in many])
+    good = (100 * np.minimum(size, len(one)) >= percent * np.maximum(size, len(one))) & (size > 0)
+    if not good.any():
+        return good
+    rest = [m for m, g in zip(many, good, strict=True) if g]
+    flat, ends = np.concatenate(rest), np.cumsum(size[good])
+    at = np.searchsorted(one, flat)
+    at[at == len(one)] = 0
+    both = np.add.reduceat(one[at] == flat, ends - size[good], dtype=np.int64)
+    good[good] = 100 * both >= percent * (len(one) + size[good] - both)
+    return good
+
+
+def link_block(sketches: np.ndarray, sets: list[np.ndarray], side: np.ndarray, same: bool, percent: int, most: int) -> np.ndarray:
+    """Smallest row linked with each row, directly or through others; sides meet unless ``same``."""
+    n = len(sets)
+    label = np.arange(n)
+    other = np.arange(n) if same else np.flatnonzero(side == 1)
+    for i in range(n) if same else np.flatnonzero(side == 0):
+        rest = other[other > i] if same else other
+        rest = rest[label[rest] != label[i]]
+        rest = rest[np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1) <= most]
+        while len(rest):
+            now, rest = rest[:256], rest[256:]
+            for j in now[linked(sets[i], [sets[k] for k in now], percent)]:
+                a, b = sorted((label[i], label[j]))
+                if a != b:
+                    label[label == b] = a
+            rest = rest[label[rest] != label[i]]
+    return label
+
+
+def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """rid, doc_id, n_shingles, digest (null if the set is empty), bands, sketch."""
+    bands, samples = bands_for(percent), samples_for(percent)
 
     @F.pandas_udf("n long, digest binary, bands array<long>, sketch array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -136,8 +151,8 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
             for t in texts:
                 h = shingles(t, size)
                 if len(h):
-                    least = minhashes(h)
-                    rows.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), band_keys(least), odd_sketch(least)))
+                    least = minhashes(h, samples)
+                    rows.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), band_keys(least, bands), odd_sketch(least)))
                 else:
                     rows.append((0, None, None, None))
             yield pd.DataFrame(rows, columns=["n", "digest", "bands", "sketch"])
@@ -146,65 +161,29 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     return rows.select("rid", "doc_id", F.col("s.n").alias("n_shingles"), "s.digest", "s.bands", "s.sketch")
 
 
-def _anew(df: DataFrame) -> DataFrame:
-    """The same columns under new names inside, for a cogroup of related tables."""
-    return df.select([F.col(c).alias(c) for c in df.columns])
-
-
-def _open_pairs(pairs: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
-    """Pairs (a, b) that their sketches don't rule out."""
-    s = nodes.select("cid", "sketch")
-    both = pairs.join(s.withColumnsRenamed({"cid": "a", "sketch": "sa"}), "a").join(s.withColumnsRenamed({"cid": "b", "sketch": "sb"}), "b")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return both.where(apart <= bits).select("a", "b")
-
+def _links(held: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between classes of coarse groups. held: cid, coarse, sketch, set."""
+    sizes = held.groupBy("coarse").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    blocks = stage(sizes.select("coarse", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot")
+    if blocks.count() <= MAX_BROADCAST:
+        blocks = F.broadcast(blocks)
+    rows = held.join(blocks, "coarse", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("coarse", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cid", "sketch", "set")
+    most = most_bits(percent)
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links. a is the shared side; a hot one is salted."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    left = parts.join(sets.withColumnRenamed("cid", "a"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    right = right.join(sets.withColumnRenamed("cid", "b"), "b").select("a", "part", "b", "set")
-    left, right = _anew(left.select("a", "part", "set")), _anew(right)
+    def run(table) -> list[tuple]:
+        n = len(table)
+        if n < 2:
+            return []
+        sketches = np.asarray(table["sketch"].combine_chunks().flatten()).reshape(n, -1).view(np.uint64)
+        sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        cid, same = table["cid"].to_numpy(), table["bi"][0] == table["bj"][0]
+        label = link_block(sketches, sets, table["side"].to_numpy(), same, percent, most)
+        return [(int(cid[k]), int(cid[i])) for i, k in enumerate(label) if k != i]
 
-    def check(key, one: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
-        if not len(one) or not len(many):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        a = np.frombuffer(one["set"].iloc[0], np.uint64)
-        good = [linked(a, np.frombuffer(x, np.uint64), percent) for x in many["set"]]
-        return many.loc[good, ["a", "b"]]
-
-    return left.groupBy("a", "part").cogroup(right.groupBy("a", "part")).applyInPandas(check, "a long, b long")
-
-
-def _pages(buckets: DataFrame, page: int, most: int) -> DataFrame:
-    """Pairs of each class outside its bucket's largest component and its partners up to page ``page``.
-
-    buckets: key, cid, label, sketch, home (the largest component), salts.
-    """
-    away = F.col("label") != F.col("home")
-    rows = buckets.select("key", "cid", "label", "sketch", "home", "salts", F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int").alias("own"))
-    ask = rows.where(away).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("key", "own", "other", "cid", "label", "sketch")
-    tell = rows.withColumn("other", F.col("own")).withColumn("own", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("key", "own", "other", "cid", "label", "sketch")
-
-    def rank(key, asks: pd.DataFrame, tells: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, bool]] = []
-        if len(asks) and len(tells):
-            s = np.stack(tells["sketch"].to_numpy()).view(np.uint64)
-            ids, labels = tells["cid"].to_numpy(), tells["label"].to_numpy()
-            for cid, label, sketch in zip(asks["cid"], asks["label"], asks["sketch"], strict=True):
-                bits = np.bitwise_count(s ^ np.asarray(sketch).view(np.uint64)).sum(axis=1)
-                near = np.flatnonzero((bits <= most) & (ids != cid))
-                order = near[np.lexsort((ids[near], bits[near]))]
-                mine = order[: (page + 1) * PAGE]
-                more = bool((labels[order[(page + 1) * PAGE :]] != label).any())
-                out += [(min(int(ids[i]), cid), max(int(ids[i]), cid), more) for i in mine if labels[i] != label]
-                if more:
-                    out.append((cid, cid, True))
-        return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": bool})
-
-    ask, tell = _anew(ask), _anew(tell)
-    return ask.groupBy("key", "own", "other").cogroup(tell.groupBy("key", "own", "other")).applyInPandas(rank, "a long, b long, more boolean")
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return per_group(rows, ["coarse", "bi", "bj"], run, "a long, b long", arrow)
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -212,34 +191,19 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
 
     ``rid`` is the row's monotonically_increasing_id() in ``docs``.
     """
-    signed = stage(signatures(docs, doc_id, text, size), "signatures")
+    bounded(docs.sparkSession)
+    signed = stage(signatures(docs, doc_id, text, percent, size), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("cid"), F.min(order).alias("least"))
     classes = stage(classes, "classes")
-    nodes = stage(signed.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("cid"), "bands", "sketch"), "nodes")
+    nodes = signed.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("cid"), "bands", "sketch")
     rows = nodes.select("cid", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("cid").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = stage(rows.join(shared, "key"), "buckets")
-    pairs = member.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
-    pairs = stage(_open_pairs(pairs, nodes, most_bits(percent)), "pairs")
-    sets = _sets(docs, text, size, member.select("cid").distinct())
-    links, tried, page = stage(_confirmed(pairs, sets, percent), "confirmed"), pairs, 0
-    near = stage(member.select("key", "cid", "n").join(nodes.select("cid", "sketch"), "cid"), "near")
-    while True:
-        labels = stage(components(links), "labels")
-        held = near.join(labels.withColumnsRenamed({"node": "cid", "component_id": "label"}), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        sizes = held.groupBy("key", "label").count()
-        several = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("label", F.struct("count", -F.col("label"))).alias("home")).where("k > 1")
-        split = held.join(several.select("key", "home"), "key").withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int"))
-        found = stage(_pages(split, page, most_bits(percent)), "page")
-        fresh = stage(found.where("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = found.where("more").limit(1).count()
-        if fresh.limit(1).count():
-            links = links.union(stage(_confirmed(fresh, sets, percent), "confirmed"))
-            tried = tried.union(fresh)
-        elif not more:
-            break
-        page += 1
+    shared = rows.groupBy("key").agg(F.min("cid").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    member = rows.join(shared, "key").where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
+    coarse = stage(components(member).withColumnsRenamed({"node": "cid", "component_id": "coarse"}), "coarse")
+    held = nodes.select("cid", "sketch").join(coarse, "cid").join(_sets(docs, text, size, coarse), "cid")
+    links = stage(_links(held, percent), "confirmed")
+    labels = components(links)
     of = classes.join(labels.withColumnsRenamed({"node": "cid", "component_id": "label"}), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     first = of.groupBy("label").agg(F.min("least").alias("first"))
     of = of.join(first, "label").select("digest", F.col("first.doc_id").alias("component_id"), F.col("first.rid").alias("first_rid"))
@@ -249,17 +213,16 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
 
 
 def _sets(docs: DataFrame, text: str, size: int, ids: DataFrame) -> DataFrame:
-    """cid, set: the full sets of the classes in some bucket with others."""
+    """cid, set: the full sets of the classes in coarse groups, and of some others."""
 
     @F.pandas_udf("binary")
     def full(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([shingles(t, size).tobytes() for t in texts], dtype=object)
 
-    ids = stage(ids, "members")
     some = docs.select(F.monotonically_increasing_id().alias("cid"), F.col(text).alias("_text"))
     some = some.where(key_filter(ids, "cid")(F.col("cid"))).select("cid", full("_text").alias("set"))
-    return stage(some.join(ids, "cid", "left_semi"), "sets")
+    return some
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:
