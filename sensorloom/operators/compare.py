@@ -60,7 +60,7 @@ def ranked_changes(changes: DataFrame) -> DataFrame:
 def differences(rows: DataFrame, points: list[str]) -> DataFrame:
     """First differences of neighbouring complete grid rows."""
     w = Window.orderBy("ts")  # one grid: rows of a common clock, not of the archive
-    return rows.select("ts", *((F.col(f"`{p}`") - F.lag(f"`{p}`").over(w)).alias(p) for p in points)).na.drop()
+    return rows.select("ts", *((F.col(f"`{p}`") - F.lag(f"`{p}`").over(w)).alias(p) for p in points)).na.drop(subset=[f"`{p}`" for p in points])
 
 
 def ranks(rows: DataFrame, points: list[str]) -> DataFrame:

@@ -48,7 +48,7 @@ def align(valid: DataFrame, points: list[str], start: datetime, end: datetime, r
     share = filled / (n * len(points)) if n else 0.0
     if share < least:
         raise AlignmentRefusal(f"{share:.1%} of the grid's cells are filled; {least:.0%} are needed")
-    return full.na.drop(subset=points), share
+    return full.na.drop(subset=[f"`{p}`" for p in points]), share
 
 
 @dataclass(frozen=True)

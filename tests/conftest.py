@@ -11,6 +11,6 @@ sys.path.insert(0, ROOT)
 def spark():
     from sensorloom.session import local_session
 
-    session = local_session(cpus=4, shuffle_partitions=4, app="tests")
+    session = local_session(cpus=2, shuffle_partitions=3, app="tests")
     yield session
     session.stop()
