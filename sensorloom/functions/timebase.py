@@ -104,7 +104,7 @@ def localise(rows: DataFrame, local: str, zone: str, keys: list[str], order: str
     rows = rows.withColumn("_day", F.to_date(naive)).withColumn("_pass", turn.cast("int"))
     rows = rows.withColumn("_pass", F.when(F.col("_twice"), F.sum("_pass").over(Window.partitionBy(*keys, "_day").orderBy(order))).otherwise(0))
     out_rows = rows.withColumn(out, F.when(F.col("_pass") > 0, F.col("_u") + hour).otherwise(F.col("_u")))
-    bad = rows.where("_skipped or _pass > 1").groupBy(*keys).agg(F.count_if("_skipped").alias("s"), F.count_if("_pass > 1").alias("t"))
+    bad = rows.where("_skipped or _pass > 1").groupBy(*keys).agg(F.count_if("_skipped").alias("s"), F.count_if(F.col("_pass") > 1).alias("t"))
     cause = F.when(F.col("s") > 0, F.format_string("%d stamps fall into the skipped hour", "s")).otherwise("the repeated hour runs backwards more than once")
     refused = bad.select(F.lit("localise").alias("step"), F.concat_ws(":", *keys).alias("tags"), F.lit("SchemaError").alias("error_type"), cause.alias("cause"))
     return out_rows.drop("_u", "_skipped", "_twice", "_day", "_pass"), refused
