@@ -8,8 +8,8 @@ Format of a store (a folder in the shared file system):
 * ``recipes``: Parquet of (doc_id, start, n_tokens, digests, lengths, leaf), the chunks of each
   document in order. Folders shard=0, 1, 2 ... and the rows of each file go in ascending doc_id
   order (null last). ``leaf`` is the SHA-256 of the recipe.
-* ``manifest``: one JSON line with the number of documents, ids and chunks, the id width, and
-  the Merkle root over the shards' roots.
+* ``manifest``: one JSON line with the number of documents, ids and chunks, the id width, the
+  type of doc_id, and the Merkle root over the shards' roots.
 
 A document's id stream ends in the end id. Streams are cut where a rolling hash of the last
 ``SPAN`` ids meets a mask, not before ``LEAST`` and at latest after ``MOST`` ids, so that equal
@@ -18,7 +18,7 @@ every chunk and recipe anew and compares them with the digests and the Merkle ro
 
 Ids come from the tokenizers library. Its result for a text is the concatenation of its results
 for the pieces between spaces and line ends, so pieces are encoded once per worker and
-remembered (``MAX_KNOWN`` of them at most).
+remembered (twice ``MAX_KNOWN`` of them at most).
 
 Defined cases: a null or empty text is a stream of the end id alone; rows of equal doc_id follow
 each other in the order of their texts' hashes; an empty table gives an empty store; other
@@ -32,6 +32,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +40,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, prefix_sums, shared_path
+from .common import bounded, drop_path, prefix_sums, shared_path
 
 END = 2
 SPAN, MASK_BITS, LEAST, MOST = 8, 9, 128, 4096
-MAX_KNOWN = 400_000
+MAX_KNOWN = 800_000
 
 _rng = np.random.default_rng(7)
 _GEAR = _rng.integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
@@ -63,35 +64,32 @@ def _byte_signs() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Ids of pieces between spaces, as bytes; forgets all when full."""
+    """Ids of pieces between spaces, as bytes. Two generations: when one is full, the one before is forgotten."""
 
     def __init__(self, tokenizer, width: str):
         super().__init__()
         self.tokenizer, self.width, self.signs = tokenizer, width, _byte_signs()
+        self.code = {"<u2": "H", "<u4": "I"}[width]
         rules = json.loads(tokenizer.to_str())
         cut = [x.get("pattern", {}).get("Regex", "") for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.known_rules = any(c.startswith("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|") for c in cut) and rules["normalizer"]["normalizers"][-1]["type"] == "Lowercase"
-        self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > MAX_KNOWN:
+        if len(self) >= MAX_KNOWN:
+            self.before = dict(self)
             self.clear()
-        if self.known_rules and _PLAIN.fullmatch(piece) and "<|" not in piece:
-            found = b"".join([self.word(w) for w in _CUT.findall(piece.lower())])
-        else:
-            found = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.width).tobytes()
+        found = self.before.get(piece)
+        if found is None:
+            if self.known_rules and _PLAIN.fullmatch(piece) and "<|" not in piece:
+                tokenize = self.tokenizer.model.tokenize
+                ids = [x.id for w in _CUT.findall(piece.lower()) for x in tokenize(w.encode().decode("latin-1").translate(self.signs))]
+            else:
+                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            found = array(self.code, ids).tobytes()
         self[piece] = found
         return found
 
-    def word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) > MAX_KNOWN:
-                self.words.clear()
-            plain = word.encode().decode("latin-1").translate(self.signs)
-            got = self.words[word] = np.array([x.id for x in self.tokenizer.model.tokenize(plain)], self.width).tobytes()
-        return got
-
 
 _LOADED: dict[tuple[str, str], _Pieces] = {}
 
@@ -151,6 +149,7 @@ def merkle(leaves: list[bytes]) -> bytes:
 def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int = END, width: str = "<u2", path: str | None = None) -> str:
     """Writes a store and returns its folder."""
     spark = docs.sparkSession
+    bounded(spark)
     path = path or shared_path(spark, "store")
 
     @F.pandas_udf("n_tokens long, digests array<binary>, lengths array<int>, fresh array<binary>")
@@ -179,10 +178,10 @@ def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
             yield pd.DataFrame(rows, columns=["n_tokens", "digests", "lengths", "fresh"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), pack(F.col(text)).alias("p"))
-    rows.select("doc_id", "tie", "p.*").write.parquet(f"{path}/staged")
+    rows.select("doc_id", "tie", "p.*").write.option("compression", "zstd").parquet(f"{path}/staged")
     staged = spark.read.parquet(f"{path}/staged")
     chunks = staged.select(F.explode(F.arrays_zip(F.col("digests").alias("digest"), F.col("fresh").alias("ids"))).alias("c")).select("c.*")
-    chunks.where("ids is not null").groupBy("digest").agg(F.first("ids").alias("ids")).write.parquet(f"{path}/chunks")
+    chunks.where("ids is not null").groupBy("digest").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     @F.pandas_udf("binary")
     def leaves(ids: pd.Series, n: pd.Series, digests: pd.Series) -> pd.Series:
@@ -193,9 +192,10 @@ def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
     recipes = recipes.withColumn("leaf", leaves(F.col("doc_id").cast("string"), F.col("n_tokens"), F.col("digests")))
     recipes.select("doc_id", "tie", "start", "n_tokens", "digests", "lengths", "leaf", "shard").sortWithinPartitions("shard", "start").write.partitionBy("shard").parquet(f"{path}/recipes")
     drop_path(spark, f"{path}/staged")
-    found = _roots(spark, path)
-    counts = spark.read.parquet(f"{path}/recipes").agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
-    manifest = {"documents": counts[0], "ids": counts[1] or 0, "chunks": spark.read.parquet(f"{path}/chunks").count(), "width": width, "end": end, "root": found}
+    kind = dict(docs.select(F.col(doc_id).alias("doc_id")).dtypes)["doc_id"]
+    found = _roots(spark, path, kind)
+    counts = _recipes(spark, path, kind).agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
+    manifest = {"documents": counts[0], "ids": counts[1] or 0, "chunks": spark.read.parquet(f"{path}/chunks").count(), "width": width, "end": end, "doc_id": kind, "root": found}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifest")
     return path
 
@@ -204,12 +204,18 @@ def manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/manifest").first()[0])
 
 
-def _roots(spark: SparkSession, path: str) -> str:
+def _recipes(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    kind = kind or manifest(spark, path)["doc_id"]
+    schema = f"doc_id {kind}, tie long, start long, n_tokens long, digests array<binary>, lengths array<int>, leaf binary, shard int"
+    return spark.read.schema(schema).parquet(f"{path}/recipes")
+
+
+def _roots(spark: SparkSession, path: str, kind: str | None = None) -> str:
     """Merkle root over the roots of the shards, from the leaves in the recipe files.
 
     A shard's leaves meet in fixed runs of 4 million ids, so no task holds a whole shard.
     """
-    rows = spark.read.parquet(f"{path}/recipes").select("shard", "start", "doc_id", "leaf", F.floor(F.col("start") / (1 << 22)).alias("run"))
+    rows = _recipes(spark, path, kind).select("shard", "start", "doc_id", "leaf", F.floor(F.col("start") / (1 << 22)).alias("run"))
 
     def root(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["start", "leaf"], kind="stable")
@@ -256,7 +262,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
         return pd.DataFrame(out, columns=["crc", "n", "good"])
 
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", sums("digest", "ids").alias("s")).select("digest", "s.crc", F.when(F.col("s.good"), F.col("s.n")).alias("n"))
-    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "tie", "start", "n_tokens", F.monotonically_increasing_id().alias("row"), "digests")
+    recipes = _recipes(spark, path).select("doc_id", "tie", "start", "n_tokens", F.monotonically_increasing_id().alias("row"), "digests")
     parts = recipes.select("row", F.posexplode("digests").alias("at", "digest")).join(chunks, "digest", "left")
     ends = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "crc", "n"))).alias("parts"))
 
@@ -295,7 +301,7 @@ def verify(spark: SparkSession, path: str) -> dict:
     def wrong(ids: pd.Series, n: pd.Series, digests: pd.Series, leaves: pd.Series) -> pd.Series:
         return pd.Series([leaf(None if pd.isna(i) else i, k, [bytes(x) for x in d]) != have for i, k, d, have in zip(ids, n, digests, leaves, strict=True)])
 
-    chunks, recipes = spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/recipes")
+    chunks, recipes = spark.read.parquet(f"{path}/chunks"), _recipes(spark, path)
     missing = recipes.select(F.explode("digests").alias("digest")).distinct().join(chunks.select("digest"), "digest", "left_anti")
     return {
         "damaged_chunks": chunks.where(bad("digest", "ids")).count(),
@@ -308,7 +314,7 @@ def verify(spark: SparkSession, path: str) -> dict:
 def decode_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids (array of int): the documents rebuilt from the files."""
     width = manifest(spark, path)["width"]
-    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.monotonically_increasing_id().alias("row"), F.posexplode("digests").alias("at", "digest"))
+    recipes = _recipes(spark, path).select("doc_id", "start", F.monotonically_increasing_id().alias("row"), F.posexplode("digests").alias("at", "digest"))
     parts = recipes.join(spark.read.parquet(f"{path}/chunks"), "digest")
     rows = parts.groupBy("row", "doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
 
