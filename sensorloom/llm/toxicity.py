@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stage
+from .common import bounded, fold, stage
 from .neardup import shingles
 
 MAX_TOXIC, MAX_CLEAN = 3000, 9000
@@ -249,6 +249,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> Model:
+    bounded(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).where(F.col("_y").isNotNull() & F.col("_id").isNotNull() & (fold(F.col("_id"), FOLDS) != 0))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
     pick = lambda v, n: known.where(F.col("_y") == v).orderBy(F.xxhash64("_id"), "_id").limit(n)
@@ -261,10 +262,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
         for b in batches:
             for y, t in zip(b["_y"], b["_text"], strict=True):
                 seen[int(y)].update(word_features(t))
-        names = [*seen[1]]
-        yield pd.DataFrame({"name": names, "a": [seen[1][n] for n in names], "b": [seen[0][n] for n in names]})
-        names = [n for n in seen[0] if n not in seen[1]]
-        yield pd.DataFrame({"name": names, "a": [0] * len(names), "b": [seen[0][n] for n in names]})
+        names = [*(seen[0].keys() | seen[1].keys())]
+        if names:
+            yield pd.DataFrame({"name": names, "a": [seen[1][n] for n in names], "b": [seen[0][n] for n in names]})
 
     sizes = {int(r["_y"]): r["count"] for r in rows.groupBy("_y").count().collect()}
     counts = rows.select("_y", "_text").mapInPandas(count, "name string, a long, b long").groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
