@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import bounded, stage
 
 WINDOW = 10
 #: Windows in one automaton; about 200 MB in a worker.
@@ -133,6 +133,7 @@ def _scanner(shared, again: bool):
 def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, out: str = "leak", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Adds the struct column ``out`` (n_words, hits as word spans, items) to every document."""
     spark = docs.sparkSession
+    bounded(spark)
     windows = stage(_windows(benchmark, item_id, item_text, width), "windows")
     blocks = max(1, -(-windows.count() // max_windows))
     found: Column | None = None

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
+from .common import bounded
 from .pages import training_pages
 
 # Element names of the HTML standard.
@@ -260,6 +261,7 @@ def trained(pages: int = 500, seed: int = 4, vocabulary_size: int = 60) -> Extra
 
 def annotate(pages: DataFrame, html: str = "html", out: str = "text", extractor: Extractor | None = None) -> DataFrame:
     """Adds the main text of every page."""
+    bounded(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(extractor or trained())
 
     @F.pandas_udf("string")

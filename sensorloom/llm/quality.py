@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import bounded, fold
 
 MAX_ROWS = 3000
 MAX_FEATURES = 50_000
@@ -176,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
 
 def scorer(spark, model: Model):
     """A column function from text to score, the model broadcast (``MAX_FEATURES`` weights at most)."""
+    bounded(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

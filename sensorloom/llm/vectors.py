@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage
+from .common import bounded, components, stage
 
 COSINE = 0.9
 MISS = 1e-4
@@ -147,6 +147,7 @@ def _compare(ids: np.ndarray, unit: np.ndarray, codes: np.ndarray, weight: np.nd
 def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, miss: float = MISS) -> DataFrame:
     """rid, vec_id, n_links, component_id, first (the one row of its component that stays)."""
     spark = vectors.sparkSession
+    bounded(spark)
 
     @F.pandas_udf("dim int, digest binary")
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -8,11 +8,14 @@ import xxhash
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+KNOWN = 300_000
+
+
 class Words(dict):
-    """Hashes of words, remembered; emptied at a million words."""
+    """Hashes of words, remembered; emptied at ``KNOWN`` words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > KNOWN:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
