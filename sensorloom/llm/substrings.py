@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import key_filter, stage
+from .common import bounded, key_filter, stage
 
 WINDOW = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Entries that a task holds before it sends them.
-FLUSH = 1_500_000
+FLUSH = 600_000
 LAST_ID = (1 << 63) - 1
 
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
@@ -104,29 +104,48 @@ class _Entries:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", *_COLUMNS])
 
 
-def _grouped(rid: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per document with its positions."""
+def _by_bucket(rid: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Positions packed by bucket of documents: a row per bucket, however many documents there are."""
     if not len(rid):
         return
+    bucket = (wordhash.mixed(rid.view(np.uint64) * wordhash.M1) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rid, pos, bucket = rid[order], pos[order], bucket[order]
+    cut = np.append(0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1)
+    packed = [pa.array([x.tobytes() for x in np.split(y, cut[1:])], pa.binary()) for y in (rid, pos)]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), *packed], ["bucket", "rid", "pos"])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document with its positions."""
+    held = [(np.frombuffer(r, np.int64), np.frombuffer(p, np.uint32)) for b in batches for r, p in zip(b["rid"].to_pylist(), b["pos"].to_pylist(), strict=True)]
+    if not held:
+        return
+    rid, pos = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.argsort(rid, kind="stable")
     rid, pos = rid[order], pos[order]
-    cut = np.flatnonzero(rid[1:] != rid[:-1]) + 1
-    yield pa.RecordBatch.from_arrays([pa.array(rid[np.append(0, cut)]), pa.array([x.tobytes() for x in np.split(pos, cut)], pa.binary())], ["rid", "pos"])
+    cut = np.append(0, np.flatnonzero(rid[1:] != rid[:-1]) + 1)
+    for i in range(0, len(cut), 10_000):
+        some = cut[i : i + 10_000]
+        ends = np.append(some[1:], cut[i + 10_000] if i + 10_000 < len(cut) else len(rid))
+        yield pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array([pos[x:y].tobytes() for x, y in zip(some, ends, strict=True)], pa.binary())], ["rid", "pos"])
 
 
-def _settle(first_stays: bool) -> Callable:
+def _settle(first_stays: bool, parts: int) -> Callable:
     """Of entries of one hash in a partition: all, or all but the first, unless settled before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        done: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.uint32))]
         for batch in batches:
             for key, more, doc, rid, pos, known in zip(*(batch[c].to_pylist() for c in _COLUMNS), strict=True):
                 r, p = np.frombuffer(rid, np.int64), np.frombuffer(pos, np.uint32)
                 if key:
                     held.append((np.frombuffer(key, np.uint64), np.frombuffer(more, np.uint32), np.frombuffer(doc, np.int64), r, p, np.frombuffer(known, np.uint8)))
                 else:
-                    yield from _grouped(r, p)
+                    done.append((r, p))
         if not held:
+            yield from _by_bucket(*(np.concatenate(x) for x in zip(*done, strict=True)), parts)
             return
         key, more, doc, rid, pos, known = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
@@ -139,7 +158,8 @@ def _settle(first_stays: bool) -> Callable:
             size = np.diff(np.append(np.flatnonzero(new), len(order)))
             hit = order[np.repeat(size > 1, size)]
             hit = hit[known[hit] == 0]
-        yield from _grouped(rid[hit], pos[hit])
+        done.append((rid[hit], pos[hit]))
+        yield from _by_bucket(*(np.concatenate(x) for x in zip(*done, strict=True)), parts)
 
     return run
 
@@ -157,12 +177,12 @@ def _repeats(rows: DataFrame, entries: Callable, first_stays: bool, parts: int)
         yield from held.send()
 
     n = max(1, parts // 4)
-    found = rows.mapInArrow(pack, _PACKED).repartition(n, "part").mapInArrow(_settle(first_stays), _FOUND)
-    return found.groupBy("rid").agg(F.collect_list("pos").alias("pos"))
+    found = rows.mapInArrow(pack, _PACKED).repartition(n, "part").mapInArrow(_settle(first_stays, n), "bucket int, rid binary, pos binary")
+    return found.repartition(n, "bucket").mapInArrow(_unpack, _FOUND)
 
 
-def _positions(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64) if blobs is not None and len(blobs) else np.zeros(0, np.int64)
+def _positions(blob: bytes | None) -> np.ndarray:
+    return np.frombuffer(blob or b"", np.uint32).astype(np.int64)
 
 
 def removed_words(n: int, starts: np.ndarray) -> np.ndarray:
@@ -179,6 +199,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spans: bo
     ``removed`` holds the removed stretches as [first word, word after].
     """
     spark = docs.sparkSession
+    bounded(spark)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
@@ -202,7 +223,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spans: bo
 
     repeats = stage(_repeats(some, window_entries, True, parts), "repeats")
     some = some.drop("pos").join(repeats, "rid", "left")
-    rest = rows.where("not _maybe").drop("_maybe").withColumn("pos", F.lit(None).cast("array<binary>"))
+    rest = rows.where("not _maybe").drop("_maybe").withColumn("pos", F.lit(None).cast("binary"))
     out = "n_words long, n_removed long, kept string, removed array<struct<first:int,after:int>>"
 
     @F.pandas_udf(out)
@@ -212,7 +233,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spans: bo
             for t, b in zip(texts, blobs, strict=True):
                 w, gone = words_of(t), []
                 n = len(w)
-                if b is not None and len(b):
+                if b:
                     mask = removed_words(n, _positions(b))
                     w = [x for x, m in zip(w, mask.tolist(), strict=True) if not m]
                     if spans:
