@@ -2,11 +2,13 @@
 
 A lexical transducer turns words into signs: insult, threat, target, negation, reporting verb,
 other, clause end. Three small transducers follow: one marks insults and threats in the scope of
-a negation, one those behind a reporting verb of their clause, one those whose clause names a
+a negation, one those behind a reporting verb of their clause, one those whose clause has named a
 target. They are composed into one machine, which reads a clause's signs and writes the path of
-each match. A clause's weight on a path is the weight of its strongest match; a document's
+each match; what it left without a target is read again from the clause's end, for targets that
+come after it. A clause's weight on a path is the weight of its strongest match; a document's
 measure of a path is the log of one plus the sum over its clauses. The measures enter a logistic
-curve, whose weights start from the grammar's own and are fitted to the labels.
+curve, whose weights start from the grammar's own and are fitted to the labels. Threats before
+their target, without one, negated or reported have paths of their own (``THREAT_PATHS``).
 
 Target, negation, threat and reporting words are fixed lists; insults are learned: words and word
 stems that toxic documents hold far more often than others, weighted by their log-ratio.
@@ -55,8 +57,10 @@ THREATS = "kill hurt destroy beat burn shoot stab crush punish töten schlagen v
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:,\n]")
 SCOPE = 2
 PATHS = ["plain", "targeted", "negated", "reported", "threat"]
-#: The grammar's own weights, in the order of PATHS, and its intercept.
-PRIOR = np.array([1.2, 1.5, 0.3, 0.5, 1.0])
+#: Of threats whose target comes after them, or that have none, or are negated or reported.
+THREAT_PATHS = ["aimed", "untargeted", "negated threat", "reported threat"]
+#: The grammar's own weights, in the order of PATHS and THREAT_PATHS, and its intercept.
+PRIOR = np.array([1.2, 1.5, 0.3, 0.5, 1.0, 1.0, 0.2, 0.1, 0.3])
 PRIOR_BIAS = -2.5
 
 
@@ -126,8 +130,22 @@ def grammar() -> Transducer:
     return compose(compose(negation_machine(), reporting_machine(), SIGNS), target_machine(), SIGNS)
 
 
-#: Path of what the grammar writes; an untargeted threat is no match.
-PATH_OF = {"I": 0, "tI": 1, "nI": 2, "rI": 3, "tH": 4}
+#: Path of what the grammar writes; Ht is a threat before its target.
+PATH_OF = {"I": 0, "tI": 1, "nI": 2, "rI": 3, "tH": 4, "Ht": 5, "H": 6, "nH": 7, "rH": 8}
+#: What has its target behind it, once the clause is read from its end.
+AIMED = {"I": "tI", "H": "Ht"}
+
+
+def strongest(written: list[tuple[str, float]]) -> dict[int, float]:
+    """By path, the weight of a clause's strongest match; read from the clause's end."""
+    best, named = {}, False
+    for out, weight in reversed(written):
+        if out == "T":
+            named = True
+            continue
+        path = PATH_OF[AIMED.get(out, out) if named else out]
+        best[path] = max(best.get(path, 0.0), weight)
+    return best
 
 
 class Lexicon(dict):
@@ -155,16 +173,20 @@ class Model:
         return {**self.__dict__, "lexicon": None, "machine": None}
 
     def measures(self, text: str | None) -> np.ndarray:
+        """Those of PATHS alone."""
+        return self.all_measures(text)[: len(PATHS)]
+
+    def all_measures(self, text: str | None) -> np.ndarray:
         """By path, the log of one plus the sum of the clauses' weights."""
         if self.lexicon is None:
             self.lexicon, self.machine = Lexicon(self.words, self.stems), grammar()
-        total = np.zeros(len(PATHS))
+        total = np.zeros(len(PRIOR))
         signs = self.lexicon
         tokens = _TOKEN.findall((text or "").lower())
         found = [s[0] for w in tokens if (s := signs[w]) is not None]
         if "I" not in found and "H" not in found:
             return total
-        state, best = self.machine.start, {}
+        state, written = self.machine.start, []
         for word in [*tokens, "."]:
             if word in ".!?;:,\n":
                 sign, weight = ".", 0.0
@@ -172,15 +194,15 @@ class Model:
                 sign, weight = signs[word] or ("o", 0.0)
             state, out = self.machine.step(state, sign)
             if sign == ".":
-                for path, w in best.items():
+                for path, w in strongest(written).items():
                     total[path] += w
-                best = {}
-            elif (path := PATH_OF.get(out)) is not None:
-                best[path] = max(best.get(path, 0.0), weight)
+                written = []
+            elif out == "T" or out in PATH_OF:
+                written.append((out, weight))
         return np.log1p(total)
 
     def score(self, text: str | None) -> float:
-        z = self.measures(text) @ self.weights + self.bias
+        z = self.all_measures(text) @ self.weights + self.bias
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
@@ -283,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
 
     @F.pandas_udf("array<double>")
     def measure(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.measures(t) for t in texts], dtype=object)
+        return pd.Series([shared.value.all_measures(t) for t in texts], dtype=object)
 
     got = rows.select("_id", "_y", measure("_text").alias("x")).orderBy("_id", "_y").collect()
     if got:

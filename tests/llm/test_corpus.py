@@ -294,6 +294,21 @@ def test_grammar_paths():
     assert path("someone wrote idiot. Idiot") == ["plain", "reported"] and path(None) == []
 
 
+def test_threats_before_their_target(spark):
+    m = toxicity.Model({"idiot": 1.0}, {}, toxicity.PRIOR, toxicity.PRIOR_BIAS)
+    path = lambda t: [p for p, v in zip(toxicity.PATHS + toxicity.THREAT_PATHS, m.all_measures(t), strict=True) if v]
+    for text in ("I will kill you", "kill you all", "someone should shoot them"):
+        assert path(text) == ["aimed"] and m.score(text) > m.score("I will see you")
+    assert path("kill it") == ["untargeted"] and path("will not kill you") == ["negated threat"] and path("someone said kill you") == ["reported threat"]
+    assert path("kill it. you") == ["untargeted"] and path("what an idiot you are") == ["targeted"] and path("you will kill you") == ["threat"]
+    # the same words in both classes: only the target's place in the clause tells them apart
+    good = lambda r: " ".join(_word(r) for _ in range(20)) + ". we kill time. see you."
+    bad = lambda r: " ".join(_word(r) for _ in range(20)) + ". see time. we kill you."
+    docs, labels, y = _labelled(spark, bad, good, "toxic")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.report(docs, labels).collect()}
+    assert sum(got[i] == int(v) for i, v in y.items()) >= 236
+
+
 # --- 6 near-duplicates
 
 
