@@ -108,3 +108,16 @@ def xbar_r(groups: DataFrame, keys: list[str], value: str = "value", by: list[st
     total = total.where((F.col("n") == F.col("n_min")) & F.col("n").between(2, 10))
     a2, d3, d4 = table(XBAR_A2), table(R_D3), table(R_D4_COMPAT if compat else R_D4)
     return total.select(*by, "n", "n_groups", "xbar", (F.col("xbar") - a2 * F.col("rbar")).alias("xbar_lcl"), (F.col("xbar") + a2 * F.col("rbar")).alias("xbar_ucl"), "rbar", (d3 * F.col("rbar")).alias("r_lcl"), (d4 * F.col("rbar")).alias("r_ucl"))
+
+
+def xbar_r_whole(valid: DataFrame, size: int, period: str) -> DataFrame:
+    """``xbar_r`` over all consecutive subgroups of ``size`` rows of a tag and period, in stored order.
+
+    Only an incomplete last group is left out; ``n_left`` counts such rows of the tag. A tag without a
+    complete group has no row.
+    """
+    w = Window.partitionBy(*TAG, period)
+    rows = valid.withColumn("_g", F.floor((F.row_number().over(w.orderBy("row_ix")) - 1) / size)).withColumn("_c", F.count(F.lit(1)).over(w))
+    rows = rows.withColumn("_whole", F.col("_g") < F.floor(F.col("_c") / size))
+    left = rows.groupBy(*TAG).agg(F.count_if(~F.col("_whole")).alias("n_left"))
+    return xbar_r(rows.where("_whole"), [*TAG, period, "_g"]).join(left, TAG)

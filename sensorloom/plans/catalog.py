@@ -345,6 +345,15 @@ def q_xbar_r(spark, sf):
     return _round(baselines.xbar_r(v.where("k <= 5 and c >= 5"), [*TAG, "day"]), "xbar", "xbar_lcl", "xbar_ucl", "rbar", "r_lcl", "r_ucl")
 
 
+@query(f""", {_V}, g AS (SELECT *, (row_number() OVER (PARTITION BY point_id, ts::DATE ORDER BY row_ix) - 1) // 5 AS grp FROM v), e AS (SELECT source_id, point_id, ts::DATE AS day, grp, avg(value) AS xb, max(value) - min(value) AS r FROM g GROUP BY ALL HAVING count(*) = 5),
+t AS (SELECT source_id, point_id, count(*) AS n_groups, avg(xb) AS xbar, avg(r) AS rbar FROM e GROUP BY ALL), lo AS (SELECT source_id, point_id, sum(c % 5)::BIGINT AS n_left FROM (SELECT source_id, point_id, ts::DATE AS day, count(*) AS c FROM v GROUP BY ALL) GROUP BY ALL)
+SELECT source_id, point_id, 5::BIGINT AS n, n_groups, n_left, round(xbar, 6) AS xbar, round(xbar - 0.577 * rbar, 6) AS xbar_lcl, round(xbar + 0.577 * rbar, 6) AS xbar_ucl, round(rbar, 6) AS rbar, round(0.0 * rbar, 6) AS r_lcl, round(2.114 * rbar, 6) AS r_ucl FROM t JOIN lo USING (source_id, point_id)""")
+def q_xbar_r_whole(spark, sf):
+    """All consecutive subgroups of five of a tag and day; n_left counts the rows of incomplete last groups."""
+    v = _valid(spark, sf).withColumn("day", F.to_date("ts"))
+    return _round(baselines.xbar_r_whole(v, 5, "day"), "xbar", "xbar_lcl", "xbar_ucl", "rbar", "r_lcl", "r_ucl")
+
+
 @query()
 def q_segment(spark, sf):
     t = segments.segment_table(_valid(spark, sf))
