@@ -1,14 +1,16 @@
-"""Quality classifier: naive Bayes support vectors over n-gram indicators of word shapes.
+"""Quality classifier: naive Bayes support vectors over n-gram indicators of words and word shapes.
 
 A text becomes a sequence of word shapes: letters fold to X (upper case), x (other), digits to 9,
 runs of one class to one sign, punctuation stays, and a word equal to the one before it is
-marked. The indicators of its shape n-grams (n = 1 to 3) are scaled by the log-count ratio of
-the classes and feed a linear hinge-loss model, fitted by dual coordinate descent. The margin
-becomes a score by a logistic curve fitted on the same rows.
+marked. Its shape n-grams (n = 1 to 3) are one block of indicators; its words and pairs of words, in
+lower case, and its character n-grams (n = 2 and 3) are another, hashed to ``BUCKETS`` places. The
+indicators are scaled by the log-count ratio of the classes, each block to its own length, and feed
+a linear hinge-loss model, fitted by dual coordinate descent. The margin becomes a score by a
+logistic curve fitted on the same rows.
 
 Fitting takes at most ``MAX_ROWS`` labelled rows of each class (those with the smallest hash of
-their id) and the ``MAX_FEATURES`` n-grams found in most of them; scoring covers every row and
-whole texts.
+their id) and, of each block, the ``MAX_FEATURES`` indicators found in most of them; scoring covers
+every row and whole texts.
 
 Defined cases: a null or empty text has no n-grams and gets the score of the intercept; labels
 that are null, or of documents that are absent, are not used; of repeated labels the larger
@@ -18,6 +20,7 @@ counts; with labels of one class only, every score is that class; other columns
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, fold
+from .wordhash import windows
 
 MAX_ROWS = 3000
 MAX_FEATURES = 50_000
+BUCKETS = 1 << 20
 LEAST_ROWS = 3
 THRESHOLD = 0.3
 FOLDS = 5
@@ -66,16 +71,40 @@ def _plain(gram) -> bytes:
     return gram if isinstance(gram, bytes) else b" ".join(gram)
 
 
+def places(text: str | None) -> np.ndarray:
+    """Buckets of the words, pairs of words and character n-grams of a text; an n-gram may come twice."""
+    low = (text or "").lower()
+    w = np.fromiter((zlib.crc32(x) for x in low.encode("utf-8", "surrogatepass").split()), np.uint64)
+    c = np.frombuffer(" ".join(low.split()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    found = [windows(x, np.arange(len(x) - n + 1), n, seed) for seed, x, n in ((1, w, 1), (1, w, 2), (2, c, 2), (2, c, 3)) if len(x) >= n]
+    return (np.concatenate(found) >> np.uint64(44)).astype(np.int32) if found else np.zeros(0, np.int32)
+
+
 class Model:
-    """A weight for each n-gram, an intercept and a logistic curve of the margin."""
+    """A weight for each n-gram and bucket, an intercept and a logistic curve of the margin."""
 
-    def __init__(self, weights: dict, bias: float, slope: float, offset: float):
+    def __init__(self, weights: dict, bias: float, slope: float, offset: float, buckets: np.ndarray | None = None, lexical: np.ndarray | None = None):
         self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
+        self.buckets, self.lexical = (np.zeros(0, np.int32), np.zeros(0)) if buckets is None else (buckets, lexical)
+        self.at = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "at": None}
 
     def margin(self, text: str | None) -> float:
         get = self.weights.get
         found = [w for g in ngrams(text) if (w := get(g)) is not None]
-        return self.bias + sum(found) / max(1.0, len(found)) ** 0.5
+        return self.bias + sum(found) / max(1.0, len(found)) ** 0.5 + self.words_margin(text)
+
+    def words_margin(self, text: str | None) -> float:
+        if not len(self.buckets):
+            return 0.0
+        if self.at is None:
+            self.at = np.full(BUCKETS, -1, np.int32)
+            self.at[self.buckets] = np.arange(len(self.buckets))
+        i = self.at[places(text)]
+        i = np.unique(i[i >= 0])
+        return float(self.lexical[i].sum()) / max(1, len(i)) ** 0.5
 
     def score(self, text: str | None) -> float:
         z = self.slope * self.margin(text) + self.offset
@@ -131,29 +160,40 @@ def logistic_curve(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple
     return float(max(a, 1e-3)), float(b)
 
 
-def fit_rows(grams: list[list[bytes]], labels: list[int], max_features: int = MAX_FEATURES, c: float = 1.0) -> Model:
-    """Fits on n-gram lists (joined by a space) and labels 0/1."""
+def fit_rows(grams: list[list[bytes]], labels: list[int], max_features: int = MAX_FEATURES, c: float = 1.0, hashed: list[np.ndarray] | None = None) -> Model:
+    """Fits on n-gram lists (joined by a space), sorted bucket lists of the same rows, and labels 0/1."""
     y = np.where(np.array(labels) > 0, 1.0, -1.0)
     if len(set(labels)) < 2:
         return Model({}, 0.0, 0.0, 30.0 if labels and labels[0] else -30.0 if labels else 0.0)
     seen = Counter(g for row in grams for g in row)
     kept = sorted((g for g, k in seen.items() if k >= LEAST_ROWS), key=lambda g: (-seen[g], g))[:max_features]
     at = {g: i for i, g in enumerate(kept)}
-    rows = [np.array(sorted(at[g] for g in row if g in at), dtype=np.int64) for row in grams]
+    rows = [np.array(sorted(at[g] for g in row if g in at), dtype=np.int32) for row in grams]
+    hashed = hashed if hashed is not None else [np.zeros(0, np.int32)] * len(grams)
+    held = np.zeros(BUCKETS, np.int64)
+    for h in hashed:
+        held[h] += 1
+    buckets = np.argsort(-held, kind="stable")[: min(max_features, int((held >= LEAST_ROWS).sum()))].astype(np.int32)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[buckets] = np.arange(len(buckets), dtype=np.int32)
+    more = [np.sort(i[i >= 0]) for i in (place[h] for h in hashed)]
+    del hashed
     ratio = log_count_ratios(rows, y, len(kept))
+    more_ratio = log_count_ratios(more, y, len(buckets))
     values = []
-    for r in rows:  # unit rows: long texts weigh no more than short ones while fitting
-        values.append(ratio[r] / max(1.0, np.sqrt(len(r))))
+    for k, (r, i) in enumerate(zip(rows, more, strict=True)):  # unit blocks: long texts weigh no more than short ones while fitting
+        values.append(np.concatenate([ratio[r] / max(1.0, np.sqrt(len(r))), more_ratio[i] / max(1.0, np.sqrt(len(i)))]).astype(np.float32))
+        rows[k], more[k] = np.concatenate([r, i + np.int32(len(kept))]), None
     share = np.array([(y > 0).mean(), (y <= 0).mean()])
     cost = c * np.where(y > 0, 0.5 / share[0], 0.5 / share[1])
-    w = dual_coordinate_descent(rows, values, y, len(kept), cost)
+    w = dual_coordinate_descent(rows, values, y, len(kept) + len(buckets), cost)
     margin = np.array([w[r] @ v + w[-1] for r, v in zip(rows, values, strict=True)])
     slope, offset = logistic_curve(margin, y)
     found = {}
     for g, i in at.items():
         parts = tuple(g.split(b" "))
         found[parts if len(parts) > 1 else g] = float(w[i] * ratio[i])
-    return Model(found, float(w[-1]), slope, offset)
+    return Model(found, float(w[-1]), slope, offset, buckets, w[len(kept) : -1] * more_ratio)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS) -> Model:
@@ -163,19 +203,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     pick = lambda v: known.where(F.col("_y") == v).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     sample = pick(1).union(pick(0))
 
-    @F.pandas_udf("array<binary>")
-    def grams(texts: pd.Series) -> pd.Series:
-        return pd.Series([[_plain(g) for g in ngrams(t)] for t in texts], dtype=object)
+    # one packed value a row: the driver's memory holds each n-gram once
+    @F.pandas_udf("g binary, h binary")
+    def packed(texts: pd.Series) -> pd.DataFrame:
+        g = [zlib.compress(b"\n".join(_plain(g) for g in ngrams(t)), 1) for t in texts]
+        h = [zlib.compress(np.diff(np.unique(places(t)), prepend=np.int32(0)).tobytes(), 1) for t in texts]
+        return pd.DataFrame({"g": g, "h": h})
 
     # at most 2 * max_rows ids are broadcast
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id")
-    rows = rows.select("_id", "_y", grams("_text").alias("g")).collect()
-    rows.sort(key=lambda r: (r["_id"], r["_y"]))
-    return fit_rows([[bytes(g) for g in r["g"]] for r in rows], [int(r["_y"]) for r in rows])
+    rows = rows.select("_id", "_y", packed("_text").alias("p")).select("_id", "_y", "p.*").collect()
+    rows.sort(key=lambda r: (r["_id"], r["_y"]), reverse=True)
+    once: dict[bytes, bytes] = {}
+    grams, y, hashed = [], [], []
+    while rows:
+        r = rows.pop()
+        grams.append([once.setdefault(g, g) for g in zlib.decompress(r["g"]).split(b"\n") if g])
+        hashed.append(np.cumsum(np.frombuffer(zlib.decompress(r["h"]), np.int32), dtype=np.int32))
+        y.append(int(r["_y"]))
+    return fit_rows(grams, y, hashed=hashed)
 
 
 def scorer(spark, model: Model):
-    """A column function from text to score, the model broadcast (``MAX_FEATURES`` weights at most)."""
+    """A column function from text to score, the model broadcast (twice ``MAX_FEATURES`` weights at most)."""
     bounded(spark)
     shared = spark.sparkContext.broadcast(model)
 

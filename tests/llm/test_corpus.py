@@ -276,6 +276,18 @@ def test_quality(spark):
     assert one.score("x") > 0.9 and 0 <= quality.fit(docs, labels.where("false")).score(None) <= 1
 
 
+def test_quality_told_by_words(spark):
+    """Texts of one shape in both classes, some without spaces or ASCII letters."""
+    pick = lambda r, words, n: [r.choice(words) for _ in range(n)]
+    one = lambda r, own, cjk: " ".join(x + y for x, y in zip(pick(r, own, 6), pick(r, ["now", "then", "there"], 6), strict=True)) + "." if r.random() < 0.5 else "".join(pick(r, cjk, 9))
+    bad = lambda r: one(r, ["cheap", "pills", "casino"], "购买便宜药")
+    good = lambda r: one(r, ["court", "ruled", "budget"], "法院今天裁")
+    docs, labels, y = _labelled(spark, bad, good, "quality")
+    got = {r["doc_id"]: r["predicted"] for r in quality.report(docs, labels).collect()}
+    assert sum(got[i] == int(v) for i, v in y.items()) >= 236
+    assert len(quality.places(None)) == len(quality.places(" ")) == 0
+
+
 def test_toxicity(spark):
     good = lambda r: " ".join(_word(r) for _ in range(30)) + "."
     bad = lambda r: " ".join([_word(r) for _ in range(15)] + [r.choice(["grumpf", "snotling"]) + r.choice(["", "er", "ing"])] + [_word(r) for _ in range(10)])
