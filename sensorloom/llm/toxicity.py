@@ -11,7 +11,8 @@ curve, whose weights start from the grammar's own and are fitted to the labels.
 their target, without one, negated or reported have paths of their own (``THREAT_PATHS``).
 
 Target, negation, threat and reporting words are fixed lists; insults are learned: words and word
-stems that toxic documents hold far more often than others, weighted by their log-ratio.
+stems that toxic documents hold far more often than others, or significantly more often where they
+are neither negated nor reported, weighted by their log-ratio.
 
 Fitting takes at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled rows (by the smallest hash of their
 id) outside the held-out fold; scoring covers every row and whole texts.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import product
 
 import numpy as np
@@ -44,6 +46,9 @@ STEMS = (4, 5, 6)
 #: A learned insult is so many times as often in toxic documents as in others, and explains this
 #: share of the toxic documents (LEAST_NEW at least) that those learned before it don't.
 LEAST_RATIO, LEAST_SHARE, LEAST_NEW = 20.0, 0.001, 3
+#: One whose open uses, neither negated nor reported, are so many times as often in toxic documents is
+#: learned too if twice the log-likelihood ratio of its counts is so much.
+OPEN_RATIO, OPEN_LEAST = 3.0, 20.0
 #: Others are learned too if they are so many times as often in toxic documents, and in this share of
 #: the toxic documents (SURE_NEW at least) of different kinds; near copies are of one kind.
 SURE_RATIO, SURE_SHARE, SURE_NEW = 100.0, 0.02, 8
@@ -160,7 +165,7 @@ class Lexicon(dict):
         if len(self) > 500_000:
             self.clear()
         weight = max([self.words.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in STEMS if len(word) > k)])
-        self[word] = found = ("I", weight) if weight else self.fixed.get(word)
+        self[word] = found = self.fixed.get(word) or (("I", weight) if weight else None)
         return found
 
 
@@ -212,41 +217,86 @@ def word_features(text: str | None) -> set[str]:
     return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
 
 
+OPENER = grammar()
+FIXED = frozenset([*TARGETS, *NEGATIONS, *REPORTING, *THREATS])
+_SIGN = {w: s for s, group in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTING)) for w in group} | dict.fromkeys(".!?;:,\n", ".")
+
+
+def open_features(text: str | None) -> set[str]:
+    """The features of words that are neither negated nor reported; fixed words have none."""
+    words, state = set(), OPENER.start
+    for word in _TOKEN.findall((text or "").lower()):
+        state, out = OPENER.step(state, _SIGN.get(word, "I"))
+        if out in ("I", "tI") and word not in FIXED:
+            words.add(word)
+    words = set().union(*(re.split("['’]", w) for w in words)) - FIXED
+    return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
+
+
 def kind_of(text: str | None) -> int:
     """Near copies mostly share it: the least hash of their 3-word shingles."""
     found = shingles(text, 3)
     return int(found[0] >> np.uint64(1)) if len(found) else 0
 
 
-def insults(counts: list[tuple[str, int, int]], held: list[tuple[set[str], int]], toxic: int, clean: int) -> tuple[dict[str, float], dict[str, float]]:
+def log_ratio(a: int, b: int, toxic: int, clean: int) -> float:
+    return float(np.log((a + 0.5) / (toxic + 1) * (clean + 1) / (b + 0.5)))
+
+
+def likelihood(a: int, b: int, toxic: int, clean: int) -> float:
+    """Twice the log-likelihood ratio of two counts against one rate for both classes."""
+    share = (a + b) / (toxic + clean)
+    return 2 * sum(n * float(np.log(n / (size * share))) for n, size in ((a, toxic), (b, clean)) if n)
+
+
+def insults(counts: list[tuple[str, int, int, int, int]], held: list[tuple[set[str], set[str], int]], toxic: int, clean: int) -> tuple[dict[str, float], dict[str, float]]:
     """Learned words and stems with their weights.
 
-    counts: (feature, toxic documents, clean documents); held: features and kind of each toxic document.
+    counts: (feature, toxic documents, clean documents, those of each with an open use); held: features,
+    openly used features and kind of each toxic document.
     The feature that explains most unexplained documents, less the clean documents that hold it,
-    comes first, so that what merely stands in copies of one toxic document is never learned.
+    comes first, so that what merely stands in copies of one toxic document is never learned. One that
+    is learned for its open uses alone must also be ``OPEN_RATIO`` times as often in unexplained ones.
     """
-    against = {n: b for n, _, b in counts}
-    ratio = {n: (a + 0.5) / (toxic + 1) * (clean + 1) / (b + 0.5) for n, a, b in counts}
-    docs: dict[str, set[int]] = {n: set() for n, r in ratio.items() if r >= LEAST_RATIO}
-    kinds: dict[str, set[int]] = {n: set() for n, r in ratio.items() if r >= SURE_RATIO}
-    for i, (names, kind) in enumerate(held):
+    ratio, against, openly = {}, {}, set()
+    kinds: dict[str, set[int]] = {}
+    for n, a, b, ao, bo in counts:
+        r, o = log_ratio(a, b, toxic, clean), log_ratio(ao, bo, toxic, clean)
+        if r >= np.log(LEAST_RATIO):
+            ratio[n], against[n] = r, b
+            if r >= np.log(SURE_RATIO):
+                kinds[n] = set()
+        elif ao >= LEAST_NEW and o >= np.log(OPEN_RATIO) and likelihood(ao, bo, toxic, clean) >= OPEN_LEAST:
+            ratio[n], against[n] = o, bo
+            openly.add(n)
+    docs: dict[str, set[int]] = {n: set() for n in ratio}
+    for i, (names, opened, kind) in enumerate(held):
         for n in names:
-            if n in docs:
+            if n in docs and n not in openly:
                 docs[n].add(i)
             if n in kinds:
                 kinds[n].add(kind)
-    rank = lambda n: (len(docs[n]) - against[n], not n.endswith("*"), len(n), n)
+        for n in opened & openly:
+            docs[n].add(i)
+    # the largest first; a stale place in the queue is put back with what is left of its documents
+    rank = lambda n: (against[n] - len(docs[n]), n.endswith("*"), -len(n), [-ord(c) for c in n] + [1])
+    queue = [(rank(n), n) for n in docs if len(docs[n]) >= LEAST_NEW]
+    heapify(queue)
     kept: dict[str, float] = {}
-    while docs and len(kept) < MAX_LEXICON:
-        best = max(docs, key=rank)
-        got = docs.pop(best)
-        if len(got) < max(LEAST_NEW, LEAST_SHARE * toxic):
-            break
-        kept[best] = float(np.log(ratio[best])) / 4
-        docs = {n: left for n, d in docs.items() if len(left := d - got) >= LEAST_NEW}
+    explained: set[int] = set()
+    while queue:
+        was, best = heappop(queue)
+        docs[best] -= explained
+        if len(docs[best]) < max(LEAST_NEW, LEAST_SHARE * toxic) or (best in openly and log_ratio(len(docs[best]), against[best], toxic, clean) < np.log(OPEN_RATIO)):
+            continue
+        if (now := rank(best)) != was:
+            heappush(queue, (now, best))
+            continue
+        kept[best] = ratio[best] / 4
+        explained |= docs[best]
     for n, found in kinds.items():
         if len(found) >= max(SURE_NEW, SURE_SHARE * toxic):
-            kept[n] = float(np.log(ratio[n])) / 4
+            kept[n] = ratio[n] / 4
     weigh = lambda stem: {n.rstrip("*"): w for n, w in kept.items() if n.endswith("*") == stem}
     return weigh(False), weigh(True)
 
@@ -280,26 +330,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     rows = stage(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(sample, "_id"), "sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = {0: Counter(), 1: Counter()}
+        seen = {k: Counter() for k in range(4)}  # clean, toxic, and those with an open use
         for b in batches:
             for y, t in zip(b["_y"], b["_text"], strict=True):
                 seen[int(y)].update(word_features(t))
+                seen[int(y) + 2].update(open_features(t))
         names = [*(seen[0].keys() | seen[1].keys())]
         if names:
-            yield pd.DataFrame({"name": names, "a": [seen[1][n] for n in names], "b": [seen[0][n] for n in names]})
+            yield pd.DataFrame({"name": names} | {c: [seen[k][n] for n in names] for c, k in (("a", 1), ("b", 0), ("ao", 3), ("bo", 2))})
 
     sizes = {int(r["_y"]): r["count"] for r in rows.groupBy("_y").count().collect()}
-    counts = rows.select("_y", "_text").mapInPandas(count, "name string, a long, b long").groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    ratio = (F.col("a") / (sizes.get(1, 0) + 1)) / ((F.col("b") + 0.5) / (sizes.get(0, 0) + 1))
-    counts = counts.where((F.col("a") >= LEAST_NEW) & (ratio >= LEAST_RATIO)).orderBy(F.col("a").desc(), "name").limit(MAX_LEXICON).collect()
+    counts = rows.select("_y", "_text").mapInPandas(count, "name string, a long, b long, ao long, bo long").groupBy("name").agg(*(F.sum(c).alias(c) for c in ("a", "b", "ao", "bo")))
+    ratio = lambda a, b: ((F.col(a) + 0.5) / (sizes.get(1, 0) + 1)) / ((F.col(b) + 0.5) / (sizes.get(0, 0) + 1))
+    share = F.greatest(F.col("ao") + F.col("bo"), F.lit(1)) / max(1, sizes.get(1, 0) + sizes.get(0, 0))
+    likely = lambda c, y: 2 * F.col(c) * F.log(F.greatest(F.col(c), F.lit(1)) / (share * max(1, sizes.get(y, 0))))
+    opened = (F.col("ao") >= LEAST_NEW) & (ratio("ao", "bo") >= OPEN_RATIO) & (likely("ao", 1) + likely("bo", 0) >= OPEN_LEAST)
+    counts = counts.where((F.col("a") >= LEAST_NEW) & ((ratio("a", "b") >= LEAST_RATIO) | opened)).orderBy(F.col("a").desc(), "name").limit(MAX_LEXICON).collect()
     names = rows.sparkSession.sparkContext.broadcast({r["name"] for r in counts})
 
-    @F.pandas_udf("h array<string>, kind long")
+    @F.pandas_udf("h array<string>, o array<string>, kind long")
     def held(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"h": [sorted(word_features(t) & names.value) for t in texts], "kind": [kind_of(t) for t in texts]})
+        features = lambda f: [sorted(f(t) & names.value) for t in texts]
+        return pd.DataFrame({"h": features(word_features), "o": features(open_features), "kind": [kind_of(t) for t in texts]})
 
     toxic = rows.where("_y = 1").select(held("_text").alias("x")).select("x.*").collect()
-    words, stems = insults([tuple(r) for r in counts], [(set(r["h"]), r["kind"]) for r in toxic], sizes.get(1, 0), sizes.get(0, 0))
+    words, stems = insults([tuple(r) for r in counts], [(set(r["h"]), set(r["o"]), r["kind"]) for r in toxic], sizes.get(1, 0), sizes.get(0, 0))
     model = Model(words, stems, PRIOR, PRIOR_BIAS)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 

@@ -321,6 +321,26 @@ def test_threats_before_their_target(spark):
     assert sum(got[i] == int(v) for i, v in y.items()) >= 236
 
 
+def test_insults_that_clean_documents_quote():
+    # 60 of 600 toxic and 12 of 2000 clean documents hold it, the latter negated or reported
+    hold = [({"grumpf"}, {"grumpf"}, i) for i in range(60)] + [(set(), set(), i) for i in range(60, 600)]
+    words, _ = toxicity.insults([("grumpf", 60, 12, 60, 0)], hold, 600, 2000)
+    assert words["grumpf"] > 0
+    words, _ = toxicity.insults([("grumpf", 60, 12, 60, 12)], hold, 600, 2000)
+    assert words["grumpf"] > 0 and toxicity.insults([("table", 60, 150, 60, 150)], [({"table"}, {"table"}, i) for i in range(60)], 600, 2000) == ({}, {})
+    assert toxicity.open_features("not grumpf. someone said snotling, clod") & {"grumpf", "snotling", "clod"} == {"clod"}
+
+
+def test_quoted_insults_are_told_from_open_ones(spark):
+    # a third of the clean documents hold the insult, negated or reported
+    say = lambda r: " ".join(_word(r) for _ in range(10))
+    good = lambda r: f"{say(r)}. " + (r.choice(["not grumpf. ", "someone said grumpf. "]) if r.random() < 0.3 else "") + say(r)
+    bad = lambda r: f"{say(r)}. such grumpf. {say(r)}"
+    docs, labels, y = _labelled(spark, bad, good, "toxic")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.report(docs, labels).collect()}
+    assert sum(got[i] == int(v) for i, v in y.items()) >= 236
+
+
 # --- 6 near-duplicates
 
 
