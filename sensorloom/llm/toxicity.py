@@ -39,7 +39,6 @@ from .common import bounded, fold, stage
 from .neardup import shingles
 
 MAX_TOXIC, MAX_CLEAN = 3000, 9000
-MAX_LEXICON = 5000
 FOLDS = 5
 THRESHOLD = 0.5
 STEMS = (4, 5, 6)
@@ -345,7 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     share = F.greatest(F.col("ao") + F.col("bo"), F.lit(1)) / max(1, sizes.get(1, 0) + sizes.get(0, 0))
     likely = lambda c, y: 2 * F.col(c) * F.log(F.greatest(F.col(c), F.lit(1)) / (share * max(1, sizes.get(y, 0))))
     opened = (F.col("ao") >= LEAST_NEW) & (ratio("ao", "bo") >= OPEN_RATIO) & (likely("ao", 1) + likely("bo", 0) >= OPEN_LEAST)
-    counts = counts.where((F.col("a") >= LEAST_NEW) & ((ratio("a", "b") >= LEAST_RATIO) | opened)).orderBy(F.col("a").desc(), "name").limit(MAX_LEXICON).collect()
+    counts = counts.where((F.col("a") >= LEAST_NEW) & ((ratio("a", "b") >= LEAST_RATIO) | opened)).orderBy("name").collect()  # the sample bounds them
     names = rows.sparkSession.sparkContext.broadcast({r["name"] for r in counts})
 
     @F.pandas_udf("h array<string>, o array<string>, kind long")

@@ -341,6 +341,16 @@ def test_quoted_insults_are_told_from_open_ones(spark):
     assert sum(got[i] == int(v) for i, v in y.items()) >= 236
 
 
+def test_rare_insult_beside_many_candidates(spark):
+    rng = random.Random(3)
+    common = " ".join({"".join(rng.choices("klmn", k=8)) for _ in range(4000)})  # over 5000 words and stems
+    say = lambda r: " ".join(_word(r) for _ in range(20))
+    bad = lambda r: f"{say(r)} grumpf" if r.random() < 0.25 else f"{say(r)} {common}"
+    docs, labels, _ = _labelled(spark, bad, say, "toxic")
+    model = toxicity.fit(docs, labels)
+    assert model.score("such grumpf here") > model.score("such words here")
+
+
 # --- 6 near-duplicates
 
 
