@@ -88,6 +88,19 @@ def test_streams(spark, tmp_path):
     assert spark.table("sev").columns == ["source_id", "point_id", "start", "n_good", "n_uncertain", "n_bad"]
 
 
+def test_isolation_draws_from_all_rows(spark):
+    # a third of over 200,000 rows are equal: every tree's sample has about that share of them
+    df = spark.range(210_000).selectExpr("CASE WHEN id % 3 = 0 THEN -1D ELSE id * 1D END AS a", "CASE WHEN id % 3 = 0 THEN 0D ELSE id % 7 * 1D END AS b")
+    got = isolation.samples(df, ["a", "b"], trees=5).toPandas()
+    assert (got.groupby("tree").size() == 256).all() and got[got.a >= 0].groupby("tree").a.nunique().equals(got[got.a >= 0].groupby("tree").size().rename("a"))
+    assert (got.a.eq(-1).groupby(got.tree).mean().between(0.22, 0.45)).all()
+    again = isolation.samples(df.repartition(7), ["a", "b"], trees=5).toPandas()
+    key = ["tree", "u", "a", "b"]
+    assert got.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+    few = isolation.fit(df.limit(10), ["a", "b"])
+    assert few[1] == 10 and len(few[0]) == isolation.TREES
+
+
 def test_isolation(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
