@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(found)
         return found
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = os.environ.get("SENSORLOOM_SHARED")
     if not own:
         own = os.environ["SENSORLOOM_SHARED"] = tempfile.mkdtemp(prefix="sensorloom-")
@@ -71,7 +75,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_stage(staged: DataFrame) -> None:
+    """Removes a staged table that nothing reads any more."""
+    drop_path(staged.sparkSession, staged._staged_at)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
+def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
+    """The rows with a number each, written down: a second reading deals them alike, whatever executors are left."""
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 def word_count(text: Column) -> Column:
@@ -107,56 +131,83 @@ def prefix_sums(df: DataFrame, order: list[Column], value: str, out: str, part:
     return (rows.withColumn(part, F.col("_part")) if part else rows).drop("_part", "_at", "_base")
 
 
+def with_least(rows: DataFrame, key: str, value: str, out: str, n: int | None = None) -> DataFrame:
+    """Adds ``out``: the smallest ``value`` of a row's ``key``.
+
+    Keys that hold more than one in ``HOT_SHARE`` of all rows are met by broadcast (twice
+    ``HOT_SHARE`` of them at most), so their rows are not sent to one task; the rest by a join.
+    """
+    n = rows.count() if n is None else n
+    least = rows.groupBy(key).agg(F.min(value).alias(out), F.count(F.lit(1)).alias("_n"))
+    bound = max(HOT_LEAST, n // HOT_SHARE)
+    if n <= bound:
+        return rows.join(least.drop("_n"), key)
+    hot = least.where(F.col("_n") > bound).drop("_n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(least.where(F.col("_n") <= bound).drop("_n"), key)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))
+
+
+HOT_LEAST, HOT_SHARE = 256, 4000
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """Smallest id reachable from each linked node: (node, component_id).
 
     Alternates the large-star and small-star steps until no link changes. Each step is a
-    minimum per node and one join, so a hub costs its partial minimum, never a collected list.
+    minimum per node, met again by the node's links; a hub's links stay where they are.
     """
-    spark = links.sparkSession
     edges = stage(links.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo <> hi").distinct(), "links")
-    mark = None
+    mark, n = None, edges.count()
     for _ in range(rounds):
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(edges.select("hi", "lo"))
-        near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(near, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
+        large = with_least(both, "u", "v", "m", 2 * n).where("v > u").select(F.least("u", "m").alias("lo"), F.col("v").alias("hi"))
         large = large.where("lo <> hi").distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.col("m"), F.explode(F.array("lo", "hi")).alias("hi"))
-        edges = stage(small.where("m <> hi").select(F.col("m").alias("lo"), "hi").distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if now == mark:
+        small = with_least(large, "hi", "lo", "m", n).select("m", F.explode(F.array("lo", "hi")).alias("hi"))
+        before, edges = edges, stage(small.where("m <> hi").select(F.col("m").alias("lo"), "hi").distinct(), "links")
+        drop_stage(before)
+        n, now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
+        if (n, now) == mark:
             break
-        mark = now
+        mark = (n, now)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("lo").alias("node")).distinct()
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component_id")).union(roots.select("node", F.col("node")))
 
 
-#: A key filter never has more bits than this (8 MB broadcast).
-MAX_FILTER_BITS = 1 << 26
+#: A key filter never has more bits than this: half a million words, about 25 MB broadcast.
+MAX_FILTER_BITS = 1 << 25
 
 
-def key_filter(keys: DataFrame, key: str):
-    """A function from a long column to boolean: false only for values that are not among the keys.
+def key_mark(rows: DataFrame, column: str, keys: DataFrame, key: str, out: str) -> DataFrame:
+    """Adds the boolean ``out``: false only for rows whose ``column`` is not among the keys.
 
-    A bitmap with one bit per hashed key. Its size is bounded; once full it lets more rows
-    through, which the exact join behind it sorts out.
+    A bitmap with one bit per hashed key, joined by broadcast as 64-bit words. Its size is
+    bounded; once full it lets more rows through, which the exact join behind it sorts out.
     """
-    spark = keys.sparkSession
     n = max(1, keys.count())
     bits = min(MAX_FILTER_BITS, 1 << max(12, (16 * n).bit_length()))
-    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
-    words = keys.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("v"))
-    found = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
-    table = np.zeros(bits // 64, dtype=np.int64)
-    table[found["w"].to_numpy()] = found["v"].to_numpy()
-    shared = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def held(p: pd.Series) -> pd.Series:
-        at = p.to_numpy().astype(np.int64)
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
-
-    return lambda column: held(F.pmod(F.xxhash64(column.cast("long")), F.lit(bits)))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), (p % 64).cast("int"))
+    words = keys.select(place(key).alias("p")).select(F.shiftright("p", 6).alias("_w"), bit(F.col("p")).alias("_v")).groupBy("_w").agg(F.bit_or("_v").alias("_v"))
+    found = rows.withColumn("_p", place(column)).withColumn("_w", F.shiftright("_p", 6)).join(F.broadcast(words), "_w", "left")
+    return found.withColumn(out, F.coalesce(F.col("_v").bitwiseAND(bit(F.col("_p"))) != 0, F.lit(False))).drop("_w", "_p", "_v")
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+@contextmanager
+def lent(*caches: dict) -> Iterator[None]:
+    """Around the batches of a Python task: at its end empties the caches and hands free memory back.
+
+    Workers outlive their tasks, so what one leaves behind would stand beside the next stage's.
+    """
+    try:
+        yield
+    finally:
+        for c in caches:
+            c.clear()
+        pa.default_memory_pool().release_unused()
+        if _TRIM:
+            _TRIM(0)

@@ -2,8 +2,9 @@
 
 Benchmark items are cut into windows of ten consecutive words (an item of fewer words is one
 window). All windows form one automaton, and every document is scanned once. The windows are
-counted first: an automaton holds at most ``MAX_WINDOWS`` of them, and a larger benchmark is
-scanned in blocks of that size, each with an automaton of its own, whose hits are merged.
+counted first: an automaton holds about ``MAX_WINDOWS`` of them (counted once per item that has
+them), and a larger benchmark is scanned in blocks of that size, one after the other, whose hits
+are merged by document.
 
 Defined cases: a null or empty text has no words and no hits; an item without words has no
 window; equal windows of several items count for each of them; repeated item ids count once;
@@ -13,15 +14,14 @@ other columns of the inputs are kept by ``annotate`` and never looked at.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, stage
+from .common import bounded, lent, numbered, stage, unused
 
 WINDOW = 10
 #: Windows in one automaton; about 200 MB in a worker.
@@ -54,28 +54,32 @@ def _windows(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame
     return rows.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-_BUILT: dict[str, object] = {}
+def automaton(windows):
+    """One automaton over (window, items)."""
+    import ahocorasick
 
+    machine = ahocorasick.Automaton()
+    for window, items in windows:
+        machine.add_word(window, (window.count(" ") - 1, items))
+    machine.make_automaton()
+    return machine
 
-def _automaton(key: str, shared):
-    """The automaton of a broadcast block, built once per worker."""
-    import ahocorasick
 
-    if key not in _BUILT:
-        _BUILT.clear()
-        machine = ahocorasick.Automaton()
-        for window, items in shared.value:
-            machine.add_word(window, (window.count(" ") - 1, items))
-        machine.make_automaton()
-        _BUILT[key] = machine
-    return _BUILT[key]
+def merged(spans) -> list[tuple[int, int]]:
+    """Word spans [first, last], joined where they touch."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    return out
 
 
-def scan(text: str | None, machine, before=None) -> tuple[int, list[tuple[int, int]], list[str]]:
+def scan(text: str | None, machine) -> tuple[int, list[tuple[int, int]], list[str]]:
     """Words, merged word spans [first, last] that occur in the automaton, and their items."""
     words = words_of(text)
-    spans = [tuple(x) for x in before[0]] if before else []
-    items = set(before[1]) if before else set()
+    spans, items = [], set()
     line = (b" %b " % b" ".join(words)).decode("utf-8", "surrogatepass")
     found = list(machine.iter(line)) if words and len(machine) else []
     if found:
@@ -84,13 +88,7 @@ def scan(text: str | None, machine, before=None) -> tuple[int, list[tuple[int, i
         for last, (_, (n, of)) in zip(ends.tolist(), found, strict=True):
             spans.append((last - n + 1, last))
             items.update(of)
-    merged: list[tuple[int, int]] = []
-    for first, last in sorted(spans):
-        if merged and first <= merged[-1][1] + 1:
-            merged[-1] = (merged[-1][0], max(last, merged[-1][1]))
-        else:
-            merged.append((first, last))
-    return len(words), merged, sorted(items)
+    return len(words), merged(spans), sorted(items)
 
 
 def original_offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -101,48 +99,58 @@ def original_offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int,
     return [(point(places[a][0]), point(places[b][1])) for a, b in spans]
 
 
-def _scanner(shared, again: bool):
-    key = uuid.uuid4().hex
+def _row(n: int, spans, items) -> tuple:
+    return n, [{"first": int(a), "last": int(b)} for a, b in spans], items
+
 
-    def rows(texts: pd.Series, hits=None, items=None) -> pd.DataFrame:
-        machine = _automaton(key, shared)
-        out = []
-        for i, text in enumerate(texts):
-            old = ([(x["first"], x["last"]) for x in hits.iloc[i]], list(items.iloc[i])) if again else None
-            n, spans, of = scan(text, machine, old)
-            out.append((n, [{"first": a, "last": b} for a, b in spans], of))
-        return pd.DataFrame(out, columns=["n_words", "hits", "items"])
+def _scanner(shared):
+    @F.pandas_udf(HITS)
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with lent():
+            machine = automaton(shared.value)
+            for texts in batches:
+                yield pd.DataFrame([_row(*scan(t, machine)) for t in texts], columns=["n_words", "hits", "items"])
 
-    if again:
+    return hits
 
-        @F.pandas_udf(HITS)
-        def more(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-            for text, old in batches:
-                yield rows(text, old["hits"], old["items"])
 
-        return more
+def _joined():
+    """The hits of one document in several blocks as one."""
 
     @F.pandas_udf(HITS)
-    def first(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for text in batches:
-            yield rows(text)
+    def hits(parts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for some in parts:
+            spans = merged((x["first"], x["last"]) for p in some for x in p["hits"])
+            rows.append(_row(some[0]["n_words"], spans, sorted({i for p in some for i in p["items"]})))
+        return pd.DataFrame(rows, columns=["n_words", "hits", "items"])
 
-    return first
+    return hits
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, out: str = "leak", max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """Adds the struct column ``out`` (n_words, hits as word spans, items) to every document."""
+    """Adds the struct column ``out`` (n_words, hits as word spans, items) to every document.
+
+    Blocks are scanned one after the other, each in a job of its own, so one automaton lives at a time.
+    """
     spark = docs.sparkSession
     bounded(spark)
     windows = stage(_windows(benchmark, item_id, item_text, width), "windows")
-    blocks = max(1, -(-windows.count() // max_windows))
-    found: Column | None = None
+    entries = windows.agg(F.sum(F.size("items"))).first()[0] or 0
+    blocks = max(1, -(-entries // max_windows))
+    share = lambda df: spark.sparkContext.broadcast([(r["window"], list(r["items"])) for r in df.collect()])
+    if blocks == 1:
+        return docs.withColumn(out, _scanner(share(windows))(F.col(text)))
+    rid = unused("rid", docs)
+    docs, found = numbered(docs, rid), None
     for k in range(blocks):
-        block = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast([(r["window"], list(r["items"])) for r in block.collect()])
-        udf = _scanner(shared, found is not None)
-        found = udf(F.col(text)) if found is None else udf(F.col(text), found)
-    return docs.withColumn(out, found)
+        shared = share(windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k))
+        part = docs.select(rid, _scanner(shared)(F.col(text)).alias("_h"))
+        part = stage(part if k == 0 else part.where(F.size("_h.hits") > 0), "hits")  # the first block counts every document's words
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy(rid).agg(F.collect_list("_h").alias("_h")).select(rid, _joined()("_h").alias(out))
+    return docs.join(found, rid).drop(rid)
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -161,7 +169,8 @@ def spans(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any hit, with their own columns."""
-    return annotate(docs, benchmark, out="_leak", **options).where(F.size("_leak.hits") == 0).drop("_leak")
+    leak = unused("leak", docs)
+    return annotate(docs, benchmark, out=leak, **options).where(F.size(f"{leak}.hits") == 0).drop(leak)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ form the keys of the candidate search, and all are folded into an odd sketch, a
 whose XOR population count estimates the similarity of two sets. Candidates that the sketches
 leave open are confirmed on the full sets.
 
-No bucket is expanded into its pairs. Classes that share buckets, directly or through others,
-form a coarse group, which no link leaves. A group's classes meet in blocks of ``BLOCK`` (a larger
-group in all pairs of its blocks), each set shipped once per block pair; there a pair is only
-looked at while its two classes are in different components, first by its sketches, then on the
-full sets. One edge per class comes out, to the smallest of its component.
+No bucket is expanded into its pairs. Classes that share a band's key meet in its bucket, by their
+sketches alone; a bucket of more than ``BLOCK`` is met in all pairs of its blocks. Of each bucket
+comes one edge per class at most, to the smallest it is like, and classes that such edges join,
+directly or through others, form a coarse group, which no link leaves. A group's classes meet in
+blocks again, each full set shipped once per block pair; there a pair is only looked at while its
+two classes are in different components, first by its sketches, then on the full sets. One edge
+per class comes out, to the smallest of its component.
 
 Defined cases: null and empty texts, and texts of white space, have an empty set, link with
 nothing and stay; fewer words than a shingle form one; repeated rows are copies of each
@@ -30,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, key_filter, stage
+from .common import bounded, components, drop_stage, key_mark, lent, numbered, stage, unused, with_least
 from .streams import per_group
-from .wordhash import M1, M3, hashes, mixed, windows
+from .wordhash import M1, M3, WORDS, hashes, mixed, windows
 
 SHINGLE = 3
 PERCENT = 85
@@ -121,15 +123,23 @@ def linked(one: np.ndarray, many: list[np.ndarray], percent: int) -> np.ndarray:
     return good
 
 
-def link_block(sketches: np.ndarray, sets: list[np.ndarray], side: np.ndarray, same: bool, percent: int, most: int) -> np.ndarray:
-    """Smallest row linked with each row, directly or through others; sides meet unless ``same``."""
-    n = len(sets)
+def link_block(sketches: np.ndarray, sets: list[np.ndarray] | None, side: np.ndarray, same: bool, percent: int, most: int) -> np.ndarray:
+    """Smallest row linked with each row, directly or through others; sides meet unless ``same``.
+
+    Without sets, rows of like sketches count as linked.
+    """
+    n = len(sketches)
     label = np.arange(n)
     other = np.arange(n) if same else np.flatnonzero(side == 1)
     for i in range(n) if same else np.flatnonzero(side == 0):
         rest = other[other > i] if same else other
         rest = rest[label[rest] != label[i]]
         rest = rest[np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1) <= most]
+        if sets is None:
+            if len(rest):
+                found = np.unique(np.append(label[rest], label[i]))
+                label[np.isin(label, found)] = found[0]
+            continue
         while len(rest):
             now, rest = rest[:256], rest[256:]
             for j in now[linked(sets[i], [sets[k] for k in now], percent)]:
@@ -140,73 +150,80 @@ def link_block(sketches: np.ndarray, sets: list[np.ndarray], side: np.ndarray, s
     return label
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """rid, doc_id, n_shingles, digest (null if the set is empty), bands, sketch."""
+def signatures(rows: DataFrame, text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """rid, doc_id, n_shingles, digest (null if the set is empty), bands, sketch of numbered rows."""
     bands, samples = bands_for(percent), samples_for(percent)
 
     @F.pandas_udf("n long, digest binary, bands array<long>, sketch array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for t in texts:
-                h = shingles(t, size)
-                if len(h):
-                    least = minhashes(h, samples)
-                    rows.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), band_keys(least, bands), odd_sketch(least)))
-                else:
-                    rows.append((0, None, None, None))
-            yield pd.DataFrame(rows, columns=["n", "digest", "bands", "sketch"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), sign(F.col(text)).alias("s"))
+        with lent(WORDS):
+            for texts in batches:
+                rows = []
+                for t in texts:
+                    h = shingles(t, size)
+                    if len(h):
+                        least = minhashes(h, samples)
+                        rows.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), band_keys(least, bands), odd_sketch(least)))
+                    else:
+                        rows.append((0, None, None, None))
+                yield pd.DataFrame(rows, columns=["n", "digest", "bands", "sketch"])
+
+    rows = rows.select("rid", "doc_id", sign(F.col(text)).alias("s"))
     return rows.select("rid", "doc_id", F.col("s.n").alias("n_shingles"), "s.digest", "s.bands", "s.sketch")
 
 
-def _links(held: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between classes of coarse groups. held: cid, coarse, sketch, set."""
-    sizes = held.groupBy("coarse").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-    blocks = stage(sizes.select("coarse", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot")
+def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a key in the block pairs they take part in: bi, bj, side beside the other columns."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    blocks = stage(sizes.select(key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot")
     if blocks.count() <= MAX_BROADCAST:
         blocks = F.broadcast(blocks)
-    rows = held.join(blocks, "coarse", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("coarse", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cid", "sketch", "set")
-    most = most_bits(percent)
+    out = rows.join(blocks, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    out = out.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return out.select(*rows.columns, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+
+def _links(held: DataFrame, key: str, percent: int) -> DataFrame:
+    """Edges (a, b) between classes of one key. held: cid, key, sketch and, to confirm links, set."""
+    whole, most = "set" in held.columns, most_bits(percent)
 
     def run(table) -> list[tuple]:
         n = len(table)
         if n < 2:
             return []
         sketches = np.asarray(table["sketch"].combine_chunks().flatten()).reshape(n, -1).view(np.uint64)
-        sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()] if whole else None
         cid, same = table["cid"].to_numpy(), table["bi"][0] == table["bj"][0]
         label = link_block(sketches, sets, table["side"].to_numpy(), same, percent, most)
         return [(int(cid[k]), int(cid[i])) for i, k in enumerate(label) if k != i]
 
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return per_group(rows, ["coarse", "bi", "bj"], run, "a long, b long", arrow)
+    return per_group(_in_blocks(held, key), [key, "bi", "bj"], run, "a long, b long", arrow)
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """rid, doc_id, n_shingles, component_id, first (the one row of its component that stays).
+    """rid, doc_id, n_shingles, component_id, first (the one row of its component that stays)."""
+    return _groups(numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "text", percent, size)
 
-    ``rid`` is the row's monotonically_increasing_id() in ``docs``.
-    """
+
+def _groups(docs: DataFrame, text: str, percent: int, size: int) -> DataFrame:
     bounded(docs.sparkSession)
-    signed = stage(signatures(docs, doc_id, text, percent, size), "signatures")
+    signed = stage(signatures(docs, text, percent, size), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("cid"), F.min(order).alias("least"))
     classes = stage(classes, "classes")
     nodes = signed.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("cid"), "bands", "sketch")
     rows = nodes.select("cid", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("cid").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    member = rows.join(shared, "key").where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
-    coarse = stage(components(member).withColumnsRenamed({"node": "cid", "component_id": "coarse"}), "coarse")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    member = stage(rows.join(shared, "key").join(nodes.select("cid", "sketch"), "cid"), "buckets")
+    alike = _links(member.select("key", "cid", "sketch"), "key", percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    coarse = stage(components(alike).withColumnsRenamed({"node": "cid", "component_id": "coarse"}), "coarse")
+    drop_stage(member)
     held = nodes.select("cid", "sketch").join(coarse, "cid").join(_sets(docs, text, size, coarse), "cid")
-    links = stage(_links(held, percent), "confirmed")
+    links = stage(_links(held, "coarse", percent), "confirmed")
     labels = components(links)
     of = classes.join(labels.withColumnsRenamed({"node": "cid", "component_id": "label"}), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    first = of.groupBy("label").agg(F.min("least").alias("first"))
-    of = of.join(first, "label").select("digest", F.col("first.doc_id").alias("component_id"), F.col("first.rid").alias("first_rid"))
+    of = with_least(of.select("digest", "label", "least"), "label", "least", "first").select("digest", F.col("first.doc_id").alias("component_id"), F.col("first.rid").alias("first_rid"))
     out = signed.select("rid", "doc_id", "n_shingles", "digest").join(of, "digest", "left")
     alone = F.col("digest").isNull()
     return out.select("rid", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("rid") == F.col("first_rid"))).alias("first"))
@@ -217,21 +234,23 @@ def _sets(docs: DataFrame, text: str, size: int, ids: DataFrame) -> DataFrame:
 
     @F.pandas_udf("binary")
     def full(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shingles(t, size).tobytes() for t in texts], dtype=object)
+        with lent(WORDS):
+            for texts in batches:
+                yield pd.Series([shingles(t, size).tobytes() for t in texts], dtype=object)
 
-    some = docs.select(F.monotonically_increasing_id().alias("cid"), F.col(text).alias("_text"))
-    some = some.where(key_filter(ids, "cid")(F.col("cid"))).select("cid", full("_text").alias("set"))
-    return some
+    some = docs.select(F.col("rid").alias("cid"), F.col(text).alias("text"))
+    return key_mark(some, "cid", ids, "cid", "maybe").where("maybe").select("cid", full("text").alias("set"))
 
 
-def keep(docs: DataFrame, **options) -> DataFrame:
+def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One document of each group, with its own columns."""
-    gone = stage(groups(docs, **options).where(~F.col("first")).select(F.col("rid").alias("_rid")), "gone")
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    rows = rows.withColumn("_maybe", key_filter(gone, "_rid")(F.col("_rid")))
-    some = rows.where("_maybe").join(gone, "_rid", "left_anti")
-    return rows.where("not _maybe").select(*docs.columns).unionByName(some.select(*docs.columns))
+    rid, maybe = unused("rid", docs), unused("maybe", docs)
+    rows = numbered(docs, rid)
+    slim = rows.select(F.col(rid).alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    gone = stage(_groups(slim, "text", percent, size).where(~F.col("first")).select(F.col("rid").alias(rid)), "gone")
+    rows = key_mark(rows, rid, gone, rid, maybe)
+    some = rows.where(maybe).join(gone, rid, "left_anti")
+    return rows.where(~F.col(maybe)).select(*docs.columns).unionByName(some.select(*docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:

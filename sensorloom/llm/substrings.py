@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import bounded, key_filter, stage
+from .common import bounded, key_mark, lent, numbered, stage
 
 WINDOW = 20
 PERIOD = 13
@@ -169,12 +169,14 @@ def _repeats(rows: DataFrame, entries: Callable, first_stays: bool, parts: int)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Entries(first_stays, parts)
-        for batch in batches:
-            for entry in entries(batch):
-                held.add(*entry)
-                if held.n > FLUSH:
-                    yield from held.send()
-        yield from held.send()
+        with lent(wordhash.WORDS):
+            for batch in batches:
+                for entry in entries(batch):
+                    held.add(*entry)
+                    if held.n > FLUSH:
+                        yield from held.send()
+            yield from held.send()
+            held = None
 
     n = max(1, parts // 4)
     found = rows.mapInArrow(pack, _PACKED).repartition(n, "part").mapInArrow(_settle(first_stays, n), "bucket int, rid binary, pos binary")
@@ -201,7 +203,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spans: bo
     spark = docs.sparkSession
     bounded(spark)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
 
     def anchor_entries(batch: pa.RecordBatch):
         for rid, t in zip(batch["rid"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -211,8 +213,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spans: bo
                 yield key, np.zeros(len(key), np.uint32), 0, rid, at
 
     marked = stage(_repeats(rows.select("rid", "text"), anchor_entries, False, parts), "anchors")
-    rows = rows.withColumn("_maybe", key_filter(marked, "rid")(F.col("rid")))
-    some = stage(rows.where("_maybe").drop("_maybe").join(marked, "rid", "left"), "candidates")
+    rows = key_mark(rows, "rid", marked, "rid", "maybe")
+    some = stage(rows.where("maybe").drop("maybe").join(marked, "rid", "left"), "candidates")
 
     def window_entries(batch: pa.RecordBatch):
         for rid, doc, t, pos in zip(*(batch[c].to_pylist() for c in ("rid", "doc_id", "text", "pos")), strict=True):
@@ -223,7 +225,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spans: bo
 
     repeats = stage(_repeats(some, window_entries, True, parts), "repeats")
     some = some.drop("pos").join(repeats, "rid", "left")
-    rest = rows.where("not _maybe").drop("_maybe").withColumn("pos", F.lit(None).cast("binary"))
+    rest = rows.where("not maybe").drop("maybe").withColumn("pos", F.lit(None).cast("binary"))
     out = "n_words long, n_removed long, kept string, removed array<struct<first:int,after:int>>"
 
     @F.pandas_udf(out)

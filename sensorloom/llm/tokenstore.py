@@ -9,7 +9,7 @@ Format of a store (a folder in the shared file system):
   document in order. Folders shard=0, 1, 2 ... and the rows of each file go in ascending doc_id
   order (null last). ``leaf`` is the SHA-256 of the recipe.
 * ``manifest``: one JSON line with the number of documents, ids and chunks, the id width, the
-  type of doc_id, and the Merkle root over the shards' roots.
+  type of doc_id, and the Merkle root over all leaves.
 
 A document's id stream ends in the end id. Streams are cut where a rolling hash of the last
 ``SPAN`` ids meets a mask, not before ``LEAST`` and at latest after ``MOST`` ids, so that equal
@@ -18,7 +18,7 @@ every chunk and recipe anew and compares them with the digests and the Merkle ro
 
 Ids come from the tokenizers library. Its result for a text is the concatenation of its results
 for the pieces between spaces and line ends, so pieces are encoded once per worker and
-remembered (twice ``MAX_KNOWN`` of them at most).
+remembered (twice ``MAX_BYTES`` of them at most).
 
 Defined cases: a null or empty text is a stream of the end id alone; rows of equal doc_id follow
 each other in the order of their texts' hashes; an empty table gives an empty store; other
@@ -30,64 +30,52 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from sys import getsizeof
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, drop_path, prefix_sums, shared_path
+from .common import bounded, drop_path, lent, prefix_sums, shared_path, stage
 
 END = 2
 SPAN, MASK_BITS, LEAST, MOST = 8, 9, 128, 4096
-MAX_KNOWN = 800_000
+#: Bytes of remembered pieces in one generation, and of one entry besides its strings.
+MAX_BYTES, ENTRY = 64 << 20, 90
+#: Ids in one run of leaves, and runs in one group, of the Merkle tree.
+RUN, FAN_IN = 1 << 22, 1 << 12
+#: Digests of chunks that a task has sent and need not send again.
+MAX_SENT = 100_000
 
 _rng = np.random.default_rng(7)
 _GEAR = _rng.integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
-#: Letters, digits and signs whose normal form, lower case and class are the same in every library.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-įıĲ-ɏ]+")
-#: How the vocabulary's own tokenizer cuts plain pieces; fixed by the vocabulary file.
-_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-zß-öø-ɏ0-9]+")
-
-
-def _byte_signs() -> dict[int, str]:
-    """The sign of each byte in a byte-level vocabulary: itself if printable, else 256 and up."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return {b: chr(b if b in own else next(rest)) for b in range(256)}
-
-
 class _Pieces(dict):
     """Ids of pieces between spaces, as bytes. Two generations: when one is full, the one before is forgotten."""
 
     def __init__(self, tokenizer, width: str):
         super().__init__()
-        self.tokenizer, self.width, self.signs = tokenizer, width, _byte_signs()
+        self.tokenizer, self.width = tokenizer, width
         self.code = {"<u2": "H", "<u4": "I"}[width]
-        rules = json.loads(tokenizer.to_str())
-        cut = [x.get("pattern", {}).get("Regex", "") for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.known_rules = any(c.startswith("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|") for c in cut) and rules["normalizer"]["normalizers"][-1]["type"] == "Lowercase"
         self.before: dict[str, bytes] = {}
+        self.size = 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_KNOWN:
+        if self.size >= MAX_BYTES:
             self.before = dict(self)
             self.clear()
+            self.size = 0
         found = self.before.get(piece)
         if found is None:
-            if self.known_rules and _PLAIN.fullmatch(piece) and "<|" not in piece:
-                tokenize = self.tokenizer.model.tokenize
-                ids = [x.id for w in _CUT.findall(piece.lower()) for x in tokenize(w.encode().decode("latin-1").translate(self.signs))]
-            else:
-                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            found = array(self.code, ids).tobytes()
+            found = array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         self[piece] = found
+        self.size += ENTRY + getsizeof(piece) + len(found)
         return found
 
 
@@ -109,24 +97,30 @@ def encode(text: str | None, pieces: _Pieces, end: int = END) -> np.ndarray:
     return np.append(np.frombuffer(got, pieces.width), np.array(end, pieces.width))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind which a chunk may end: where the rolling hash of the last SPAN ids meets the mask."""
     g = _GEAR[ids & 0xFFFF]
     h = g.copy()
     for k in range(1, SPAN):
         h[k:] += g[:-k] << np.uint64(k)
-    marks = np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << MASK_BITS) - 1) == 0) + 1
-    out, last, i = [], 0, 0
-    while n - last > LEAST:
-        i = int(np.searchsorted(marks, last + LEAST))
-        end = min(int(marks[i]) if i < len(marks) else n, last + MOST, n)
-        out.append(end)
-        last = end
-    if last < n:
-        out.append(n)
+    return np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << MASK_BITS) - 1) == 0) + 1
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream."""
+    return cuts_at(marks(ids).tolist(), 0, len(ids)) if len(ids) > LEAST else [len(ids)]
+
+
+def cuts_at(places: list[int], first: int, after: int) -> list[int]:
+    """Ends of the chunks of the stream ids[first:after] among marked places; none is near enough to its start to depend on the ids before."""
+    out, last = [], first
+    i = bisect_left(places, first + LEAST)
+    while after - last > LEAST:
+        i = bisect_left(places, last + LEAST, i)
+        last = min(places[i] if i < len(places) else after, last + MOST, after)
+        out.append(last - first)
+    if last < after:
+        out.append(after - first)
     return out
 
 
@@ -155,27 +149,31 @@ def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
     @F.pandas_udf("n_tokens long, digests array<binary>, lengths array<int>, fresh array<binary>")
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces, sent = _pieces(tokenizer, width), set()
-        for texts in batches:
-            rows = []
-            for t in texts:
-                ids = encode(t, pieces, end)
-                raw, size, last = ids.tobytes(), ids.itemsize, 0
-                digests, lengths, fresh = [], [], []
-                for e in cuts(ids):
-                    part = raw[last * size : e * size]
-                    d = digest(part)
-                    digests.append(d)
-                    lengths.append(e - last)
-                    if d in sent:
-                        fresh.append(None)
-                    else:  # later copies in this task need not send it again
-                        if len(sent) > MAX_KNOWN:
-                            sent.clear()
-                        sent.add(d)
-                        fresh.append(part)
-                    last = e
-                rows.append((len(ids), digests, lengths, fresh))
-            yield pd.DataFrame(rows, columns=["n_tokens", "digests", "lengths", "fresh"])
+        with lent():
+            for texts in batches:
+                yield packed([encode(t, pieces, end) for t in texts], sent)
+
+    def packed(streams: list[np.ndarray], sent: set) -> pd.DataFrame:
+        flat = np.concatenate(streams)
+        raw, size, places, at, rows = memoryview(flat.tobytes()), flat.itemsize, marks(flat).tolist(), 0, []
+        for ids in streams:
+            digests, lengths, fresh, last = [], [], [], at
+            for e in cuts_at(places, at, at + len(ids)):
+                part = bytes(raw[last * size : (at + e) * size])
+                d = digest(part)
+                digests.append(d)
+                lengths.append(at + e - last)
+                if d in sent:
+                    fresh.append(None)
+                else:  # later copies in this task need not send it again
+                    if len(sent) > MAX_SENT:
+                        sent.clear()
+                    sent.add(d)
+                    fresh.append(part)
+                last = at + e
+            rows.append((len(ids), digests, lengths, fresh))
+            at += len(ids)
+        return pd.DataFrame(rows, columns=["n_tokens", "digests", "lengths", "fresh"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), pack(F.col(text)).alias("p"))
     rows.select("doc_id", "tie", "p.*").write.option("compression", "zstd").parquet(f"{path}/staged")
@@ -211,18 +209,26 @@ def _recipes(spark: SparkSession, path: str, kind: str | None = None) -> DataFra
 
 
 def _roots(spark: SparkSession, path: str, kind: str | None = None) -> str:
-    """Merkle root over the roots of the shards, from the leaves in the recipe files.
+    """Merkle root of the leaves in the recipe files, in the order of their starts.
 
-    A shard's leaves meet in fixed runs of 4 million ids, so no task holds a whole shard.
+    Leaves meet in fixed runs of RUN ids, and runs in groups of FAN_IN, until one is left: no task
+    holds a whole shard, and the driver one root.
     """
-    rows = _recipes(spark, path, kind).select("shard", "start", "doc_id", "leaf", F.floor(F.col("start") / (1 << 22)).alias("run"))
 
     def root(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["start", "leaf"], kind="stable")
-        return pd.DataFrame({"shard": frame["shard"].iloc[:1], "run": frame["run"].iloc[:1], "root": [merkle([bytes(x) for x in frame["leaf"]])]})
-
-    found = rows.groupBy("shard", "run").applyInPandas(root, "shard int, run long, root binary").toArrow().sort_by([("shard", "ascending"), ("run", "ascending")])
-    return merkle([x for x in found["root"].to_pylist()]).hex()
+        frame = frame.sort_values("place", kind="stable")
+        return pd.DataFrame({"place": frame["run"].iloc[:1], "root": [merkle([bytes(x) for x in frame["root"]])]})
+
+    rows, fan = _recipes(spark, path, kind).select(F.col("start").alias("place"), F.col("leaf").alias("root")), RUN
+    top = rows.agg(F.max("place")).first()[0]
+    if top is None:
+        return merkle([]).hex()
+    while True:
+        found = rows.withColumn("run", F.floor(F.col("place") / fan)).groupBy("run").applyInPandas(root, "place long, root binary")
+        top, fan = top // fan, FAN_IN
+        if not top:
+            return bytes(found.first()["root"]).hex()
+        rows = stage(found, "roots")
 
 
 def _crc_powers(count: int = 40) -> list[int]:

@@ -8,7 +8,7 @@ import xxhash
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-KNOWN = 300_000
+KNOWN = 200_000
 
 
 class Words(dict):
