@@ -72,15 +72,47 @@ def clipped(value: Column, code: Column, zero: Column, span: Column) -> Column:
     return F.coalesce((value >= zero + span - edge) | (value <= zero + edge), F.lit(False)) | F.coalesce(code.isin(list(RANGE_STATES)), F.lit(False))
 
 
+#: Distinct codes that are met by broadcast, a few MB; any others are worked out row by row.
+MAX_CODES = 10_000
+TAG = ["source_id", "point_id"]
+
+
+def _facts(quality: Column, codes: Column | None) -> Column:
+    """What the rules say about one code: severity, unmapped, q_num, is_digital_state, sev_rank."""
+    code = numeric_code(quality)
+    found = severity(quality, codes, code)
+    digital = F.coalesce(code.isin(list(DIGITAL_SEVERITY)), F.lit(False))
+    return F.struct(found.alias("severity"), unmapped(quality, codes, code).alias("unmapped"), code.alias("q_num"), digital.alias("is_digital_state"), rank(found).alias("sev_rank"))
+
+
+def per_distinct_code(samples: DataFrame, codes: str | None = None, out: str = "_facts") -> DataFrame:
+    """Adds the struct ``out`` of the facts about a row's code, worked out once per distinct code.
+
+    The distinct codes (by tag where tags declare ``codes``) are found with a map-side combined
+    aggregate and met by broadcast, at most ``MAX_CODES`` of them. The rules are expressions, so a
+    code beyond that number gets the same answer from its own row.
+    """
+    if samples.isStreaming:  # a stream can't wait for its own distinct codes
+        return samples.withColumn(out, _facts(F.col("quality"), F.col(codes) if codes else None))
+    keys = [*TAG, "quality"] if codes else ["quality"]
+    found = samples.groupBy(*keys).agg(F.first(codes).alias("_codes")) if codes else samples.select("quality").distinct()
+    found = found.limit(MAX_CODES).select(*(F.col(k).alias(f"_{k}") for k in keys), _facts(F.col("quality"), F.col("_codes") if codes else None).alias("_known"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    facts = F.when(F.col("_known").isNotNull(), F.col("_known")).otherwise(_facts(F.col("quality"), F.col(codes) if codes else None))
+    return samples.join(F.broadcast(found), same, "left").select(*samples.columns, facts.alias(out))
+
+
 def annotate(samples: DataFrame, codes: str | None = None, least: str = "GOOD") -> DataFrame:
     """Adds severity, sev_rank, q_num, is_digital_state, unmapped and valid.
 
     A value on a digital state is nulled; NaN is no value. MODE rows (with ``state``) are valid by their state.
     """
-    q, c = F.col("quality"), F.col(codes) if codes else None
-    out = samples.withColumn("q_num", numeric_code(q))
-    out = out.withColumns({"severity": severity(q, c, F.col("q_num")), "unmapped": unmapped(q, c, F.col("q_num")), "is_digital_state": F.coalesce(F.col("q_num").isin(list(DIGITAL_SEVERITY)), F.lit(False))})
-    out = out.withColumn("sev_rank", rank(F.col("severity")))
-    value = F.when(~F.col("is_digital_state") & ~F.isnan("value"), F.col("value"))
+    out = per_distinct_code(samples, codes)
+    value = F.when(~F.col("_facts.is_digital_state") & ~F.isnan("value"), F.col("value"))
     has = F.coalesce(F.col("state").isNotNull(), F.lit(False)) | value.isNotNull() if "state" in samples.columns else value.isNotNull()
-    return out.withColumn("valid", ((F.col("severity") == "GOOD") if least == "GOOD" else (F.col("sev_rank") >= RANK[least])) & has).withColumn("value", value)
+    good = (F.col("_facts.severity") == "GOOD") if least == "GOOD" else (F.col("_facts.sev_rank") >= RANK[least])
+    rest = [F.col(c) for c in samples.columns if c != "value"]
+    facts = [F.col(f"_facts.{c}").alias(c) for c in ("q_num", "severity", "unmapped", "is_digital_state", "sev_rank")]
+    return out.select(*rest, value.alias("value"), *facts, (good & has).alias("valid"))

@@ -336,19 +336,10 @@ def q_spc_trend6(spark, sf):
     return baselines.trend_of_six(_charted(spark, sf)).select("point_id", "row_ix")
 
 
-@query(f""", {_V}, g AS (SELECT *, row_number() OVER (PARTITION BY point_id, ts::DATE ORDER BY row_ix) AS kk FROM v), e AS (SELECT source_id, point_id, ts::DATE AS day, count(*) AS c, avg(value) AS xb, max(value) - min(value) AS r FROM g WHERE kk <= 5 GROUP BY ALL HAVING count(*) = 5),
-t AS (SELECT source_id, point_id, count(*) AS n_groups, avg(xb) AS xbar, avg(r) AS rbar FROM e GROUP BY ALL)
-SELECT source_id, point_id, 5::BIGINT AS n, n_groups, round(xbar, 6) AS xbar, round(xbar - 0.577 * rbar, 6) AS xbar_lcl, round(xbar + 0.577 * rbar, 6) AS xbar_ucl, round(rbar, 6) AS rbar, round(0.0 * rbar, 6) AS r_lcl, round(2.114 * rbar, 6) AS r_ucl FROM t""")
-def q_xbar_r(spark, sf):
-    day = Window.partitionBy(*TAG, "day")
-    v = _valid(spark, sf).withColumn("day", F.to_date("ts")).withColumn("k", F.row_number().over(day.orderBy("row_ix"))).withColumn("c", F.count(F.lit(1)).over(day))
-    return _round(baselines.xbar_r(v.where("k <= 5 and c >= 5"), [*TAG, "day"]), "xbar", "xbar_lcl", "xbar_ucl", "rbar", "r_lcl", "r_ucl")
-
-
 @query(f""", {_V}, g AS (SELECT *, (row_number() OVER (PARTITION BY point_id, ts::DATE ORDER BY row_ix) - 1) // 5 AS grp FROM v), e AS (SELECT source_id, point_id, ts::DATE AS day, grp, avg(value) AS xb, max(value) - min(value) AS r FROM g GROUP BY ALL HAVING count(*) = 5),
 t AS (SELECT source_id, point_id, count(*) AS n_groups, avg(xb) AS xbar, avg(r) AS rbar FROM e GROUP BY ALL), lo AS (SELECT source_id, point_id, sum(c % 5)::BIGINT AS n_left FROM (SELECT source_id, point_id, ts::DATE AS day, count(*) AS c FROM v GROUP BY ALL) GROUP BY ALL)
 SELECT source_id, point_id, 5::BIGINT AS n, n_groups, n_left, round(xbar, 6) AS xbar, round(xbar - 0.577 * rbar, 6) AS xbar_lcl, round(xbar + 0.577 * rbar, 6) AS xbar_ucl, round(rbar, 6) AS rbar, round(0.0 * rbar, 6) AS r_lcl, round(2.114 * rbar, 6) AS r_ucl FROM t JOIN lo USING (source_id, point_id)""")
-def q_xbar_r_whole(spark, sf):
+def q_xbar_r(spark, sf):
     """All consecutive subgroups of five of a tag and day; n_left counts the rows of incomplete last groups."""
     v = _valid(spark, sf).withColumn("day", F.to_date("ts"))
     return _round(baselines.xbar_r_whole(v, 5, "day"), "xbar", "xbar_lcl", "xbar_ucl", "rbar", "r_lcl", "r_ucl")
@@ -370,18 +361,18 @@ _POINTS = ["click", "error", "purchase", "signup", "view"]
 
 
 def _grid(spark, sf) -> DataFrame:
-    """Six-hour means of the values by event type."""
-    v = _samples(spark, sf).withColumn("ts", F.timestamp_micros((F.floor(F.unix_micros("ts") / 21_600_000_000) * 21_600_000_000).cast("long")))
+    """Twelve-hour means of the values by event type; most cells are filled at every size of the table."""
+    v = _samples(spark, sf).withColumn("ts", F.timestamp_micros((F.floor(F.unix_micros("ts") / 43_200_000_000) * 43_200_000_000).cast("long")))
     return v.groupBy("source_id", "point_id", "ts").agg(F.avg("value").alias("value"))
 
 
 def _aligned(spark, sf) -> DataFrame:
-    return mspc.align(_grid(spark, sf), _POINTS, datetime(2024, 1, 1, tzinfo=UTC), datetime(2024, 1, 30, 18, tzinfo=UTC), 21600, 0.8)[0]
+    return mspc.align(_grid(spark, sf), _POINTS, datetime(2024, 1, 1, tzinfo=UTC), datetime(2024, 1, 30, 12, tzinfo=UTC), 43200, 0.8)[0]
 
 
-_GRID = """gr AS (SELECT point_id, (epoch_us(ts) // 21600000000) * 21600000000 AS us, avg(value) AS value FROM s GROUP BY ALL),
+_GRID = """gr AS (SELECT point_id, (epoch_us(ts) // 43200000000) * 43200000000 AS us, avg(value) AS value FROM s GROUP BY ALL),
 al AS (SELECT us, max(value) FILTER (point_id = 'click') AS click, max(value) FILTER (point_id = 'error') AS error, max(value) FILTER (point_id = 'purchase') AS purchase, max(value) FILTER (point_id = 'signup') AS signup, max(value) FILTER (point_id = 'view') AS view
-       FROM gr GROUP BY us HAVING count(DISTINCT point_id) = 5 AND us BETWEEN epoch_us(TIMESTAMP '2024-01-01') AND epoch_us(TIMESTAMP '2024-01-30 18:00:00')),
+       FROM gr GROUP BY us HAVING count(DISTINCT point_id) = 5 AND us BETWEEN epoch_us(TIMESTAMP '2024-01-01') AND epoch_us(TIMESTAMP '2024-01-30 12:00:00')),
 df AS (SELECT * FROM (SELECT us, click - lag(click) OVER o AS click, error - lag(error) OVER o AS error, purchase - lag(purchase) OVER o AS purchase, signup - lag(signup) OVER o AS signup, view - lag(view) OVER o AS view FROM al WINDOW o AS (ORDER BY us)) WHERE click IS NOT NULL)"""
 
 

@@ -46,7 +46,7 @@ def test_entry(spark):
 
 
 def test_xbar_r_of_all_rows(spark, duck):
-    got = {r["point_id"]: r for r in catalog.QUERIES["q_xbar_r_whole"](spark, SF).collect()}
+    got = {r["point_id"]: r for r in catalog.QUERIES["q_xbar_r"](spark, SF).collect()}
     n = dict(duck.sql(f"WITH {catalog.events.SQL} SELECT point_id, count(*) FILTER (valid) FROM a GROUP BY ALL").fetchall())
     assert {p: r["n_groups"] * 5 + r["n_left"] for p, r in got.items()} == n
     # a shift late in the day moves the center
