@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorloom.llm import decontaminate, gbt, html, lmscore, mixing, neardup, quality, queries, substrings, tokenstore, toxicity, vectors
-from sensorloom.llm.common import components, key_filter, prefix_sums, word_count
+from sensorloom.llm.common import components, key_mark, prefix_sums, word_count
 from sensorloom.llm.pages import training_pages
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,10 +83,10 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_key_filter_and_prefix_sums(spark):
+def test_key_mark_and_prefix_sums(spark):
     keys = spark.createDataFrame([(i * 7,) for i in range(50)], "k long")
     df = spark.range(1000)
-    held = {r["id"] for r in df.where(key_filter(keys, "k")(F.col("id"))).collect()}
+    held = {r["id"] for r in key_mark(df, "id", keys, "k", "in").where("in").collect()}
     assert held >= {i * 7 for i in range(50)} and len(held) < 300
     got = prefix_sums(df.withColumn("v", F.col("id") % 5), [F.col("id")], "v", "before").orderBy("id").collect()
     run = 0
@@ -120,7 +120,6 @@ def test_tokenstore(spark, docs, rows):
 
 def test_tokenizer_pieces():
     pieces = tokenstore._pieces(queries.vocabulary(), "<u2")
-    assert pieces.known_rules
     rng = random.Random(3)
     odd = ["a<|endoftext|>b", "İstanbul ǅ", "I'll DON'T 's ''", "a b\tc\x1cd", "½ x² 12", "ﬁ  z", "日本 ΣΣ", "", "  ", "<|x", "ß ẞ"]
     odd += ["".join(rng.choice("aZ'!9é<|İ \n\tsſ½́") for _ in range(30)) for _ in range(300)]
@@ -248,6 +247,61 @@ def test_ppm_is_a_distribution():
         assert sum(10**x for x in trie.logs(np.array([code | b for b in range(256)], np.uint64))) == pytest.approx(1, abs=1e-6)
 
 
+def _plain_ppm(texts, order):
+    """Prediction by partial matching over dictionaries, byte by byte."""
+    seen = defaultdict(Counter)
+    lead = b"\xff" * order
+    for t in texts:
+        whole = lead + t + b"\xff"
+        for i in range(order, len(whole)):
+            for k in range(order + 1):
+                seen[whole[i - k : i]][whole[i]] += 1
+
+    def score(t):
+        whole, total = lead + t + b"\xff", 0.0
+        for i in range(order, len(whole)):
+            out = set()
+            for k in range(order, -1, -1):
+                left = {b: n for b, n in seen[whole[i - k : i]].items() if b not in out}
+                if not left:
+                    continue
+                n = sum(left.values())
+                if whole[i] in left:
+                    total += math.log10((2 * left[whole[i]] - 1) / (2 * n))
+                    break
+                total += math.log10(len(left) / (2 * n))
+                out |= set(left)
+            else:
+                total -= math.log10(256 - len(out))
+        return total
+
+    return score
+
+
+@pytest.mark.parametrize("most", [4_000_000, 40])
+def test_ppm_against_dictionaries(spark, most):
+    rng = random.Random(6)
+    data = [(i, None if i == 3 else "".join(rng.choices("abcé ", k=rng.randint(0, 60)))) for i in range(60)] + [(70, "zzq xx"), (71, "ab" * 700)]
+    trained = [lmscore.lowered(t) for i, t in data if zlib.crc32(str(i).encode()) % 5 != 1]
+    plain, old = _plain_ppm(trained, 3), lmscore.CHUNK
+    lmscore.CHUNK = 512  # long texts are cut
+    try:
+        got = {r["doc_id"]: r["score"] for r in lmscore.scores(spark.createDataFrame(data, "doc_id long, text string"), order=3, max_grams=most).collect()}
+    finally:
+        lmscore.CHUNK = old
+    for i, t in data:
+        assert got[i] == pytest.approx(plain(lmscore.lowered(t)), rel=1e-5), i
+
+
+def test_lmscore_without_training_rows(spark):
+    """Nothing to learn from: every byte and end is one of 256."""
+    only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    r = lmscore.scores(spark.createDataFrame([(only, "ab c")], "doc_id long, text string")).first()
+    assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (True, 3, 0, 0)
+    assert r["score"] == pytest.approx(-5 * math.log10(256))
+    assert lmscore.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 # --- 5 quality and 7 toxicity
 
 
