@@ -79,10 +79,13 @@ TAG = ["source_id", "point_id"]
 
 def _facts(quality: Column, codes: Column | None) -> Column:
     """What the rules say about one code: severity, unmapped, q_num, is_digital_state, sev_rank."""
-    code = numeric_code(quality)
-    found = severity(quality, codes, code)
-    digital = F.coalesce(code.isin(list(DIGITAL_SEVERITY)), F.lit(False))
-    return F.struct(found.alias("severity"), unmapped(quality, codes, code).alias("unmapped"), code.alias("q_num"), digital.alias("is_digital_state"), rank(found).alias("sev_rank"))
+
+    def told(code: Column) -> Column:
+        name = severity(quality, codes, code)
+        digital = F.coalesce(code.isin(list(DIGITAL_SEVERITY)), F.lit(False))
+        return F.struct(name.alias("severity"), unmapped(quality, codes, code).alias("unmapped"), code.alias("q_num"), digital.alias("is_digital_state"), rank(name).alias("sev_rank"))
+
+    return F.get(F.transform(F.array(numeric_code(quality)), told), F.lit(0))  # the number is read once, however often it is asked for
 
 
 def per_distinct_code(samples: DataFrame, codes: str | None = None, out: str = "_facts") -> DataFrame:
