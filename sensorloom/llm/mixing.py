@@ -3,17 +3,22 @@
 Every source gets a target size by its weight, capped at three times its own size, the excess
 shared out again by weight. A document of a source is then worth ``target / source size``
 copies: the whole part is given at once, and the fractional parts are rounded dependently.
-Two fractions meet, one of them becomes 0 or 1, the other keeps the rest; pairs are neighbours
-in size, so that the words taken hardly move. Leaves of the reduction tree hold at most about
-``FAN_IN`` documents of one source and size class (a hot source has many leaves); each leaf
-hands at most one unrounded document up, and these meet in the same way until one is left per
-source, which a coin of its own fraction decides.
+Two fractions meet, and words move at random from one to the other until one of them is 0 or 1;
+the other keeps the rest, so a pair keeps its expected words.
 
-All draws are hashes of (seed, level, document), so reruns agree.
+Large documents come first, a thousandth of their source or more (at most ``1 / LARGE`` of them a
+source). Each is paired with all smaller ones of its source together: it becomes whole, and the
+words it got too many or too few change the fractions of all the others alike. The small ones are
+rounded in a reduction tree: leaves hold about ``FAN_IN`` documents of one source (a hot source has
+many leaves); each leaf hands at most one unrounded document up, and these meet in the same way
+until one is left per source, which a coin of its own fraction decides.
+
+All draws are hashes of (seed, level, document), so reruns agree. Rows that are equal in all that
+counts are numbered first, so that each has a draw and a leaf of its own.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order;
-documents of size 0 are rounded as others and take no words; repeated rows are rounded one by
-one; an empty table gives an empty result; other columns pass through ``mix`` untouched.
+documents of size 0 are rounded by coins of their own and take no words; repeated rows are rounded
+one by one; an empty table gives an empty result; other columns pass through ``mix`` untouched.
 """
 
 from __future__ import annotations
@@ -21,13 +26,16 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import prefix_sums, stage, word_count
+from .common import numbered, prefix_sums, stage, unused, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
-FAN_IN = 4096
-#: Strata (source, size class) joined by broadcast up to this many rows, about 16 MB.
+FAN_IN = 1024
+#: Share of its source from which a document is rounded against all smaller ones together.
+LARGE = 0.001
+#: Sources joined by broadcast up to this many rows, about 16 MB.
 MAX_BROADCAST = 200_000
 EDGE = 1e-9
 
@@ -49,10 +57,29 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return table.select("source", "source_index", "source_size", F.least(cap, F.col("w") * F.lit(level)).alias("target"))
 
 
+def _large(frame: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Rounds the large documents of a source, the largest first; ``rest`` are the words of the others.
+
+    ``shift`` is what the fractions of all documents still open have changed by.
+    """
+    frame = frame.sort_values(["size", "key"], ascending=[False, True], kind="stable")
+    size, draw = frame["size"].to_numpy(float), frame["u"].to_numpy(float)
+    share, rest, shift, copies = float(frame["share"].iloc[0]), float(frame["rest"].iloc[0]), 0.0, []
+    open_words = size.sum() + rest
+    for s, u in zip(size.tolist(), draw.tolist(), strict=True):
+        p = min(max(share + shift, 0.0), float(most))
+        whole = min(int(p + EDGE), most)
+        copies.append(whole + int(u < p - whole))
+        open_words -= s
+        if open_words > 0:  # what this one got too little or too much, and what its bounds held back
+            shift += s * (share + shift - copies[-1]) / open_words
+    return pd.DataFrame({"rid": frame["rid"], "source_index": frame["source_index"], "copies": copies, "shift": shift})
+
+
 def _pivot(frame: pd.DataFrame, last: bool) -> pd.DataFrame:
     """Rounds the fractions of one leaf; ``up`` stays null for the one that is handed on."""
     frame = frame.sort_values(["size", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    p, u = frame["p"].to_numpy(float).copy(), frame["u"].to_numpy(float)
+    size, p, u = frame["size"].to_numpy(float), frame["p"].to_numpy(float).copy(), frame["u"].to_numpy(float)
     up: list[int | None] = [None] * len(p)
     held = -1
     for i in range(len(p)):
@@ -62,16 +89,17 @@ def _pivot(frame: pd.DataFrame, last: bool) -> pd.DataFrame:
         if held < 0:
             held = i
             continue
-        a, b, draw = p[held], p[i], u[i]
-        if a + b < 1:  # one gives all it has
-            keep, drop = (held, i) if draw * (a + b) < a else (i, held)
-            p[keep], up[drop] = a + b, 0
-        else:  # one is filled up
-            fill, keep = (held, i) if draw * (2 - a - b) < 1 - b else (i, held)
-            p[keep], up[fill] = a + b - 1, 1
-        held = keep
-        if p[held] < EDGE or p[held] > 1 - EDGE:
-            up[held], held = int(p[held] > 0.5), -1
+        # words that can move to the one held, and from it, until one of the two is whole
+        rise = min((1 - p[held]) * size[held], p[i] * size[i])
+        fall = min(p[held] * size[held], (1 - p[i]) * size[i])
+        move = rise if u[i] * (rise + fall) < fall else -fall
+        p[held] += move / size[held]
+        p[i] -= move / size[i]
+        done = [k for k in (held, i) if p[k] < EDGE or p[k] > 1 - EDGE]
+        for k in done:
+            up[k] = int(p[k] > 0.5)
+        left = [k for k in (held, i) if k not in done]
+        held = left[0] if left else -1
     if last and held >= 0:
         up[held] = int(u[held] < p[held])
     frame["p"] = p
@@ -86,48 +114,77 @@ def _draw(level: int, seed: int):
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), "key"), 11)).cast("double") / F.lit(float(1 << 53))
 
 
-def copies(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 17, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, fan_in: int = FAN_IN) -> DataFrame:
-    """rid, doc_id, size, source_size, target, copies for every row of ``docs``.
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Makes ``key`` differ for rows of one key: they are numbered, however many there are.
 
-    ``rid`` is the row's monotonically_increasing_id() in ``docs``.
+    A row's number counts the rows of its key in the input's earlier partitions (the upper bits
+    of ``rid``), then those before it in its own; no task holds all rows of a key.
     """
-    slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-    slim = stage(slim.withColumn("key", F.xxhash64("doc_id", "size")), "sizes")
+    rows = rows.withColumn("_part", F.shiftright("rid", 33))
+    before = rows.groupBy("key", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("key")
+    base = F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = before.withColumn("_all", F.sum("_n").over(whole)).withColumn("_base", F.coalesce(base, F.lit(0))).where("_all > 1")
+    found = rows.join(before.select("key", "_part", "_base"), ["key", "_part"], "left")
+    number = F.col("_base") + F.row_number().over(Window.partitionBy("key", "_part").orderBy("rid")) - 1
+    return found.withColumn("key", F.when(F.col("_base").isNull(), F.col("key")).otherwise(F.xxhash64("key", number))).select(*(c for c in rows.columns if c != "_part"))
+
+
+def copies(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 17, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, fan_in: int = FAN_IN) -> DataFrame:
+    """rid, doc_id, size, source_size, target, copies for every row of ``docs``."""
+    slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(doc_id), F.col(source), F.col(text)).alias("key"))
+    return _copies(stage(slim, "sizes"), seed, weights, most, fan_in)
+
+
+def _copies(slim: DataFrame, seed: int, weights: tuple[float, ...], most: int, fan_in: int) -> DataFrame:
+    """slim: rid (a monotonically increasing id), doc_id, source, size, key."""
     wanted = targets(slim, weights, most)
-    level_of = F.floor(F.log2(F.col("size") + 1) * 4).cast("int")
-    strata = slim.groupBy("source", level_of.alias("cls")).agg(F.ceil(F.count(F.lit(1)) / fan_in).cast("long").alias("salts"))
+    large = F.col("size") >= F.greatest(LARGE * F.col("source_size"), F.lit(1))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    strata = strata.join(wanted.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).withColumn("share", share)
-    strata = stage(strata.select(F.col("source").alias("_source"), F.col("cls").alias("_cls"), "salts", "source_index", "source_size", "target", "share"), "strata")
-    if strata.count() <= MAX_BROADCAST:
-        strata = F.broadcast(strata)
-    rows = slim.withColumn("cls", level_of).join(strata, F.col("source").eqNullSafe(F.col("_source")) & (F.col("cls") == F.col("_cls")))
-    whole = F.least(F.floor(F.col("share") + EDGE), F.lit(most)).cast("int")
-    rows = rows.select("rid", "doc_id", "size", "key", "source_index", "source_size", "target", "cls", whole.alias("whole"), (F.col("share") - whole).alias("p"), F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("salts")).alias("leaf"))
-    rows = stage(rows, "fractions")
+    wanted = stage(wanted.withColumn("share", share).withColumnRenamed("source", "_source"), "wanted")
+    few = wanted.count() <= MAX_BROADCAST
+    near = F.broadcast if few else (lambda df: df)
+    rows = stage(_told_apart(slim).join(near(wanted), F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source").withColumn("large", large), "fractions")
+    rest = rows.where("not large").groupBy("source_index").agg(F.sum("size").alias("rest"), F.count(F.lit(1)).alias("n"))
+    rest = stage(rest, "rest")
+    big = rows.where("large").join(near(rest.select("source_index", "rest")), "source_index", "left").na.fill(0, ["rest"])
+    big = big.select("rid", "source_index", "size", "key", "share", "rest", _draw(0, seed).alias("u"))
+    big = stage(big.groupBy("source_index").applyInPandas(lambda f: _large(f, most), "rid long, source_index long, copies int, shift double"), "large")
+    # the words that the large ones left over or took too many change the small ones' fractions alike
+    moved = big.groupBy("source_index").agg(F.first("shift").alias("shift"))
+    salts = stage(rest.join(moved, "source_index", "left").select("source_index", F.coalesce("shift", F.lit(0.0)).alias("shift"), F.ceil(F.col("n") / fan_in).cast("long").alias("salts")), "leaves")
+    small = rows.where("not large").join(near(salts), "source_index")
+    total = F.least(F.greatest(F.col("share") + F.when(F.col("size") > 0, F.col("shift")).otherwise(0.0), F.lit(0.0)), F.lit(float(most)))
+    whole = F.least(F.floor(total + EDGE), F.lit(most)).cast("int")
+    small = small.select("rid", "source_index", "size", "key", whole.alias("whole"), (total - whole).alias("p"), F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("salts")).alias("leaf"))
+    small = stage(small, "small")
     leaf = lambda last: lambda frame: _pivot(frame, last)
-    first = rows.select("rid", "source_index", "size", "key", F.col("p"), "cls", "leaf", _draw(0, seed).alias("u"))
-    done = stage(first.groupBy("source_index", "cls", "leaf").applyInPandas(leaf(False), _LEAF), "level0")
-    decided, level = done.where("up is not null").select("rid", "up"), 1
-    rest = done.where("up is null")
-    most_left = rest.groupBy("source_index").count().agg(F.max("count")).first()[0] or 0
+    first = small.where("size > 0").select("rid", "source_index", "size", "key", "p", "leaf", _draw(1, seed).alias("u"))
+    done = stage(first.groupBy("source_index", "leaf").applyInPandas(leaf(False), _LEAF), "level1")
+    coins = small.where("size = 0").select("rid", (_draw(1, seed) < F.col("p")).cast("int").alias("up"))
+    decided, level = coins.unionByName(done.where("up is not null").select("rid", "up")), 2
+    left = done.where("up is null")
+    most_left = left.groupBy("source_index").count().agg(F.max("count")).first()[0] or 0
     while most_left:
         salts = -(-most_left // fan_in)
         last = salts == 1
-        again = rest.select("rid", "source_index", "size", "key", "p", F.pmod(F.xxhash64(F.lit(seed + level), "key"), F.lit(salts)).alias("leaf"), _draw(level, seed).alias("u"))
+        again = left.select("rid", "source_index", "size", "key", "p", F.pmod(F.xxhash64(F.lit(seed + level), "key"), F.lit(salts)).alias("leaf"), _draw(level, seed).alias("u"))
         done = stage(again.groupBy("source_index", "leaf").applyInPandas(leaf(last), _LEAF), f"level{level}")
-        decided, rest = decided.union(done.where("up is not null").select("rid", "up")), done.where("up is null")
+        decided, left = decided.union(done.where("up is not null").select("rid", "up")), done.where("up is null")
         if last:
             break
-        most_left, level = rest.groupBy("source_index").count().agg(F.max("count")).first()[0] or 0, level + 1
-    return rows.join(decided, "rid").select("rid", "doc_id", "size", "source_size", "target", (F.col("whole") + F.col("up")).alias("copies"))
+        most_left, level = left.groupBy("source_index").count().agg(F.max("count")).first()[0] or 0, level + 1
+    chosen = small.select("rid", "whole").join(decided, "rid").select("rid", (F.col("whole") + F.col("up")).alias("copies"))
+    return rows.select("rid", "doc_id", "size", "source_size", "target").join(chosen.union(big.select("rid", "copies")), "rid")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 17, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, fan_in: int = FAN_IN) -> DataFrame:
     """The mixed documents: each row as often as it is taken, with its own columns."""
-    taken = copies(docs, **options).select(F.col("rid").alias("_rid"), F.col("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).join(taken, "_rid")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rid, times, copy = unused("rid", docs), unused("times", docs), unused("copy", docs)
+    rows = numbered(docs, rid)
+    slim = rows.select(F.col(rid).alias("rid"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(doc_id), F.col(source), F.col(text)).alias("key"))
+    taken = _copies(stage(slim, "sizes"), seed, weights, most, fan_in).select(F.col("rid").alias(rid), F.col("copies").alias(times)).where(F.col(times) > 0)
+    return rows.join(taken, rid).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -551,3 +551,23 @@ def test_mixing_is_near_and_unbiased(spark):
     got = mixing.report(df).groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect()
     assert all(abs(r["t"] / r["target"] - 1) < 0.01 for r in got)
     assert mixing.report(df.where("false")).count() == 0
+
+
+def test_mixing_copies_of_one_row(spark):
+    """Rows of one doc_id have draws and leaves of their own, and the same ones however they are dealt."""
+    rows = [(7, "a b c", "s") for _ in range(6000)] + [(None, "a b c d", "s") for _ in range(300)] + [(i, "w " * 50, "t") for i in range(100, 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (sorted((r["doc_id"] or -1, r["copies"]) for r in mixing.report(d).collect()) for d in (df.repartition(5), df.repartition(3)))
+    assert one == two and {c for d, c in one if d == 7} != {0}
+    got = mixing.report(df).groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect()
+    assert all(abs(r["t"] / r["target"] - 1) < 0.005 for r in got)
+
+
+def test_mixing_with_large_documents(spark):
+    """A source's target is met though one document is a tenth of it; other columns pass through."""
+    rng = random.Random(9)
+    rows = [(i, "w " * (20000 if i == 5 else rng.randint(20, 700)), f"s{i % 3}", i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, rid long")
+    got = mixing.report(df).groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect()
+    assert all(abs(r["t"] / r["target"] - 1) < 0.01 for r in got)
+    assert mixing.mix(df).columns == df.columns
