@@ -4,8 +4,8 @@ A tolerant parser builds the tree of block elements; text between them forms tex
 inline markup folded in. Every node is described by its tag, its and its ancestors' attribute
 tokens, depth, sibling statistics, and the text, link and tag density of its subtree. Trees fitted
 on generated pages give the chance that a node holds a part of the article. The choice is made for
-the whole page at once: of all choices where the parent of a chosen node is chosen too, the most
-likely one, by dynamic programming; so no text is kept inside a dropped part.
+the whole page at once: of all choices where a node is chosen just if some text in it is, the most
+likely one, by dynamic programming; so no text is kept inside a dropped part, and no part for nothing.
 
 Character references are decoded; white space inside a block becomes one space; blocks are
 joined by an empty line.
@@ -32,14 +32,14 @@ from .common import bounded
 from .pages import training_pages
 
 # Element names of the HTML standard.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup mover munder".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math head title textarea".split())
+RAW = frozenset("script style template iframe svg head title textarea".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-TAGS = "#text p div section article main nav header footer aside form ul ol li h1 h2 h3 h4 table tr td th blockquote pre figure figcaption select option button fieldset dl dt dd address details body html".split()
-ABOVE = "article main nav header footer aside form ul ol table blockquote figure".split()
+TAGS = "#text p div section article main nav header footer aside form ul ol li h1 h2 h3 h4 table tr td th blockquote pre figure figcaption select option button fieldset dl dt dd address details body html noscript".split()
+ABOVE = "article main nav header footer aside form ul ol table blockquote figure noscript".split()
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -205,23 +205,39 @@ def describe(nodes: list[Node], vocabulary: dict[str, int]) -> np.ndarray:
     return x
 
 
-def choose(nodes: list[Node], chance: np.ndarray) -> np.ndarray:
-    """Most likely choice among those where the parent of every chosen node is chosen."""
+def choose(nodes: list[Node], chance: np.ndarray, none: float = 1.0) -> np.ndarray:
+    """Most likely of the consistent choices: a node is chosen just if some text in it is.
+
+    ``none`` is how likely it is beforehand that a page has no article at all.
+    """
     yes, no = np.log(np.clip(chance, 1e-9, 1)), np.log(np.clip(1 - chance, 1e-9, 1))
     keep, drop = yes.copy(), no.copy()
-    for i in range(len(nodes) - 1, 0, -1):
-        up = nodes[i].parent.index
-        drop[up] += drop[i]
-        keep[up] += max(keep[i], drop[i])
+    nearest = np.full(len(nodes), -np.inf)  # of each node, the least that keeping one of its children costs
+    for i in range(len(nodes) - 1, -1, -1):
+        node = nodes[i]
+        if not node.text:
+            keep[i] += min(0.0, nearest[i])
+        if i:
+            up = node.parent.index
+            drop[up] += drop[i]
+            keep[up] += max(keep[i], drop[i])
+            nearest[up] = max(nearest[up], keep[i] - drop[i])
     chosen = np.zeros(len(nodes), bool)
+    chosen[0] = keep[0] > drop[0] + np.log(none)
     for i, n in enumerate(nodes):
-        chosen[i] = keep[i] > drop[i] and (n.parent is None or chosen[n.parent.index])
+        if not chosen[i]:
+            continue
+        gains = [(keep[k.index] - drop[k.index], -k.index) for k in n.kids if np.isfinite(keep[k.index])]
+        for gain, k in gains:
+            chosen[-k] = gain > 0
+        if gains and not n.text and max(gains)[0] <= 0:
+            chosen[-max(gains)[1]] = True
     return chosen
 
 
 class Extractor:
-    def __init__(self, trees: gbt.Trees, vocabulary: dict[str, int]):
-        self.trees, self.vocabulary = trees, vocabulary
+    def __init__(self, trees: gbt.Trees, vocabulary: dict[str, int], none: float):
+        self.trees, self.vocabulary, self.none = trees, vocabulary, none
 
     def texts(self, pages: list[str | None]) -> list[str]:
         """Main texts of some pages, whose nodes are scored together."""
@@ -231,7 +247,7 @@ class Extractor:
         chance = self.trees.chance(np.concatenate([describe(nodes, self.vocabulary) for nodes in forest]))
         out, at = [], 0
         for nodes in forest:
-            chosen = choose(nodes, chance[at : at + len(nodes)])
+            chosen = choose(nodes, chance[at : at + len(nodes)], self.none)
             at += len(nodes)
             out.append("\n\n".join(n.text for n, c in zip(nodes, chosen, strict=True) if c and n.text))
         return out
@@ -248,7 +264,7 @@ def labelled(page: str, parts: set[str]) -> tuple[list[Node], np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 500, seed: int = 4, vocabulary_size: int = 60) -> Extractor:
+def trained(pages: int = 900, seed: int = 4, vocabulary_size: int = 60) -> Extractor:
     """The extractor, fitted on generated pages."""
     from collections import Counter
 
@@ -256,7 +272,8 @@ def trained(pages: int = 500, seed: int = 4, vocabulary_size: int = 60) -> Extra
     seen = Counter(t for nodes, _ in made for n in nodes for t in n.tokens)
     vocabulary = {t: i for i, (t, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:vocabulary_size])}
     x = np.concatenate([describe(nodes, vocabulary) for nodes, _ in made])
-    return Extractor(gbt.fit(x, np.concatenate([y for _, y in made])), vocabulary)
+    none = (sum(not y.any() for _, y in made) + 0.5) / (len(made) + 1)
+    return Extractor(gbt.fit(x, np.concatenate([y for _, y in made])), vocabulary, none)
 
 
 def annotate(pages: DataFrame, html: str = "html", out: str = "text", extractor: Extractor | None = None) -> DataFrame:

@@ -50,13 +50,26 @@ class _Maker:
         return "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>" if self.chance(0.6) else self.pick([" | ", " ", " &middot; "]).join(items)
 
     def own(self, text: str) -> str:
-        """A block of the article, with some inline markup."""
-        self.parts.append(text)
+        """A block of the article, with some inline markup, character references and line breaks."""
         w = text.split(" ")
-        if len(w) > 3 and self.chance(0.4):
+        if self.chance(0.12):
+            w[int(self.rng.integers(len(w)))] = self.pick(["&", "<b>", "a<b", "©", "\"x\"", "–"])
+        self.parts.append(" ".join(w))
+        w = [x.replace("&", "&amp;").replace("<", "&lt;").replace(">", self.pick(["&gt;", ">"])).replace("©", "&copy;").replace('"', "&quot;").replace("–", "&#8211;") for x in w]
+        if len(w) > 1 and self.chance(0.4):
             i = int(self.rng.integers(len(w) - 1))
             w[i] = self.pick(["<b>{}</b>", "<em>{}</em>", '<a href="#">{}</a>', "<span class='x'>{}</span>", "<b>{}"]).format(w[i])
-        return " ".join(w)
+        out = " ".join(w)
+        return out.replace(" ", self.pick(["<br>", " &nbsp; ", "\n  "]), 1) if self.chance(0.15) else out
+
+    def short(self) -> str:
+        """An article of a few words or one sentence, with or without elements of its own."""
+        said = lambda: self.own(self.pick([self.words(1, 8), self.sentence(1, 8), self.sentence(), self.prose(3)]))
+        kind = self.rng.random()
+        if kind < 0.3:
+            return said()
+        head = f"<{h}>{said()}</{h}>" if (h := self.pick(["h1", "h2", ""])) else ""
+        return head + "".join(f"<p>{said()}" + self.pick(["</p>", "</p>", "<br>", ""]) for _ in range(int(self.rng.integers(1, 3))))
 
     def article(self) -> str:
         out = []
@@ -93,7 +106,8 @@ class _Maker:
     def form(self) -> str:
         return f"<form action='/'><label>{self.words(1, 4)}</label><input><select><option>{self.word()}<option>{self.word()}</select><p>{self.sentence()}</p><button>{self.word()}</button></form>"
 
-    def page(self) -> str:
+    def around(self) -> tuple[list[str], list[str]]:
+        """What stands before and behind the article."""
         top, after = [], []
         if self.chance(0.5):
             top.append(self.part(_HEADERS, self.pick([self.words(1, 5), f"<h1>{self.words(1, 4)}</h1><p>{self.sentence()}</p>", self.links()])))
@@ -101,6 +115,8 @@ class _Maker:
             top.append(self.part(_MENUS, self.links()))
         if self.chance(0.4):
             top.append(self.part(_NOTICES, self.pick([f"<p>{self.prose(3)}</p><button>{self.word()}</button>", self.sentence()])))
+        if self.chance(0.1):
+            top.append(self.part(["<noscript>"], self.pick([self.sentence(), f"<p>{self.sentence()}</p>"])))
         for _ in range(int(self.rng.integers(0, 3))):
             (top if self.chance(0.6) else after).append(self.ad())
         if self.chance(0.4):
@@ -111,13 +127,30 @@ class _Maker:
             (top if self.chance(0.3) else after).append(self.form())
         if self.chance(0.85):
             after.append(self.part(_FOOTERS, self.pick([f"&copy; {self.word()} &middot; {self.prose(3)}", self.links(), f"<p>{self.sentence()}</p>" + self.links()])))
-        o = self.pick(_ARTICLE)
-        main = o + self.article() + self.close(o)
-        if o == "<td>":
-            main = f"<table><tr>{main}</tr></table>"
+        return top, after
+
+    def page(self) -> str:
+        kind = self.rng.random()
+        if kind < 0.1:  # nothing but text
+            return self.own(self.prose(6)) if self.chance(0.5) else self.short()
+        top, after = ([], []) if kind < 0.2 else self.around()
+        if kind > 0.98:  # no article
+            return f"<html><body>{''.join(top + after)}</body></html>"
+        text = self.short() if self.chance(0.3) else self.article()
+        if kind < 0.35:  # no element of the article's own
+            main = text
+            if not text.startswith("<"):
+                main = self.pick(["<p>", "<div>"]) + text
+        else:
+            o = self.pick(_ARTICLE)
+            main = o + text + self.close(o)
+            if o == "<td>":
+                main = f"<table><tr>{main}</tr></table>"
         body = "".join(top) + main + "".join(after)
         if self.chance(0.3):
             body = f'<div class="wrapper">{body}</div>'
+        if kind < 0.2 and self.chance(0.5):
+            return body
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><script>var t='</p>';</script></head><body>{body}" + ("</body></html>" if self.chance(0.8) else "")
 
 

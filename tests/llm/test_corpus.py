@@ -145,6 +145,29 @@ def test_html_cases(spark):
     assert x.texts(["<div>" * 2000 + "x"]) and x.texts(["<p><b>a<p>b</b></i></p></div>"])
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>plain paragraph without any article tag, it is long enough to count.</p>", "plain paragraph without any article tag, it is long enough to count."),
+        ("just plain text &amp; more", "just plain text & more"),
+        ("<article>a &lt;b&gt; c &nbsp; d</article>", "a <b> c d"),
+        ("<article><p>q<br>r ... s</p></article>", "q r ... s"),
+        ("<article><h1>Reorea. Nd.</h1><p><b>Reorea. Nd.<br></article>", "Reorea. Nd.\n\nReorea. Nd."),
+        ("<body><p>Hi.</p></body>", "Hi."),
+        ("<nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav><article><p>Short.</p></article><footer>&copy; x</footer>", "Short."),
+        ("<article><p>So <math><mi>m</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", "So m=2 holds."),
+        ("<nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav>", ""),
+        ("<p>" + "word and word, " * 20_000 + "end.</p>", "word and word, " * 20_000 + "end."),
+    ],
+)
+def test_html_short_and_bare_pages(page, text):
+    assert html.trained().texts([page])[0] == text
+
+
+def test_html_empty_table(spark):
+    assert html.report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_html_held_out_pages():
     x = html.trained()
     right = total = 0
