@@ -17,8 +17,8 @@ stretches of different documents give equal chunks. ``verify`` reads the files b
 every chunk and recipe anew and compares them with the digests and the Merkle root.
 
 Ids come from the tokenizers library. Its result for a text is the concatenation of its results
-for the pieces between spaces and line ends, so pieces are encoded once per worker and
-remembered (twice ``MAX_BYTES`` of them at most).
+for the pieces between spaces and line ends, so pieces are put together from parts that
+are encoded once per worker and remembered (``MAX_PIECES`` and twice ``MAX_CORES`` bytes at most).
 
 Defined cases: a null or empty text is a stream of the end id alone; rows of equal doc_id follow
 each other in the order of their texts' hashes; an empty table gives an empty store; other
@@ -45,8 +45,10 @@ from .common import bounded, drop_path, lent, prefix_sums, shared_path, stage
 
 END = 2
 SPAN, MASK_BITS, LEAST, MOST = 8, 9, 128, 4096
-#: Bytes of remembered pieces in one generation, and of one entry besides its strings.
-MAX_BYTES, ENTRY = 64 << 20, 90
+#: Bytes of remembered pieces, and of one generation of cores, and of one entry besides its strings.
+MAX_PIECES, MAX_CORES, ENTRY = 16 << 20, 48 << 20, 110
+#: Ids that are cut into chunks together.
+TOGETHER = 100_000
 #: Ids in one run of leaves, and runs in one group, of the Merkle tree.
 RUN, FAN_IN = 1 << 22, 1 << 12
 #: Digests of chunks that a task has sent and need not send again.
@@ -57,28 +59,69 @@ _GEAR = _rng.integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
 class _Pieces(dict):
-    """Ids of pieces between spaces, as bytes. Two generations: when one is full, the one before is forgotten."""
+    """Ids of pieces between spaces, as bytes.
+
+    A piece is put together from its core and the signs behind it, so that a word is encoded once
+    whether a comma follows or not. Cores are remembered in two generations: when one is full,
+    the one before is forgotten.
+    """
 
     def __init__(self, tokenizer, width: str):
         super().__init__()
         self.tokenizer, self.width = tokenizer, width
         self.code = {"<u2": "H", "<u4": "I"}[width]
+        self.cores: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.size = self.size_cores = 0
+        probe = "Ab,"
+        self.parted = self._ids(probe) == self._ids("ab") + self._ids(",")
+
+    def _ids(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _core(self, core: str) -> bytes:
+        found = self.cores.get(core)
+        if found is None:
+            if self.size_cores >= MAX_CORES:
+                self.before, self.cores, self.size_cores = self.cores, {}, 0
+            found = self.before.get(core)
+            if found is None:
+                found = self._ids(core)
+            self.cores[core] = found
+            self.size_cores += ENTRY + getsizeof(core) + len(found)
+        return found
+
+    def clear(self) -> None:
+        super().clear()
         self.size = 0
 
     def __missing__(self, piece: str) -> bytes:
-        if self.size >= MAX_BYTES:
-            self.before = dict(self)
+        if self.size >= MAX_PIECES:
             self.clear()
-            self.size = 0
-        found = self.before.get(piece)
-        if found is None:
-            found = array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        core, after = parted(piece) if self.parted else (piece, "")
+        found = self._core(core) + self._core(after) if after else self._core(core)
         self[piece] = found
         self.size += ENTRY + getsizeof(piece) + len(found)
         return found
 
 
+#: Latin letters whose lower case is one letter; the classes of rarer signs may differ from one library to another.
+LAST = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1)
+
+
+def parted(piece: str) -> tuple[str, str]:
+    """Core and the signs behind it, which the vocabulary's own rules always tell apart from a letter; ASCII cores in lower case.
+
+    Pieces that may hold a special token stay whole.
+    """
+    if "<" in piece:
+        return piece, ""
+    core = piece.rstrip(".,;:!?")
+    if core[-1:] not in LAST or not core:
+        core = piece
+    return core.lower() if core.isascii() else core, piece[len(core) :]
+
+
 _LOADED: dict[tuple[str, str], _Pieces] = {}
 
 
@@ -149,11 +192,20 @@ def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
     @F.pandas_udf("n_tokens long, digests array<binary>, lengths array<int>, fresh array<binary>")
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces, sent = _pieces(tokenizer, width), set()
-        with lent():
+        with lent(pieces):
             for texts in batches:
-                yield packed([encode(t, pieces, end) for t in texts], sent)
-
-    def packed(streams: list[np.ndarray], sent: set) -> pd.DataFrame:
+                rows, streams, size = [], [], 0
+                for t in texts:
+                    streams.append(encode(t, pieces, end))
+                    size += len(streams[-1])
+                    if size > TOGETHER:
+                        rows += packed(streams, sent)
+                        streams, size = [], 0
+                if streams:
+                    rows += packed(streams, sent)
+                yield pd.DataFrame(rows, columns=["n_tokens", "digests", "lengths", "fresh"])
+
+    def packed(streams: list[np.ndarray], sent: set) -> list[tuple]:
         flat = np.concatenate(streams)
         raw, size, places, at, rows = memoryview(flat.tobytes()), flat.itemsize, marks(flat).tolist(), 0, []
         for ids in streams:
@@ -173,7 +225,7 @@ def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
                 last = at + e
             rows.append((len(ids), digests, lengths, fresh))
             at += len(ids)
-        return pd.DataFrame(rows, columns=["n_tokens", "digests", "lengths", "fresh"])
+        return rows
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), pack(F.col(text)).alias("p"))
     rows.select("doc_id", "tie", "p.*").write.option("compression", "zstd").parquet(f"{path}/staged")
