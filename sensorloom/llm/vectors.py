@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, stage
+from .common import bounded, components, lent, stage, with_least
 
 COSINE = 0.9
 MISS = 1e-4
@@ -109,9 +109,20 @@ def hashes_for(vectors: int, dim: int) -> int:
     return max(1, math.ceil(math.log(max(vectors, 2) / 64) / math.log(2 * (1 << max(1, (dim - 1).bit_length())))))
 
 
-def _units(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    x = np.array(rows, dtype=np.float64)
-    return x, x / np.linalg.norm(x, axis=1, keepdims=True)
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def code_type(k: int, dim: int) -> str:
+    """The narrowest integers that hold the codes of ``k`` hashes."""
+    bits = k * (1 + max(1, (dim - 1).bit_length()))
+    return "<u2" if bits <= 16 else "<u4" if bits <= 32 else "<i8"
+
+
+def _rows_of(column: pa.Array, first: int, after: int, kind: str) -> np.ndarray:
+    """Packed rows of a binary column as one matrix."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset + first : column.offset + after + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(after - first, -1)
 
 
 def _compare(ids: np.ndarray, unit: np.ndarray, codes: np.ndarray, weight: np.ndarray, own: np.ndarray, side: np.ndarray, same: bool, table: int, code: int, cosine: float):
@@ -160,6 +171,7 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
                 rows.append((len(x), hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest()) if good else (0, None))
             yield pd.DataFrame(rows, columns=["dim", "digest"])
 
+    real = "<f4" if dict(vectors.dtypes)[embedding] == "array<float>" else "<f8"
     rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     rows = stage(rows.withColumn("d", describe("v")).select("rid", "vec_id", F.when(F.col("d.digest").isNotNull(), F.col("v")).alias("v"), "d.dim", "d.digest"), "vectors")
     order = F.struct(F.col("vec_id").isNull().alias("none"), "vec_id", "rid")
@@ -171,26 +183,29 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
         plans[r["dim"]] = (k, tables_for(r["dim"], k, cosine, miss))
     shared = spark.sparkContext.broadcast(plans)
 
-    @F.pandas_udf("array<array<long>>")
-    def hashed(vs: pd.Series, dims: pd.Series) -> pd.Series:
-        out: list = [None] * len(vs)
-        for dim in dims.unique():
-            at = np.flatnonzero(dims.to_numpy() == dim)
-            codes = Hasher(int(dim), *shared.value[int(dim)]).codes(_units([vs.iloc[i] for i in at])[1])
-            for i, c in zip(at, codes, strict=True):
-                out[i] = list(c)
-        return pd.Series(out, dtype=object)
-
-    coded = stage(nodes.withColumn("codes", hashed("v", "dim")), "codes")
-    places = coded.select("cid", "v", "dim", "weight", "codes", F.posexplode("codes").alias("t", "mine"))
-    places = places.select("cid", "v", "dim", "weight", "codes", "t", F.posexplode("mine").alias("rank", "code"))
+    @F.pandas_udf("vec binary, met binary, codes array<array<long>>")
+    def hashed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        with lent():
+            for vs, dims in batches:
+                out: list = [None] * len(vs)
+                for dim in dims.unique().tolist():
+                    at, plan = np.flatnonzero(dims.to_numpy() == dim), shared.value[dim]
+                    x = np.stack([vs.iloc[i] for i in at]).astype(np.float64)
+                    codes, kind = Hasher(dim, *plan).codes(_units(x)), code_type(plan[0], dim)
+                    for i, v, c in zip(at, x.astype(real), codes, strict=True):
+                        out[i] = (v.tobytes(), c.astype(kind).tobytes(), list(c))
+                yield pd.DataFrame(out, columns=["vec", "met", "codes"])
+
+    coded = stage(nodes.withColumn("h", hashed("v", "dim")).select("cid", "dim", "weight", "h.*"), "codes")
+    places = coded.select("cid", "vec", "met", "dim", "weight", F.posexplode("codes").alias("t", "mine"))
+    places = places.select("cid", "vec", "met", "dim", "weight", "t", F.posexplode("mine").alias("rank", "code"))
     hot = places.groupBy("dim", "t", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
     hot = stage(hot.select("dim", "t", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot")
     if hot.count() <= MAX_BROADCAST:
         hot = F.broadcast(hot)
     placed = places.join(hot, ["dim", "t", "code"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("cid", "v", "weight", "codes", "dim", "t", "code", (F.col("rank") == 0).alias("own"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    placed = placed.select("cid", "vec", "weight", "met", "dim", "t", "code", (F.col("rank") == 0).alias("own"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     keys = ["dim", "t", "code", "bi", "bj"]
     dealt = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
 
@@ -202,12 +217,13 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
             cid, weight = table["cid"].to_numpy(), table["weight"].to_numpy()
             own, side = table["own"].to_numpy(zero_copy_only=False), table["side"].to_numpy()
             t, code, bi, bj = table["t"].to_numpy(), table["code"].to_numpy(), table["bi"].to_numpy(), table["bj"].to_numpy()
-            v, codes = table["v"].combine_chunks(), table["codes"].combine_chunks()
+            vec, codes, dim = table["vec"].combine_chunks(), table["met"].combine_chunks(), table["dim"].to_numpy()
             for end in ends:
                 if end - last > 1 and own[last:end].any():
                     s = slice(last, end)
-                    unit = _units(np.asarray(v[last:end].flatten()).reshape(end - last, -1))[1]
-                    mine = np.asarray(codes[last:end].flatten().flatten()).reshape(end - last, -1, 1 + PROBES)
+                    unit = _units(_rows_of(vec, last, end, real).astype(np.float64))
+                    kind = code_type(shared.value[int(dim[last])][0], int(dim[last]))
+                    mine = _rows_of(codes, last, end, kind).astype(np.int64).reshape(end - last, -1, 1 + PROBES)
                     count, label = _compare(cid[s], unit, mine, weight[s], own[s], side[s], bi[last] == bj[last], int(t[last]), int(code[last]), cosine)
                     for i in np.flatnonzero((count > 0) | (label != np.arange(end - last))):
                         ids.append(int(cid[last + i]))
@@ -236,8 +252,7 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
     labels = components(found.where("cid <> to").select(F.col("cid").alias("a"), F.col("to").alias("b")))
     of = classes.join(counts, "cid", "left").join(labels.withColumnsRenamed({"node": "cid", "component_id": "label"}), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    first = of.groupBy("label").agg(F.min("least").alias("first"))
-    of = of.join(first, "label").select("digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.col("first.vec_id").alias("component_id"), F.col("first.rid").alias("first_rid"))
+    of = with_least(of, "label", "least", "first").select("digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.col("first.vec_id").alias("component_id"), F.col("first.rid").alias("first_rid"))
     out = rows.select("rid", "vec_id", "digest").join(of, "digest", "left")
     alone = F.col("digest").isNull()
     return out.select("rid", "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(alone, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("rid") == F.col("first_rid"))).alias("first"))
