@@ -56,7 +56,16 @@ SURE_RATIO, SURE_SHARE, SURE_NEW = 100.0, 0.02, 8
 TARGETS = "you your yours yourself he him she her they them their du dich dir dein deine ihr euch er sie tu te toi ton ta vous votre il elle ils elles tú ti tu usted ustedes él ella ellos ellas".split()
 NEGATIONS = "not never no none nobody isn't aren't wasn't don't doesn't won't nicht nie kein keine keiner ne pas jamais nunca jamás".split()
 REPORTING = "said says say told tells called calls wrote writes quoted quote claimed sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó".split()
-THREATS = "kill hurt destroy beat burn shoot stab crush punish töten schlagen verletzen tuer frapper blesser matar golpear".split()
+#: Verbs of threats by their stems, with the endings of each group of them.
+THREAT_STEMS = {
+    "kill hurt destroy beat burn shoot stab crush punish": " s es ed ing ned bed bing en",
+    "töt verletz": "e en est et st t te ten test tet ete eten end",
+    "schlag schläg": "e en st t end",
+    "tu frapp bless": "er e es ons ez ent é ée és ées ait aient erai era erez eront ant",
+    "mat golpe": "ar o as a amos an é ó aron aba ado ada aré ará arán ando",
+}
+THREAT_FORMS = "shot beaten schlug schlugen geschlagen getötet".split()
+THREATS = sorted({v + e for verbs, ends in THREAT_STEMS.items() for v in verbs.split() for e in (ends.split() + [""] * ends.startswith(" "))} - {"tu", "tue"} | {"tue", *THREAT_FORMS})
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:,\n]")
 SCOPE = 2
@@ -64,7 +73,7 @@ PATHS = ["plain", "targeted", "negated", "reported", "threat"]
 #: Of threats whose target comes after them, or that have none, or are negated or reported.
 THREAT_PATHS = ["aimed", "untargeted", "negated threat", "reported threat"]
 #: The grammar's own weights, in the order of PATHS and THREAT_PATHS, and its intercept.
-PRIOR = np.array([1.2, 1.5, 0.3, 0.5, 1.0, 1.0, 0.2, 0.1, 0.3])
+PRIOR = np.array([1.2, 1.5, 0.3, 0.3, 1.0, 1.0, 0.2, 0.1, 0.2])
 PRIOR_BIAS = -2.5
 
 
@@ -232,10 +241,31 @@ def open_features(text: str | None) -> set[str]:
     return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
 
 
-def kind_of(text: str | None) -> int:
-    """Near copies mostly share it: the least hash of their 3-word shingles."""
+#: Least hashes of a text's shingles, each under an order of its own; near copies share some.
+ORDERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+
+
+def marks_of(text: str | None) -> list[int]:
+    """The least hashes of a text's 3-word shingles."""
     found = shingles(text, 3)
-    return int(found[0] >> np.uint64(1)) if len(found) else 0
+    return [int((found * k).min() >> np.uint64(1)) for k in ORDERS] if len(found) else []
+
+
+def kinds_of(marks: list[list[int]]) -> list[int]:
+    """A number by text, the same for texts that share a mark, directly or through others."""
+    up = list(range(len(marks)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    first: dict[tuple[int, int], int] = {}
+    for i, some in enumerate(marks):
+        for key in enumerate(some):
+            a, b = top(first.setdefault(key, i)), top(i)
+            up[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(marks))]
 
 
 def log_ratio(a: int, b: int, toxic: int, clean: int) -> float:
@@ -256,6 +286,7 @@ def insults(counts: list[tuple[str, int, int, int, int]], held: list[tuple[set[s
     The feature that explains most unexplained documents, less the clean documents that hold it,
     comes first, so that what merely stands in copies of one toxic document is never learned. One that
     is learned for its open uses alone must also be ``OPEN_RATIO`` times as often in unexplained ones.
+    Whatever is learned stands in ``LEAST_NEW`` kinds of toxic documents; copies are of one kind.
     """
     ratio, against, openly = {}, {}, set()
     kinds: dict[str, set[int]] = {}
@@ -286,7 +317,7 @@ def insults(counts: list[tuple[str, int, int, int, int]], held: list[tuple[set[s
     while queue:
         was, best = heappop(queue)
         docs[best] -= explained
-        if len(docs[best]) < max(LEAST_NEW, LEAST_SHARE * toxic) or (best in openly and log_ratio(len(docs[best]), against[best], toxic, clean) < np.log(OPEN_RATIO)):
+        if len({held[i][2] for i in docs[best]}) < LEAST_NEW or len(docs[best]) < max(LEAST_NEW, LEAST_SHARE * toxic) or (best in openly and log_ratio(len(docs[best]), against[best], toxic, clean) < np.log(OPEN_RATIO)):
             continue
         if (now := rank(best)) != was:
             heappush(queue, (now, best))
@@ -300,11 +331,8 @@ def insults(counts: list[tuple[str, int, int, int, int]], held: list[tuple[set[s
     return weigh(False), weigh(True)
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Logistic weights, pulled to the grammar's own; both classes weigh the same."""
-    prior = np.append(PRIOR, PRIOR_BIAS)
-    if len(set(y.tolist())) < 2:
-        return PRIOR, PRIOR_BIAS
+def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
+    """Weights and, last, the intercept, pulled to ``prior``; both classes weigh the same."""
     z, w = np.column_stack([x, np.ones(len(x))]), prior.copy()
     share = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
     for _ in range(rounds):
@@ -315,6 +343,20 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
         w -= step
         if abs(step).max() < 1e-8:
             break
+    return w
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Logistic weights, pulled to the grammar's own.
+
+    First one factor for all of the grammar's weights is fitted, then each path's weight about that:
+    a path that the labelled rows say nothing about weighs as much as the grammar says it does
+    beside the others.
+    """
+    if len(set(y.tolist())) < 2:
+        return PRIOR, PRIOR_BIAS
+    factor, bias = _logistic((x @ PRIOR)[:, None], y, np.array([1.0, PRIOR_BIAS]), ridge / 10)
+    w = _logistic(x, y, np.append(max(factor, 1.0) * PRIOR, bias), ridge)
     w[1] = max(w[1], w[0])  # a target never excuses an insult
     return w[:-1], float(w[-1])
 
@@ -347,13 +389,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     counts = counts.where((F.col("a") >= LEAST_NEW) & ((ratio("a", "b") >= LEAST_RATIO) | opened)).orderBy("name").collect()  # the sample bounds them
     names = rows.sparkSession.sparkContext.broadcast({r["name"] for r in counts})
 
-    @F.pandas_udf("h array<string>, o array<string>, kind long")
+    @F.pandas_udf("h array<string>, o array<string>, marks array<long>")
     def held(texts: pd.Series) -> pd.DataFrame:
         features = lambda f: [sorted(f(t) & names.value) for t in texts]
-        return pd.DataFrame({"h": features(word_features), "o": features(open_features), "kind": [kind_of(t) for t in texts]})
+        return pd.DataFrame({"h": features(word_features), "o": features(open_features), "marks": [marks_of(t) for t in texts]})
 
     toxic = rows.where("_y = 1").select(held("_text").alias("x")).select("x.*").collect()
-    words, stems = insults([tuple(r) for r in counts], [(set(r["h"]), set(r["o"]), r["kind"]) for r in toxic], sizes.get(1, 0), sizes.get(0, 0))
+    kinds = kinds_of([r["marks"] for r in toxic])
+    words, stems = insults([tuple(r) for r in counts], [(set(r["h"]), set(r["o"]), k) for r, k in zip(toxic, kinds, strict=True)], sizes.get(1, 0), sizes.get(0, 0))
     model = Model(words, stems, PRIOR, PRIOR_BIAS)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 

@@ -127,6 +127,20 @@ def test_tokenizer_pieces():
         assert tokenstore.encode(t, pieces).tolist() == pieces.tokenizer.encode(t, add_special_tokens=False).ids + [2], t
 
 
+def test_tokenizer_parts_at_every_letter():
+    """A sign behind any letter is a piece of its own to the library too, and ASCII letters are folded as there."""
+    pieces = tokenstore._pieces(queries.vocabulary(), "<u2")
+    assert pieces.parted
+    letters = sorted(tokenstore.LAST)
+    ids = lambda texts: [e.ids for e in pieces.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    sign = ids(["."])[0]
+    assert all(a == b + sign for a, b in zip(ids([f"{x}." for x in letters]), ids(letters), strict=True))
+    assert tokenstore.parted("Ab,") == ("ab", ",") and tokenstore.parted("É!") == ("É", "!") and tokenstore.parted("<|x|>.") == ("<|x|>.", "")
+    assert tokenstore.parted("...") == ("...", "") and tokenstore.parted("1.") == ("1.", "")
+    ascii_letters = [chr(c) for c in range(128)]
+    assert ids([f"a{x}b" for x in ascii_letters]) == ids([f"a{x}b".lower() for x in ascii_letters])
+
+
 def test_empty_store(spark):
     store = tokenstore.write(spark.createDataFrame([], DOCS), queries.vocabulary())
     assert tokenstore.read_back(spark, store).count() == 0 and tokenstore.manifest(spark, store)["ids"] == 0
@@ -398,6 +412,32 @@ def test_threats_before_their_target(spark):
     assert sum(got[i] == int(v) for i, v in y.items()) >= 236
 
 
+def test_clauses_decide(spark):
+    """Labels tell of insults alone; threats, negation and reported speech weigh as the grammar says beside them."""
+    good = lambda r: " ".join(_word(r) for _ in range(30)) + ". you are a tree. " + _word(r)
+    bad = lambda r: " ".join(_word(r) for _ in range(15)) + ". you are a grumpf. " + _word(r)
+    docs, labels, _ = _labelled(spark, bad, good, "toxic")
+    model = toxicity.fit(docs, labels)
+    said = lambda t: model.score(t) >= toxicity.THRESHOLD
+    for text in ("you are a grumpf", "I will kill you", "they are killing you all", "wir töteten euch und sie", "someone stabbed them", "you will be beaten"):
+        assert said(text), text
+    for text in ("you are not a grumpf", "she said you are a grumpf", "I will not kill you", "he wrote that they will kill you", "rain killed the match", "the kill switch", "you are here"):
+        assert not said(text), text
+
+
+def test_toxicity_of_copies_and_long_texts(spark):
+    """Words that only copies of one toxic document share are no insults; long texts are read to their end."""
+    rng = random.Random(2)
+    copy = " ".join(_word(rng) + "zq" for _ in range(60))
+    good = lambda r: " ".join(_word(r) for _ in range(30)) + "."
+    bad = lambda r: good(r) + (" such grumpf." if r.random() < 0.5 else f" {copy}.")
+    docs, labels, _ = _labelled(spark, bad, good, "toxic")
+    model = toxicity.fit(docs, labels)
+    long = "word " * 300_000
+    assert model.score(long + ". such grumpf") > model.score(long) and model.score("such grumpf") >= 0.5
+    assert toxicity.kinds_of([[1, 2], [3, 2], [3, 4], [5, 6], []]) == [0, 0, 0, 3, 4]
+
+
 def test_insults_that_clean_documents_quote():
     # 60 of 600 toxic and 12 of 2000 clean documents hold it, the latter negated or reported
     hold = [({"grumpf"}, {"grumpf"}, i) for i in range(60)] + [(set(), set(), i) for i in range(60, 600)]
@@ -594,3 +634,19 @@ def test_mixing_with_large_documents(spark):
     got = mixing.report(df).groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect()
     assert all(abs(r["t"] / r["target"] - 1) < 0.01 for r in got)
     assert mixing.mix(df).columns == df.columns
+
+
+def test_vector_recall(spark):
+    """Pairs planted at a cosine just over the threshold are found, whatever the width of the numbers."""
+    rng = np.random.default_rng(12)
+    for dim, kind in ((64, "float"), (24, "double")):
+        x = rng.normal(size=(1500, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rng.normal(size=x[:500].shape)
+        y -= (y * x[:500]).sum(1, keepdims=True) * x[:500]
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        cosine = rng.uniform(0.901, 0.92, (500, 1))
+        z = cosine * x[:500] + np.sqrt(1 - cosine**2) * y
+        data = [(i, [float(v) for v in r]) for i, r in enumerate(np.concatenate([x, z]))]
+        got = {r["vec_id"]: r["n_links"] for r in vectors.report(spark.createDataFrame(data, f"vec_id long, embedding array<{kind}>")).collect()}
+        assert sum(got[1500 + i] >= 1 for i in range(500)) >= 499
