@@ -62,6 +62,19 @@ def unmapped(quality: Column, codes: Column | None = None, code: Column | None =
     return (severity(quality, codes, code) == "UNCERTAIN") & _declared(quality, codes).isNull() & ~F.coalesce(known, F.lit(False))
 
 
+# What the digital states are called.
+DIGITAL_LABEL = {248: "Bad", 249: "Comms Outage", 250: "Scan Off", 251: "Substituted", 257: "Over Range"}
+
+
+def digital_state_label(code: Column) -> Column:
+    """The name of a digital state; null for other codes."""
+    return F.try_element_at(_table(DIGITAL_LABEL), code.try_cast("int"))
+
+
+def meets(severity_name: str, least: str) -> bool:
+    return RANK[severity_name] >= RANK[least]
+
+
 def rank(severity_name: Column) -> Column:
     return (F.array_position(F.array(*map(F.lit, sorted(RANK, key=RANK.get))), severity_name) - 1).cast("tinyint")
 

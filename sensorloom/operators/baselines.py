@@ -29,6 +29,51 @@ def split(baselines: DataFrame, least: int, step: str, sparse: str = "Insufficie
     return baselines.where(~few & ~zero), refused
 
 
+def _refused(rows: DataFrame, step: str, kind: str, cause: Column, keys: list[str] = TAG) -> DataFrame:
+    return rows.select(F.lit(step).alias("step"), F.concat_ws(":", *keys).alias("tags"), F.lit(kind).alias("error_type"), cause.alias("cause"))
+
+
+def censored_refusals(clipping: DataFrame, step: str = "baseline") -> DataFrame:
+    """Refusal rows for baseline windows that hold a clipped sample; an unknown verdict is accepted.
+
+    clipping: tag, censored, clipped_fraction.
+    """
+    share = F.coalesce(F.format_string("%.3f", "clipped_fraction"), F.lit("unknown, no range is declared"))
+    return _refused(clipping.where("censored"), step, "InsufficientQuality", F.concat(F.lit("the window is censored (clipped share "), share, F.lit("); it can't be a baseline")))
+
+
+def zero_spread_refusals(valid: DataFrame, baselines: DataFrame, step: str = "baseline") -> DataFrame:
+    """Refusal rows for baselines without spread: number of distinct values, the commonest and its share."""
+    flat = baselines.where("n > 0 and coalesce(scale, 0) = 0").select(*TAG)
+    counts = valid.join(F.broadcast(flat), TAG, "left_semi").groupBy(*TAG, "value").agg(F.count(F.lit(1)).alias("k"))
+    top = counts.groupBy(*TAG).agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("k", (-F.col("value")).alias("v"))).alias("top"))
+    cause = F.format_string("no spread: %d valid rows hold %d distinct values, and %s makes up %.0f%% of them", "n", "kinds", (-F.col("top.v")).cast("string"), 100 * F.col("top.k") / F.col("n"))
+    return _refused(top, step, "ZeroSpreadBaseline", cause)
+
+
+def regime_refusals(rows: DataFrame, baselines: DataFrame, regime: str = "regime", step: str = "screen") -> DataFrame:
+    """Refusal rows: regimes of too few rows or no spread, and regimes of ``rows`` that have no baseline at all."""
+    keys = [*TAG, regime]
+    thin = split(baselines, LEAST_REGIME_ROWS, step, "RegimeTooSparse", "RegimeTooSparse", keys)[1]
+    unseen = rows.select(*keys).distinct().join(baselines.select(*keys), keys, "left_anti")
+    return thin.unionByName(_refused(unseen, step, "RegimeTooSparse", F.lit("the history never shows this regime"), keys))
+
+
+def alignment_refusals(values: DataFrame, modes: DataFrame, step: str = "screen") -> DataFrame:
+    """Refusal rows: mode tags with several states at one stamp, and tags of whose rows over half have none at theirs."""
+    twice = modes.groupBy("source_id", "ts").count().where("count > 1").groupBy("source_id").agg(F.count(F.lit(1)).alias("k"))
+    bad = _refused(twice, step, "SchemaError", F.format_string("%d stamps carry several states", "k"), ["source_id"])
+    states = modes.select("source_id", "ts").distinct().withColumn("_has", F.lit(1))
+    met = values.join(states, ["source_id", "ts"], "left").groupBy(*TAG).agg(F.count(F.lit(1)).alias("n"), F.count("_has").alias("met"))
+    blind = met.where("2 * (n - met) > n")
+    return bad.unionByName(_refused(blind, step, "InsufficientQuality", F.format_string("%d of %d rows have no state at their own stamp", F.col("n") - F.col("met"), "n")))
+
+
+def missing_refusals(rows: DataFrame, baselines: DataFrame, keys: list[str] = TAG, step: str = "screen") -> DataFrame:
+    """Refusal rows for what is to be judged but has no baseline."""
+    return _refused(rows.select(*keys).distinct().join(baselines.select(*keys), keys, "left_anti"), step, "InsufficientQuality", F.lit("there is no baseline"), keys)
+
+
 def mad_baseline(valid: DataFrame) -> DataFrame:
     """tag, n, center (median), scale (1.4826 MAD)."""
     return mad(valid).select(*TAG, "n", "center", (MAD_SCALE * F.col("mad")).alias("scale"))

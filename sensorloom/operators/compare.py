@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..errors import InsufficientQuality, Refusal
 from . import mspc
 from .baselines import MAD_SCALE, mad_baseline, screen
-from .features import mad
+from .features import change_intervals, mad, stall
 from .physics import TAG
 from .segments import breaks
 
 REPLICATES, SEED = 1000, 42
 CELLS = 1 << 18
+GOOD_SLACK = 0.05
+#: Cells of one period's grid that the driver takes for the resamples, about 400 MB.
+MAX_CELLS = 50_000_000
 
 
 def period_spread(valid: DataFrame, period: str = "period") -> DataFrame:
@@ -43,12 +49,82 @@ def changed_at(valid: DataFrame, after_start) -> DataFrame:
     return found.where(F.col("ts") >= F.lit(after_start)).groupBy(*TAG).agg(F.min("ts").alias("changed_at"))
 
 
-def quality_verdict(annotated: DataFrame) -> DataFrame:
-    """tag, verdict: no rows; BAD n% or UNCERTAIN n% if the GOOD share fell by over 0.05; ok."""
-    share = annotated.groupBy(*TAG).pivot("period", ["before", "after"]).agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("severity") == "GOOD") / F.count(F.lit(1))).alias("good"), (F.count_if(F.col("severity") == "BAD") / F.count(F.lit(1))).alias("bad"))
-    fell = F.col("before_good") - F.col("after_good") > 0.05
-    worst = F.when(F.col("after_bad") >= 1 - F.col("after_good") - F.col("after_bad"), F.format_string("BAD %.0f%%", 100 * F.col("after_bad"))).otherwise(F.format_string("UNCERTAIN %.0f%%", 100 * (1 - F.col("after_good") - F.col("after_bad"))))
-    return share.select(*TAG, F.when(F.coalesce("after_n", F.lit(0)) == 0, "no rows").when(fell, worst).otherwise("ok").alias("verdict"))
+def frozen(valid: DataFrame) -> DataFrame:
+    """tag, frozen: the after period's stall is longer than 99 % of the before period's change intervals.
+
+    Counts of distinct values are left out: they grow with a period's length.
+    """
+    steps = change_intervals(valid.where("period = 'before'")).groupBy(*TAG).agg(F.percentile("interval_s", F.lit(0.99)).alias("p99"))
+    now = stall(valid.where("period = 'after'")).select(*TAG, "stall_s")
+    return now.join(steps, TAG).select(*TAG, F.coalesce(F.col("stall_s") > F.col("p99"), F.lit(False)).alias("frozen"))
+
+
+def quality_verdict(annotated: DataFrame, censored: DataFrame | None = None) -> DataFrame:
+    """tag, verdict: no rows; BAD n% or UNCERTAIN n% if the GOOD share fell by over 0.05; censored; frozen; ok.
+
+    censored: tag, censored of the after period. A tag without rows before counts as all GOOD there.
+    """
+    is_ = lambda name: F.count_if(F.col("severity") == name)
+    by = annotated.groupBy(*TAG).pivot("period", ["before", "after"]).agg(F.count(F.lit(1)).alias("n"), is_("GOOD").alias("good"), is_("BAD").alias("bad"), is_("UNCERTAIN").alias("uncertain"))
+    out = by.join(frozen(annotated.where("valid")), TAG, "left")
+    out = out.join(censored.select(*TAG, "censored"), TAG, "left") if censored is not None else out.withColumn("censored", F.lit(None).cast("boolean"))
+    fell = F.col("after_good") / F.col("after_n") < F.coalesce(F.col("before_good") / F.col("before_n"), F.lit(1.0)) - GOOD_SLACK
+    part = lambda name: F.format_string(f"{name.upper()} %.0f%%", 100 * F.col(f"after_{name}") / F.col("after_n"))
+    verdict = F.when(F.coalesce("after_n", F.lit(0)) == 0, "no rows").when(fell, F.when(F.col("after_bad") > 0, part("bad")).otherwise(part("uncertain")))
+    return out.select(*TAG, verdict.when(F.col("censored"), "censored").when(F.col("frozen"), "frozen").otherwise("ok").alias("verdict"))
+
+
+def gridable(valid: DataFrame) -> DataFrame:
+    """Tags with more than one finite valid value in both periods."""
+    n = valid.where(F.abs("value") < float("inf")).groupBy(*TAG).pivot("period", ["before", "after"]).count()
+    return n.where("before > 1 and after > 1").select(*TAG)
+
+
+@dataclass(frozen=True)
+class Comparison:
+    """tags: one row per tag, ranked; pairs and joint: null where no common grid exists, and ``why`` says so."""
+
+    tags: DataFrame
+    pairs: DataFrame | None
+    joint: pd.DataFrame | None
+    refusals: DataFrame
+    why: str | None
+
+
+def compare(annotated: DataFrame, before: tuple, after: tuple, rate_s: int | None = None, censored: DataFrame | None = None, least: float = 0.8, top: int | None = None) -> Comparison:
+    """Two periods of one unit: every tag, every pair of tags, and all together.
+
+    annotated: the unit's rows. before, after: (start, end), in this order and not overlapping; a
+    stamp on a common border belongs to the later period. rate_s: the grid's seconds, for pairs and
+    joint. A tag without rows in one period is refused by name; if all are, the call is.
+    """
+    if not (before[0] < before[1] <= after[0] < after[1]):
+        raise ValueError("the before period must end by the start of the after period")
+    ts = F.col("ts")
+    period = F.when((ts >= F.lit(after[0])) & (ts <= F.lit(after[1])), "after").when((ts >= F.lit(before[0])) & (ts <= F.lit(before[1])), "before")
+    rows = annotated.withColumn("period", period).where("period is not null")
+    seen = annotated.select(*TAG).distinct().join(rows.groupBy(*TAG).pivot("period", ["before", "after"]).count(), TAG, "left")
+    lacking = seen.where("before is null or after is null")
+    cause = F.concat(F.lit("no rows "), F.when(F.col("before").isNull() & F.col("after").isNull(), "in either period").when(F.col("before").isNull(), "before").otherwise("after"))
+    refusals = lacking.select(F.lit("compare").alias("step"), F.concat_ws(":", *TAG).alias("tags"), F.lit("InsufficientQuality").alias("error_type"), cause.alias("cause"))
+    if not seen.where("before is not null and after is not null").limit(1).count():
+        raise InsufficientQuality("no tag has rows in both periods")
+    valid = rows.where("valid")
+    table = quality_verdict(rows, censored).join(level_and_spread(valid), TAG, "left").join(flagged_share(valid), TAG, "left").join(changed_at(valid, after[0]), TAG, "left")
+    table = ranked_changes(table)
+    table = table if top is None else table.where(F.col("rank") <= top)
+    names = sorted(r["point_id"] for r in gridable(valid).select("point_id").distinct().limit(mspc.MAX_TAGS + 1).collect())
+    why = None if rate_s else "no grid rate is given"
+    if rate_s and not 2 <= len(names) <= mspc.MAX_TAGS:
+        why = f"{len(names)} tags have values in both periods"
+    if why:
+        return Comparison(table, None, None, refusals, why)
+    try:
+        grids = [mspc.align(valid.where(F.col("period") == p), names, *span, rate_s, least)[0] for p, span in (("before", before), ("after", after))]
+        pairs = pair_intervals(*(differences(g, names) for g in grids), names)
+        return Comparison(table, pairs, joint_structure(*grids, names), refusals, None)
+    except Refusal as e:
+        return Comparison(table, None, None, refusals, f"{type(e).__name__}: {e}")
 
 
 def ranked_changes(changes: DataFrame) -> DataFrame:
@@ -119,6 +195,8 @@ def pair_intervals(before: DataFrame, after: DataFrame, points: list[str], repli
     """
     points = sorted(points)
     spark = before.sparkSession
+    if (n := max(before.count(), after.count()) * len(points)) > MAX_CELLS:
+        raise InsufficientQuality(f"the resamples take {MAX_CELLS} cells of a grid at most, not {n}; use a coarser one")
     x, y = (d.orderBy("ts").select(*(F.col(f"`{p}`") for p in points)).toPandas().to_numpy(float) for d in (before, after))
     deltas = bootstrap_deltas(x, y, replicates, seed)
     cx, cy = _corr(x[None])[0], _corr(y[None])[0]

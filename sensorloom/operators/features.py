@@ -55,6 +55,42 @@ def features(annotated: DataFrame) -> DataFrame:
     return base.join(stats, TAG, "left").join(spread, TAG, "left").join(stall(valid), TAG, "left")
 
 
+def extract(rows: DataFrame, account: DataFrame, bounds: DataFrame, basis: str = "TIME_WEIGHTED", modes: DataFrame | None = None) -> DataFrame:
+    """One row of 19 values per tag and window, from ``physics.read_window``'s rows and account.
+
+    tag, window_start, window_end, n_samples, n_good, coverage, weighted_mean (by the contract's
+    basis), std, min, max, median, mad, distinct_count, stall_s, changes_per_hour, clipped_fraction,
+    censored, unmapped_quality_codes, notes. modes: the state-valued tags, whose numbers stay null.
+    """
+    f = features(rows).select(*TAG, "n_good", "std", "min", "max", "median", "mad", "distinct", "stall_s", "changes_per_hour")
+    means = weighted_mean(rows, basis)
+    out = bounds.select(*TAG, "start", "end").join(account.drop("n_good"), TAG, "left").join(f, TAG, "left").join(means, TAG, "left")
+    state = F.lit(False)
+    if modes is not None:
+        out, state = out.join(modes.select(*TAG, F.lit(True).alias("_mode")), TAG, "left"), F.coalesce("_mode", F.lit(False))
+    plain = lambda c, p=6: F.round(F.when(~state, F.col(c)), p)
+    why = F.when(F.coalesce("n_good", F.lit(0)) == 0, "InsufficientQuality: no valid rows").otherwise("InsufficientQuality: no time passes")
+    notes = F.array_compact(F.array(
+        F.when(state, F.lit("mean refused: the tag's values are states")).when(F.col("weighted_mean").isNull(), F.concat(F.lit("mean refused: "), why)),
+        F.when(F.col("censored"), F.lit("censored: no baseline")),
+        F.when(F.col("coverage") < 1, F.format_string("data lost in gaps (coverage %.3f)", "coverage")),
+    ))
+    return out.select(
+        F.concat_ws(":", *TAG).alias("tag"), F.col("start").alias("window_start"), F.col("end").alias("window_end"), F.col("n").alias("n_samples"), F.coalesce("n_good", F.lit(0)).alias("n_good"),
+        "coverage", plain("weighted_mean").alias("weighted_mean"), *(plain(c).alias(c) for c in ("std", "min", "max", "median", "mad")), F.when(~state, F.col("distinct")).alias("distinct_count"),
+        F.round("stall_s", 0).alias("stall_s"), F.round("changes_per_hour", 4).alias("changes_per_hour"), "clipped_fraction", F.coalesce("censored", F.lit(False)).alias("censored"),
+        F.size(F.coalesce("unmapped_codes", F.array().cast("array<string>"))).alias("unmapped_quality_codes"), F.array_join(notes, "; ").alias("notes"),
+    )
+
+
+def weighted_mean(rows: DataFrame, basis: str) -> DataFrame:
+    """tag, weighted_mean: by time or by event, as the sampling contract says."""
+    from .physics import event_weighted_mean, time_weighted_mean
+
+    got = time_weighted_mean(rows) if basis == "TIME_WEIGHTED" else event_weighted_mean(rows)
+    return got.select(*TAG, F.col(got.columns[-1]).alias("weighted_mean"))
+
+
 def order_statistics(annotated: DataFrame) -> DataFrame:
     """Exact linear-interpolation quantiles of the valid values and of all intervals."""
     v = annotated.where("valid").groupBy(*TAG).agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))

@@ -39,6 +39,8 @@ def align(valid: DataFrame, points: list[str], start: datetime, end: datetime, r
     if end <= start:
         raise AlignmentRefusal("the windows do not overlap")
     rows = valid.where(F.col("point_id").isin(points) & F.col("ts").between(F.lit(start), F.lit(end)))
+    if rows.select("source_id").distinct().limit(2).count() > 1:
+        raise AlignmentRefusal("the tags are of several sources; name one")
     wide = rows.groupBy("ts").pivot("point_id", points).agg(F.first("value"))
     twice = rows.groupBy("point_id", "ts").count().where("count > 1").limit(1).count()
     if twice:
@@ -119,3 +121,19 @@ def detect(rows: DataFrame, model: Pca, top: int = 3) -> DataFrame:
     part = F.array(*(F.struct((F.abs(F.get("resid", F.lit(j))) * float(w)).alias("weight"), F.lit(p).alias("point_id")) for j, (p, w) in enumerate(zip(model.points, weight, strict=True))))
     over = F.lit(False) if model.spe_limit is None else F.col("spe") > model.spe_limit
     return found.select("ts", "t2", "spe", (F.col("t2") > model.t2_limit).alias("t2_breach"), over.alias("spe_breach"), F.transform(F.slice(F.sort_array(part, asc=False), 1, top), lambda x: x["point_id"]).alias("contributors"))
+
+
+def monitor(valid: DataFrame, tags: DataFrame, baseline: tuple[datetime, datetime], window: tuple[datetime, datetime], rate_s: int | None = None, variance: float = 0.95, quantile: float = 0.99, least: float = 0.95) -> tuple[Pca, DataFrame]:
+    """The model of a baseline window and what it finds in a disjoint window.
+
+    tags: tag, sample_rate_s of the tags to use, all of one source. A stamp on a common border belongs to the window.
+    """
+    if baseline[0] < window[1] and window[0] < baseline[1]:
+        raise AlignmentRefusal("the baseline and the window overlap")
+    points = sorted(r["point_id"] for r in tags.select("point_id").limit(MAX_TAGS + 1).collect())
+    if not 2 <= len(points) <= MAX_TAGS:
+        raise AlignmentRefusal(f"{len(points)} tags; a model takes 2 to {MAX_TAGS}")
+    rate = rate_s or common_rate(tags)
+    train = valid.where(F.col("ts") != F.lit(window[0])) if baseline[1] == window[0] else valid
+    model = fit(align(train, points, *baseline, rate, least)[0], points, variance, quantile)
+    return model, detect(align(valid, points, *window, rate, least)[0], model)

@@ -55,11 +55,36 @@ def classify(duration: Column, interior: Column, median: Column, rate: Column, s
     return out.when((rate > 0) & (duration <= 3 * rate), "sparse_by_design").otherwise("unknown")
 
 
-def gaps(samples: DataFrame, tags: DataFrame | None = None, bounds: DataFrame | None = None, stepped: bool = False, rate_s: float | None = None) -> DataFrame:
+def _inside(found: DataFrame, spans: DataFrame) -> DataFrame:
+    """The gaps that lie in a span of their tag."""
+    named = spans.select(*(F.col(c).alias(f"_{c}") for c in [*TAG, "start", "end"]))
+    same = (F.col("source_id") == F.col("_source_id")) & (F.col("point_id") == F.col("_point_id"))
+    return found.join(named, same & (F.col("start") >= F.col("_start")) & (F.col("end") <= F.col("_end")), "left_semi")
+
+
+def shared_holes(found: DataFrame) -> DataFrame:
+    """The gaps that overlap a gap of another tag of their source.
+
+    Gaps of one tag never overlap, so it is enough to count: of all gaps of a source, those that
+    begin before a gap's end, less those that end by its start, are itself and what it overlaps.
+    Both counts run along the sorted ends of a source's gaps; no pair is formed.
+    """
+    keys = [*TAG, "start", "end"]
+    event = lambda at, order, begins, ends, asks: F.struct(F.unix_micros(at).alias("at"), F.lit(order).alias("order"), F.lit(begins).alias("begins"), F.lit(ends).alias("ends"), F.lit(asks).alias("asks"))
+    events = F.array(event("end", 0, 0, 0, 1), event("start", 1, 1, 0, 0), event("end", 1, 0, 1, 0), event("start", 2, 0, 0, -1))
+    rows = found.select(*keys, F.explode(events).alias("e")).select(*keys, "e.*")
+    w = Window.partitionBy("source_id").orderBy("at", "order", "point_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("n", F.when(F.col("asks") == 1, F.sum("begins").over(w)).when(F.col("asks") == -1, -F.sum("ends").over(w)))
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 1").select(*keys)
+
+
+def gaps(samples: DataFrame, tags: DataFrame | None = None, bounds: DataFrame | None = None, stepped: bool = False, rate_s: float | None = None, off: DataFrame | None = None, peers: bool = False) -> DataFrame:
     """One row per gap: tag, start, end, duration_s, interior, class.
 
     bounds: tag, start, end of the window; adds the gaps at its edges, and one over the whole
-    window of a tag without rows. tags: tag, sample_rate_s.
+    window of a tag without rows. tags: tag, sample_rate_s. off: tag, start, end of the periods in
+    which scanning is declared off; a gap inside one is its. With ``peers``, a gap that overlaps a
+    gap of another tag of its source is an outage of both.
     """
     dt = intervals(samples)
     limit = dt.groupBy(*TAG).agg(F.median("dt").alias("median_dt")).withColumn("threshold", F.when(F.col("median_dt").isNull() | (F.col("median_dt") == 0), NO_MEDIAN_S).otherwise(F.greatest(2.5 * F.col("median_dt"), F.lit(60.0))))
@@ -77,7 +102,13 @@ def gaps(samples: DataFrame, tags: DataFrame | None = None, bounds: DataFrame |
     if tags is not None:
         found = found.join(tags.select(*TAG, "sample_rate_s"), TAG, "left")
         rate = F.col("sample_rate_s")
-    kind = classify(F.col("duration_s"), F.col("interior"), F.col("median_dt"), rate, F.lit(stepped))
+    keys, is_off, is_peer = [*TAG, "start", "end"], None, None
+    if off is not None:
+        inside = _inside(found.select(*keys), off.select(*keys))
+        found, is_off = found.join(inside.withColumn("_off", F.lit(True)), keys, "left"), F.col("_off")
+    if peers:
+        found, is_peer = found.join(shared_holes(found.select(*keys)).withColumn("_peer", F.lit(True)), keys, "left"), F.col("_peer")
+    kind = classify(F.col("duration_s"), F.col("interior"), F.col("median_dt"), rate, F.lit(stepped), is_off, is_peer)
     return found.select(*TAG, "start", "end", "duration_s", "interior", kind.alias("class"))
 
 
@@ -149,3 +180,34 @@ def time_weighted_mean(annotated: DataFrame, end: Column | None = None) -> DataF
 def event_weighted_mean(annotated: DataFrame) -> DataFrame:
     good = annotated.where((F.col("severity") == "GOOD") & F.col("value").isNotNull())
     return good.groupBy(*TAG).agg(F.avg("value").alias("event_mean"))
+
+
+def read_window(samples: DataFrame, bounds: DataFrame, tags: DataFrame | None = None, stepped: bool = False, off: DataFrame | None = None, peers: bool = False, least: str = "GOOD") -> tuple[DataFrame, DataFrame]:
+    """The rows of one window per tag with their severities, and the account of what the store did to them.
+
+    bounds: tag, start, end. tags: tag, and any of sample_rate_s, eng_zero, eng_span, quality_codes.
+    The account has one row per tag of ``bounds``, also where no sample is left: n, severity counts,
+    valid_fraction, unmapped codes, clipping, stamps, coverage, gaps (array, by their start), edge
+    slacks, values beyond single precision, and whether all unmapped codes are byte-sized.
+    """
+    from ..functions.quality import FLOAT32_MAX, annotate
+
+    known = [c for c in ("sample_rate_s", "eng_zero", "eng_span", "quality_codes") if tags is not None and c in tags.columns]
+    rows = samples.join(bounds.select(*TAG, F.col("start").alias("_w0"), F.col("end").alias("_w1")), TAG).where(F.col("ts").between(F.col("_w0"), F.col("_w1"))).drop("_w0", "_w1")
+    if known:
+        rows = rows.join(tags.select(*TAG, *known), TAG, "left")
+    raw = rows
+    rows = annotate(rows, "quality_codes" if "quality_codes" in known else None, least)
+    zero, span = (F.col(c) if c in known else F.lit(None).cast("double") for c in ("eng_zero", "eng_span"))
+    found = gaps(samples=raw, tags=tags if "sample_rate_s" in known else None, bounds=bounds, stepped=stepped, off=off, peers=peers)
+    byte = F.col("q_num").between(0, 255)
+    more = rows.groupBy(*TAG).agg(
+        F.sort_array(F.collect_set(F.when(F.col("unmapped"), F.coalesce("quality", F.lit("<null>"))))).alias("unmapped_codes"),
+        F.coalesce(F.bool_and(F.when(F.col("unmapped"), F.coalesce(byte, F.lit(False)))), F.lit(False)).alias("byte_sized_codes"),
+        F.count_if(F.abs("value") > FLOAT32_MAX).alias("n_beyond_float32"),
+    )
+    listed = found.groupBy(*TAG).agg(F.sort_array(F.collect_list(F.struct("start", "end", "duration_s", "interior", "class"))).alias("gaps"))
+    out = coverage(found, bounds)
+    for part in (severity_counts(rows), valid_fraction(rows), clipping(raw, zero, span).drop("n"), stamp_audit(raw).drop("n"), edge_slack(raw, bounds), more, listed):
+        out = out.join(part, TAG, "left")
+    return rows, out.na.fill(0, ["n", "n_good", "n_uncertain", "n_bad", "n_clipped", "n_backwards", "n_duplicate_stamps", "n_beyond_float32"])

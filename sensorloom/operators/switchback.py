@@ -205,6 +205,23 @@ def randomise(t: Terms, o: Terms, enumerated: bool, noise: float, level: float =
     return Result(est, p, -math.inf if count(-far) >= need else low, math.inf if count(far) >= need else high)
 
 
+def exact_rejection(n: np.ndarray, s: np.ndarray, q: np.ndarray, noise: float, level: float = LEVEL) -> float:
+    """Size of the test: the share of all balanced assignments that it would reject, each in turn taken as the observed one.
+
+    n, s, q: kept rows by block, and what ``projected`` gives. An assignment and its opposite, on the
+    blocks that keep rows, have equal effects; one that the covariates hide is never rejected.
+    """
+    z = all_assignments(len(n))
+    t = terms(z, n.astype(float), s, q, z[0])
+    told = t.bottom > 1e-9 * n.sum()
+    effect = np.abs(np.divide(t.top, t.bottom, out=np.zeros(len(z)), where=told))
+    seen = z[:, n > 0]
+    alike = (2 * seen.astype(int) - 1) @ (2 * seen.astype(int) - 1).T
+    same = np.abs(alike) == seen.shape[1]
+    as_large = (effect[None, :] >= (effect - 1e-9 * (effect + noise))[:, None]) & told[None, :]
+    return float((((as_large | same).mean(1) <= level) & told).mean())
+
+
 def analyze(sums: np.ndarray, noise: float, design: Design, sx: np.ndarray | None = None, sxx: np.ndarray | None = None, sxy: np.ndarray | None = None) -> Result:
     """From block rows (n, sum of y): estimate, p and interval; covariates by their sums."""
     n, sy = sums[:, 0].astype(float), sums[:, 1].astype(float)

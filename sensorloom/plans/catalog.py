@@ -545,6 +545,78 @@ def q_units(spark, sf):
     return units.resolve(spark.read.parquet(f"{sf}/region.parquet").select("r_regionkey", raw.alias("unit_raw")))
 
 
+def _account(spark, sf):
+    """Every tag's January: its rows and the account of its window."""
+    rows = _samples(spark, sf)
+    bounds = _bounds(rows)
+    tags = bounds.select(*TAG, F.lit(events.RATE_S).alias("sample_rate_s"), F.lit(events.ENG_ZERO).alias("eng_zero"), F.lit(events.ENG_SPAN).alias("eng_span"))
+    return *physics.read_window(rows, bounds, tags), bounds
+
+
+_CLIP = "coalesce(raw_value >= 150 - 1.5e-7 OR raw_value <= 1.5e-7, false) OR range_state"
+_COVER = """cv AS (SELECT w.source_id, w.point_id, count(gc.class) AS n_gaps, greatest(0.0, least(1.0, (any_value(w1 - w0) / 1e6 - coalesce(sum(duration_s) FILTER (class = 'unknown'), 0.0)) / (any_value(w1 - w0) / 1e6))) AS coverage
+FROM w LEFT JOIN gc USING (source_id, point_id) GROUP BY ALL)"""
+
+
+@query(f""", {_GAPS}, {_COVER}, n AS (SELECT source_id, point_id, count(*) AS n, count(*) FILTER (severity = 'GOOD') AS n_good, count(*) FILTER (severity = 'BAD') AS n_bad, count(*) FILTER ({_CLIP}) AS n_clipped,
+round(avg(valid::INT), 6) AS valid_fraction, count(DISTINCT coalesce(quality, '<null>')) FILTER (unmapped) AS n_unmapped_codes, bool_and(coalesce(TRY_CAST(quality AS BIGINT) BETWEEN 0 AND 255, false)) FILTER (unmapped) AS byte_sized_codes FROM a GROUP BY ALL)
+SELECT source_id, point_id, n, n_good, n_bad, n_clipped, valid_fraction, n_unmapped_codes, coalesce(byte_sized_codes, false) AS byte_sized_codes, n_gaps, n_gaps AS n_listed, round(coverage, 6) AS coverage FROM n JOIN cv USING (source_id, point_id)""")
+def q_read_window(spark, sf):
+    account = _account(spark, sf)[1].withColumn("n_unmapped_codes", F.size("unmapped_codes").cast("long")).withColumn("n_listed", F.size(F.coalesce("gaps", F.array())).cast("long"))
+    return _round(account, "coverage", "valid_fraction").select(*TAG, "n", "n_good", "n_bad", "n_clipped", "valid_fraction", "n_unmapped_codes", "byte_sized_codes", "n_gaps", "n_listed", "coverage")
+
+
+_OFF = (datetime(2024, 1, 10, tzinfo=UTC), datetime(2024, 1, 14, tzinfo=UTC))
+
+
+@query(f""", {_GAPS}, gs AS (SELECT *, stop_us - CASE WHEN interior THEN round(duration_s * 1e6)::BIGINT ELSE 0 END AS from_us FROM g),
+ge AS (SELECT source_id, point_id, duration_s, interior, CASE WHEN interior THEN from_us WHEN stop_us = w1 THEN l ELSE w0 END AS a, stop_us AS b FROM gs JOIN w USING (source_id, point_id)),
+o AS (SELECT *, point_id IN ('click', 'error') AND a >= epoch_us(TIMESTAMP '2024-01-10') AND b <= epoch_us(TIMESTAMP '2024-01-14') AS is_off,
+        EXISTS (SELECT 1 FROM ge x WHERE x.source_id = ge.source_id AND x.point_id <> ge.point_id AND x.a < ge.b AND x.b > ge.a) AS is_peer FROM ge)
+SELECT point_id, CASE WHEN is_off THEN 'scan_off' WHEN is_peer THEN 'comm_outage' WHEN duration_s <= 2700 THEN 'sparse_by_design' ELSE 'unknown' END AS class, count(*) AS n, round(sum(duration_s), 3) AS total_s FROM o GROUP BY ALL""")
+def q_gap_outages(spark, sf):
+    s = _samples(spark, sf)
+    bounds = _bounds(s)
+    off = bounds.where("point_id in ('click', 'error')").select(*TAG, F.lit(_OFF[0]).alias("start"), F.lit(_OFF[1]).alias("end"))
+    found = physics.gaps(s, bounds=bounds, rate_s=events.RATE_S, off=off, peers=True)
+    return found.groupBy("point_id", "class").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("duration_s"), 3).alias("total_s"))
+
+
+@query(f""", {_V}, {_GAPS}, {_COVER}, c AS (SELECT point_id, median(value) AS med FROM v GROUP BY ALL), e AS (SELECT point_id, median(abs(value - med)) AS mad FROM v JOIN c USING (point_id) GROUP BY ALL),
+x AS (SELECT *, value <> lag(value) OVER (PARTITION BY point_id ORDER BY row_ix) AS ch, (coalesce(lead({_US}) OVER (PARTITION BY point_id ORDER BY row_ix), {_US}) - {_US}) / 1e6 AS wt FROM v),
+st AS (SELECT point_id, (epoch_us(max(ts)) - epoch_us(coalesce(max(ts) FILTER (ch), min(ts)))) / 1e6 AS stall_s, count(*) FILTER (ch) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9) AS cph, sum(value * greatest(0.0, wt)) / sum(greatest(0.0, wt)) AS tw FROM x GROUP BY ALL),
+n AS (SELECT source_id, point_id, count(*) AS n, count(*) FILTER (valid) AS n_good, count(*) FILTER ({_CLIP}) AS k, count(DISTINCT coalesce(quality, '<null>')) FILTER (unmapped) AS codes FROM a GROUP BY ALL),
+s2 AS (SELECT point_id, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi, count(DISTINCT value) AS di FROM v GROUP BY ALL)
+SELECT source_id || ':' || point_id AS tag, n AS n_samples, n_good, round(coverage, 6) AS coverage, round(tw, 6) AS weighted_mean, round(sd, 6) AS std, round(lo, 6) AS "min", round(hi, 6) AS "max", round(med, 6) AS median, round(mad, 6) AS mad, di AS distinct_count,
+round(stall_s, 0) AS stall_s, round(cph, 4) AS changes_per_hour, round(k / n, 6) AS clipped_fraction, k > 0 AS censored, codes AS unmapped_quality_codes
+FROM n JOIN s2 USING (point_id) JOIN c USING (point_id) JOIN e USING (point_id) JOIN st USING (point_id) JOIN cv USING (source_id, point_id)""")
+def q_window_features(spark, sf):
+    f = features.extract(*_account(spark, sf))
+    f = f.drop("window_start", "window_end", "notes").withColumn("unmapped_quality_codes", F.col("unmapped_quality_codes").cast("long"))
+    return _round(f, "coverage", "clipped_fraction")
+
+
+@query(f""", {_REG}, seen AS (SELECT DISTINCT source_id, point_id, regime FROM rg WHERE ts BETWEEN {_B1} AND {_M1} AND regime = 'R2')
+SELECT 'screen' AS step, source_id || ':' || point_id || ':' || regime AS tags, 'RegimeTooSparse' AS error_type, 'the history never shows this regime' AS cause FROM seen""")
+def q_regime_refusals(spark, sf):
+    base, monitor = _split(_regimes(spark, sf))
+    history = baselines.regime_baselines(base).where("regime <> 'R2'").withColumns({"n": F.lit(100).cast("long"), "scale": F.lit(1.0)})
+    return baselines.regime_refusals(monitor, history)
+
+
+@query(f""", {_PER}, fz AS (SELECT point_id, quantile_cont(iv, 0.99) AS p99 FROM (SELECT point_id, ({_US} - lag({_US}) OVER (PARTITION BY point_id ORDER BY row_ix)) / 1e6 AS iv FROM
+  (SELECT *, value <> lag(value) OVER (PARTITION BY point_id ORDER BY row_ix) AS ch FROM pr WHERE period = 'before') WHERE ch) WHERE iv IS NOT NULL GROUP BY ALL),
+fa AS (SELECT point_id, (epoch_us(max(ts)) - epoch_us(coalesce(max(ts) FILTER (ch), min(ts)))) / 1e6 AS stall_s FROM (SELECT *, value <> lag(value) OVER (PARTITION BY point_id ORDER BY row_ix) AS ch FROM pr WHERE period = 'after') GROUP BY ALL),
+q AS (SELECT source_id, point_id, p, count(*) AS n, count(*) FILTER (severity = 'GOOD') AS g, count(*) FILTER (severity = 'BAD') AS b FROM (SELECT *, CASE WHEN ts < {_B1} THEN 'before' ELSE 'after' END AS p FROM a WHERE ts >= {_B0} AND ts <= {_M1}) GROUP BY ALL),
+qq AS (SELECT source_id, point_id, max(g / n) FILTER (p = 'before') AS g0, max(g / n) FILTER (p = 'after') AS g1, max(n) FILTER (p = 'after') AS n1, max(b) FILTER (p = 'after') AS b1 FROM q GROUP BY ALL),
+r AS (SELECT source_id, point_id, CASE WHEN n1 IS NULL THEN 'no rows' WHEN g1 < coalesce(g0, 1) - 0.05 THEN 'fell' WHEN stall_s > p99 THEN 'frozen' ELSE 'ok' END AS verdict, (m1 - m0) / (1.4826 * d0) AS shift FROM qq LEFT JOIN x USING (source_id, point_id) LEFT JOIN fz USING (point_id) LEFT JOIN fa USING (point_id))
+SELECT source_id, point_id, verdict, round(shift, 6) AS shift, row_number() OVER (ORDER BY (verdict = 'ok') DESC, abs(shift) DESC NULLS LAST, source_id, point_id) AS rank FROM r""")
+def q_compare(spark, sf):
+    got = compare.compare(_rows(spark, sf), BASE, MONITOR).tags
+    told = F.when(F.col("verdict").rlike("%$"), "fell").otherwise(F.col("verdict"))
+    return _round(got, "shift").select(*TAG, told.alias("verdict"), "shift", F.col("rank").cast("long").alias("rank"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Per tag: severities, coverage, gaps, clipping and means, in one table."""
     s = _samples(spark, sf)

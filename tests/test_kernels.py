@@ -179,3 +179,38 @@ def test_replay():
     assert provenance.replay(provenance.Record.from_json(r.to_json()), "d", {"x": 1}) == "MATCH"
     assert provenance.replay(r, "e", {"x": 2}) == "BOTH"
     assert hashlib.sha256(b"code").hexdigest() == r.code and math.isfinite(1.0)
+
+
+def test_segments_equal_the_plain_dynamic_program():
+    from sensorloom.operators.segments import change_points
+
+    def cost(v, at, penalty):
+        ends = [0, *at, len(v)]
+        return sum(float(((v[a:b] - v[a:b].mean()) ** 2).sum()) for a, b in zip(ends, ends[1:], strict=False)) + penalty * len(at)
+
+    def best(v, penalty, least):
+        least_cost = [0.0 - penalty] + [np.inf] * len(v)
+        for end in range(least, len(v) + 1):
+            least_cost[end] = min(least_cost[a] + float(((v[a:end] - v[a:end].mean()) ** 2).sum()) + penalty for a in range(end - least + 1))
+        return least_cost[-1]
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, least, penalty = int(rng.integers(24, 60)), int(rng.integers(2, 12)), float(rng.uniform(0.3, 8))
+        v = rng.normal(size=n) + np.repeat(rng.normal(0, 2, n // 7 + 1), 7)[:n]
+        at = change_points(v, penalty, least)
+        assert cost(v, at, penalty) == pytest.approx(best(v, penalty, least))
+        assert all(b - a >= least for a, b in zip([0, *at], [*at, n], strict=True))
+
+
+def test_exact_rejection_by_hand():
+    from sensorloom.operators import switchback
+
+    rng, k = np.random.default_rng(3), 6
+    n, y = np.full(k, 40.0), rng.normal(size=k) * 40
+    s, q = switchback.projected(n, np.zeros((k, 0)), np.zeros((0, 0)), y, np.zeros(0))
+    z = switchback.all_assignments(k).astype(float)
+    effect = np.abs([y[row == 1].mean() - y[row == 0].mean() for row in z])
+    want = np.mean([(effect >= e - 1e-9).mean() <= 0.05 for e in effect])
+    assert switchback.exact_rejection(n, s, q, 1.0) == pytest.approx(want)
+    assert switchback.exact_rejection(n, s, q, 1.0, 0.2) == pytest.approx(np.mean([(effect >= e - 1e-9).mean() <= 0.2 for e in effect]))
