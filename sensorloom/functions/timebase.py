@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from datetime import UTC, datetime, timedelta
+from itertools import pairwise
 from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame
@@ -72,19 +75,38 @@ def validate_zones(names: list[str]) -> None:
 
 
 def dst_transitions(start: datetime, end: datetime, zone: str) -> list[datetime]:
-    """UTC instants in (start, end] where the zone's offset changes, to the second."""
-    tz, found, at = ZoneInfo(zone), [], start
-    offset = lambda t: t.astimezone(tz).utcoffset()
-    while at < end:
-        step = min(at + timedelta(hours=1), end)
-        if offset(at) != offset(step):
-            lo, hi = at, step
-            while hi - lo > timedelta(seconds=1):
-                mid = lo + timedelta(seconds=int((hi - lo).total_seconds() // 2))
-                lo, hi = (mid, hi) if offset(mid) == offset(lo) else (lo, mid)
-            found.append(hi)
-        at = step
-    return found
+    """UTC instants in (start, end] where the zone's offset changes, to the second.
+
+    No zone changes twice between two midnights of UTC, so the days whose ends differ are searched.
+    """
+    tz, first, last = ZoneInfo(zone), math.floor(start.timestamp()), math.ceil(end.timestamp())
+    offset = lambda second: datetime.fromtimestamp(second, tz).utcoffset()
+    days = [first, *range((first // 86400 + 1) * 86400, last, 86400), last]
+    turned = [(a, b) for a, b in pairwise(days) if offset(a) != offset(b)]
+    at = [a + 1 + bisect_left(range(a + 1, b + 1), True, key=lambda s, a=a: offset(s) != offset(a)) for a, b in turned]
+    return [datetime.fromtimestamp(s, UTC) for s in at if start.timestamp() < s <= end.timestamp()]
+
+
+def offset_refusals(rows: DataFrame, stamp: str, keys: list[str]) -> DataFrame:
+    """Refusal rows for tags of which some stamps state an offset and some don't."""
+    aware = F.col(stamp).rlike(r"(Z|z|[+-]\d{2}:?\d{2})\s*$")
+    mixed = rows.where(F.col(stamp).isNotNull()).groupBy(*keys).agg(F.count_if(aware).alias("aware"), F.count_if(~aware).alias("naive")).where("aware > 0 and naive > 0")
+    cause = F.format_string("%d stamps state an offset and %d don't", "aware", "naive")
+    return mixed.select(F.lit("parse").alias("step"), F.concat_ws(":", *keys).alias("tags"), F.lit("SchemaError").alias("error_type"), cause.alias("cause"))
+
+
+def unread_refusals(rows: DataFrame, text: str, stamp: str, keys: list[str]) -> DataFrame:
+    """Refusal rows that name the first text, in stored order, which no format reads, and how many there are."""
+    bad = rows.where(F.col(text).isNotNull() & F.col(stamp).isNull())
+    found = bad.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min_by(text, "row_ix").alias("first"))
+    return found.select(F.lit("parse").alias("step"), F.concat_ws(":", *keys).alias("tags"), F.lit("SchemaError").alias("error_type"), F.format_string("%d stamps can't be read, first %s", "n", "first").alias("cause"))
+
+
+def require_utc(rows: DataFrame, stamp: str = "ts") -> None:
+    """A column of instants; naive stamps and other types are refused."""
+    kind = dict(rows.dtypes).get(stamp)
+    if kind != "timestamp":
+        raise SchemaError(f"{stamp} must hold instants, not {kind or 'be missing'}")
 
 
 def localise(rows: DataFrame, local: str, zone: str, keys: list[str], order: str = "row_ix", out: str = "ts") -> tuple[DataFrame, DataFrame]:

@@ -110,3 +110,55 @@ def test_isolation(spark):
     df = spark.createDataFrame([tuple(map(float, r)) for r in x[:20]] + [(None, 1.0, 1.0)], "a double, b double, c double")
     got = isolation.score_rows(df, ["a", "b", "c"], m).collect()
     assert sum(r["score"] is None for r in got) == 1
+
+
+def test_offset_changes_to_the_second():
+    from sensorloom.functions import timebase
+
+    at = timebase.dst_transitions(datetime(2024, 1, 1, tzinfo=UTC), datetime(2025, 1, 1, tzinfo=UTC), "Europe/Berlin")
+    assert at == [datetime(2024, 3, 31, 1, tzinfo=UTC), datetime(2024, 10, 27, 1, tzinfo=UTC)]
+    assert timebase.dst_transitions(at[0], at[1], "Europe/Berlin") == at[1:] and timebase.dst_transitions(at[0] , at[0], "UTC") == []
+    assert len(timebase.dst_transitions(datetime(2024, 4, 1, tzinfo=UTC), datetime(2024, 4, 30, tzinfo=UTC), "Australia/Lord_Howe")) == 1
+
+
+def test_archive_checks(spark, tmp_path):
+    from sensorloom.contract import TagMeta
+    from sensorloom.errors import SchemaError
+    from sensorloom.sources import archives
+
+    assert archives.safe_filename('a/b:c*"') == "a_b_c__" and archives.safe_filename("..") == "_"
+    metas = {p: TagMeta("s", p, p) for p in ("a/b", "a:b", "ok")}
+    assert archives.check_targets("/x", ["ok"], metas) == {"ok": "/x/s/ok.parquet"}
+    for points, there in ((["a/b", "a:b"], False), (["nope"], False), (["ok"], True)):
+        with pytest.raises(SchemaError):
+            archives.check_targets("/x", points, metas, lambda path, there=there: there)
+    (tmp_path / "x.parquet").write_text("no parquet")
+    with pytest.raises(SchemaError):
+        archives.read_schema(spark, str(tmp_path / "x.parquet"))
+    one = str(tmp_path / "one")
+    spark.createDataFrame([(datetime(2024, 1, 1 + i, tzinfo=UTC), float(i), "GOOD") for i in range(3)], "timestamp timestamp, value double, quality string").coalesce(1).write.parquet(one)
+    tag = archives.SingleTag(spark, one, metas["ok"])
+    assert [r["value"] for r in tag.window(datetime(2024, 1, 2, tzinfo=UTC), datetime(2024, 1, 3, tzinfo=UTC)).orderBy("row_ix").collect()] == [1.0, 2.0]
+
+
+def test_ingest_checks_before_it_writes(spark, tmp_path):
+    from sensorloom.contract import TagMeta
+    from sensorloom.errors import SchemaError
+    from sensorloom.sources import archives
+
+    def rows(cells):
+        return spark.createDataFrame([("s", p, i, t, v, q) for i, (p, t, v, q) in enumerate(cells)], "source_id string, point_id string, row_ix long, stamp string, raw string, quality string")
+
+    stamp, metas = F.try_to_timestamp("stamp"), [TagMeta("s", "a", "A"), TagMeta("s", "b", "B")]
+    good = [("b", "2024-01-01 00:00:00", "1", "GOOD"), ("a", "2024-01-01 00:00:00", "2", "good"), ("b", "2024-01-02 00:00:00", "3", "7")]
+    store = archives.ingest(spark, rows(good), str(tmp_path / "good"), metas, stamp)
+    assert store.samples().count() == 3 and store.extent().count() == 2
+    codes = {r["point_id"]: r["codes"] for r in archives.quality_code_template(store.samples()).collect()}
+    assert codes == {"a": {"good": "GOOD"}, "b": {"GOOD": "GOOD", "7": None}}
+    for k, (cells, assumed) in enumerate([(good + [("c", "2024-01-01 00:00:00", "1", None)], None), (good, "GOOD"), (good + [("b", "2023-01-01 00:00:00", "1", "GOOD")], None), ([("a", "x", "1", "GOOD")], None), ([("a", "2024-01-01 00:00:00", "run", "GOOD")], None)]):
+        with pytest.raises(SchemaError):
+            archives.ingest(spark, rows(cells), str(tmp_path / f"bad{k}"), metas, stamp, assumed)
+        assert not (tmp_path / f"bad{k}").exists()
+    mixed = rows(good).select(stamp.alias("ts"), "point_id", "row_ix", "quality")
+    assert archives.interleaved(rows([(p, f"2024-01-0{d} 00:00:00", "1", "GOOD") for d in (1, 2, 3) for p in "ab"]).withColumn("ts", stamp), ["quality", "point_id"]) == "point_id"
+    assert archives.interleaved(mixed, ["quality"]) is None
