@@ -75,6 +75,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    with lent():  # what the driver collected before may be gone by now
+        pass
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

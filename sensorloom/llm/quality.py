@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fold
+from .common import bounded, fold, lent
 from .wordhash import windows
 
 MAX_ROWS = 3000
@@ -228,6 +228,8 @@ def scorer(spark, model: Model):
     """A column function from text to score, the model broadcast (twice ``MAX_FEATURES`` weights at most)."""
     bounded(spark)
     shared = spark.sparkContext.broadcast(model)
+    with lent():  # the sample and its matrix are gone
+        pass
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
