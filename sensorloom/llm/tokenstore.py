@@ -46,7 +46,7 @@ from .common import bounded, drop_path, lent, prefix_sums, shared_path, stage
 END = 2
 SPAN, MASK_BITS, LEAST, MOST = 8, 9, 128, 4096
 #: Bytes of remembered pieces, and of one generation of cores, and of one entry besides its strings.
-MAX_PIECES, MAX_CORES, ENTRY = 16 << 20, 48 << 20, 110
+MAX_PIECES, MAX_CORES, ENTRY = 24 << 20, 64 << 20, 110
 #: Ids that are cut into chunks together.
 TOGETHER = 100_000
 #: Ids in one run of leaves, and runs in one group, of the Merkle tree.
