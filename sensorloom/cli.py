@@ -21,6 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("store")
     run.add_argument("plan")
     run.add_argument("--html", help="also write a static report here")
+    run.add_argument("--out", help="also write whole result tables below this folder")
     args = parser.parse_args(argv)
     spark = local_session()
     store = Store(spark, args.store)
@@ -30,7 +31,7 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         with open(args.plan, encoding="utf-8") as f:
             results, refusals = runner.execute(store.samples(), runner.load_plan(f.read()))
-        book = runner.ledger(args.plan, results, refusals)
+        book = runner.ledger(args.plan, results, refusals, args.out)
         print(documents.document("run", book))
         if args.html:
             with open(args.html, "w", encoding="utf-8") as f:

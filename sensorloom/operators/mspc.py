@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,17 +71,37 @@ def _vector(points: list[str]) -> Column:
     return F.array(*(F.col(f"`{p}`") for p in points))
 
 
+#: Up to so many tags the sums of products are plain aggregates; beyond, each task multiplies its own rows.
+MOST_EXPRESSIONS = 24
+
+
 def gram(rows: DataFrame, points: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """n, means and covariances (n - 1): one aggregate of sums of products, map-side combined."""
+    """n, means and covariances (n - 1), in two passes: means, then sums of products about them."""
     p = len(points)
     if p > MAX_TAGS:
         raise AlignmentRefusal(f"{p} tags; a model takes {MAX_TAGS} at most")
     cols = [F.col(f"`{x}`") for x in points]
-    stats = rows.agg(F.count(F.lit(1)), *(F.avg(c) for c in cols), *(F.covar_samp(cols[i], cols[j]) for i in range(p) for j in range(i + 1))).first()
-    n, mean = stats[0], np.array(stats[1 : p + 1], float)
+    if p <= MOST_EXPRESSIONS:
+        stats = rows.agg(F.count(F.lit(1)), *(F.avg(c) for c in cols), *(F.covar_samp(cols[i], cols[j]) for i in range(p) for j in range(i + 1))).first()
+        n, mean = stats[0], np.array(stats[1 : p + 1], float)
+        cov = np.zeros((p, p))
+        cov[np.tril_indices(p)] = np.array(stats[p + 1 :], float)
+        return n, mean, cov + np.tril(cov, -1).T
+    first = rows.agg(F.count(F.lit(1)), *(F.avg(c) for c in cols)).first()
+    n, mean = first[0], np.array(first[1:], float)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((p, p))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - mean
+            total += x.T @ x
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(p), pa.int32()), "row": pa.array(list(total), pa.list_(pa.float64()))})
+
+    parts = rows.select(*(c.cast("double").alias(f"c{k}") for k, c in enumerate(cols))).mapInArrow(products, "i int, row array<double>")
+    sums = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
     cov = np.zeros((p, p))
-    cov[np.tril_indices(p)] = np.array(stats[p + 1 :], float)
-    return n, mean, cov + np.tril(cov, -1).T
+    cov[sums["i"].to_numpy(), sums["j"].to_numpy()] = sums["v"].to_numpy()
+    return n, mean, cov / (n - 1) if n > 1 else cov * np.nan
 
 
 def fit(train: DataFrame, points: list[str], variance: float = 0.95, quantile: float = 0.99) -> Pca:

@@ -61,12 +61,13 @@ def execute(samples: DataFrame, plan: Plan) -> tuple[dict[str, DataFrame], DataF
     if plan.baseline:
         base = physics.window(rows, *plan.baseline).where("valid").where(F.col("ts") != F.lit(plan.window[0]))
         usable, none = baselines.split(baselines.mad_baseline(base), baselines.LEAST_ROWS, "baseline")
-        refused.append(none)
+        refused += [none, baselines.missing_refusals(window.where("valid"), baselines.mad_baseline(base), step="baseline")]
     valid = window.where("valid")
     for step in plan.steps:
         if step == "profile":
             results[step] = profile(window)
         elif step == "segment":
+            refused.append(segments.refusals(valid, plan.options.get("min_size", 10)))
             results[step] = segments.segment_table(valid, plan.options.get("penalty"), plan.options.get("min_size", 10))
         elif step == "screen":
             results[step] = baselines.screen(valid, usable, plan.options.get("k", 3.0)).where("flagged")
@@ -80,18 +81,25 @@ def execute(samples: DataFrame, plan: Plan) -> tuple[dict[str, DataFrame], DataF
     return results, out
 
 
-def ledger(title: str, results: dict[str, DataFrame], refusals: DataFrame) -> dict:
-    """A document of the run, from at most a thousand rows per step."""
-    body = {"title": title, "findings": {}, "dropped": {}}
+def ledger(title: str, results: dict[str, DataFrame], refusals: DataFrame, out: str | None = None) -> dict:
+    """A document of the run: at most a thousand rows per step, how many more there are, and where all are.
+
+    With ``out``, every result is written there whole, as Parquet, and the document is read from it.
+    """
+    body = {"title": title, "findings": {}, "dropped": {}, "tables": {}}
     for name, df in results.items():
+        if out:
+            body["tables"][name] = f"{out.rstrip('/')}/{name}"
+            df.write.parquet(body["tables"][name])
+            df = df.sparkSession.read.parquet(body["tables"][name])
         body["findings"][name], body["dropped"][name] = documents.rows_of(df)
     body["refusals"] = documents.rows_of(refusals)[0]
     return body
 
 
-def run(samples: DataFrame, plan_text: str, title: str = "run") -> str:
+def run(samples: DataFrame, plan_text: str, title: str = "run", out: str | None = None) -> str:
     """The ledger as JSON, or a refusal document."""
     try:
-        return documents.document("run", ledger(title, *execute(samples, load_plan(plan_text))))
+        return documents.document("run", ledger(title, *execute(samples, load_plan(plan_text)), out))
     except Refusal as refusal:
         return documents.refusal_document(refusal)

@@ -214,3 +214,10 @@ def test_exact_rejection_by_hand():
     want = np.mean([(effect >= e - 1e-9).mean() <= 0.05 for e in effect])
     assert switchback.exact_rejection(n, s, q, 1.0) == pytest.approx(want)
     assert switchback.exact_rejection(n, s, q, 1.0, 0.2) == pytest.approx(np.mean([(effect >= e - 1e-9).mean() <= 0.2 for e in effect]))
+
+
+def test_gram_of_many_tags(spark):
+    x = np.random.default_rng(4).normal(5, 2, (90, mspc.MOST_EXPRESSIONS + 3))
+    points = [f"p.{i}" for i in range(x.shape[1])]
+    n, mean, cov = mspc.gram(spark.createDataFrame(x.tolist(), ", ".join(f"`{p}` double" for p in points)), points)
+    assert n == 90 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T))
