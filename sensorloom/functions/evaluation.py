@@ -14,16 +14,36 @@ from pyspark.sql.window import Window
 EPSILONS = tuple(round(0.1 * i, 1) for i in range(1, 10))
 
 
+#: Ranges that a running count over all rows is cut into.
+RANGES = 200
+
+
+def running_count(rows: DataFrame, by: str, value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over rows whose ``by`` is at or above a row's own.
+
+    Rows fall into ranges of ``by`` at its rough quantiles, ``RANGES`` of them at most; each range
+    is summed in a window of its own, on top of the totals of the ranges above it.
+    """
+    marks = sorted(set(rows.stat.approxQuantile(by, [i / RANGES for i in range(1, RANGES)], 0.002)))
+    place = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m <= F.col(by))) if marks else F.lit(0)
+    rows = rows.withColumn("_range", place)
+    totals = rows.groupBy("_range").agg(F.sum(value).alias("_t"))
+    above = F.sum("_t").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1))  # one row per range
+    base = totals.select("_range", F.coalesce(above, F.lit(0)).alias("_base"))
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(F.desc(by)))
+    return rows.join(F.broadcast(base), "_range").withColumn(out, inside + F.col("_base")).drop("_range", "_base")
+
+
 def conformal_offline(calibration: DataFrame, stream: DataFrame, score: str = "score", order: str = "idx") -> DataFrame:
     """Adds p: (calibration scores at or above, plus one) over (their number plus one).
 
-    Both tables meet in one sorted window per range of scores instead of a join of all pairs:
+    Both tables meet in sorted windows over ranges of scores instead of a join of all pairs:
     counts at or above come from a running count over the union of the distinct scores.
     """
     both = calibration.groupBy(score).agg(F.count(F.lit(1)).alias("k")).withColumn("asked", F.lit(False))
     asks = stream.select(score).distinct().select(score, F.lit(0).cast("long").alias("k"), F.lit(True).alias("asked"))
-    above = both.unionByName(asks).groupBy(score).agg(F.sum("k").alias("k"), F.max("asked").alias("asked"))
-    above = above.withColumn("above", F.sum("k").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0))).where("asked")
+    scores = both.unionByName(asks).groupBy(score).agg(F.sum("k").alias("k"), F.max("asked").alias("asked"))
+    above = running_count(scores, score, "k", "above").where("asked")
     n = calibration.agg(F.count(F.lit(1)).alias("n"))
     return stream.join(above.select(score, "above"), score).crossJoin(F.broadcast(n)).withColumn("p", (F.col("above") + 1) / (F.col("n") + 1)).drop("above", "n")
 

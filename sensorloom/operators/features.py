@@ -106,6 +106,15 @@ def rate_mismatch(annotated: DataFrame, rate_s: Column) -> DataFrame:
     return intervals(annotated).groupBy(*TAG).agg(med.alias("median_dt"), (~med.between(F.max(rate_s) / 2, F.max(rate_s) * 2)).alias("mismatch"))
 
 
+def thin(rows: DataFrame, start, step_s: float) -> DataFrame:
+    """What a plot needs: per tag and step from ``start`` the lowest and the highest value, each with its first stamp, and n."""
+    at = F.floor(seconds(F.col("ts"), F.lit(start)) / step_s)
+    stamp = F.unix_micros("ts")
+    low, high = F.min(F.struct(F.col("value").alias("v"), stamp.alias("t"))), F.max(F.struct(F.col("value").alias("v"), (-stamp).alias("t")))
+    out = rows.where("value is not null").groupBy(*TAG, at.alias("step")).agg(F.count(F.lit(1)).alias("n"), low.alias("l"), high.alias("h"))
+    return out.select(*TAG, "step", "n", F.col("l.v").alias("low"), F.timestamp_micros("l.t").alias("low_at"), F.col("h.v").alias("high"), F.timestamp_micros(-F.col("h.t")).alias("high_at"))
+
+
 def state_counts(states: DataFrame, state: str = "state") -> DataFrame:
     return states.groupBy(*TAG, state).agg(F.count(F.lit(1)).alias("n"))
 

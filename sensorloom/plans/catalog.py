@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import evaluation, provenance, splits, units
 from ..functions.quality import annotate
-from ..operators import baselines, compare, features, flatline, mspc, physics, segments, switchback
+from ..operators import baselines, compare, features, flatline, isolation, mspc, physics, segments, switchback
 from ..sources import events
 
 TAG = physics.TAG
@@ -516,7 +516,11 @@ def q_row_hash(spark, sf):
     return _samples(spark, sf).select("point_id", "row_ix", provenance.row_hash(F.col("ts"), F.col("value"), F.col("quality")).alias("hash"))
 
 
-@query()
+_LANES = ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::VARCHAR" for i in range(8))
+
+
+@query(f"""SELECT source_id, point_id, count(*) AS n, sha256(concat_ws('|', count(*)::VARCHAR, {_LANES})) AS fingerprint
+FROM (SELECT *, sha256(epoch_us(ts)::VARCHAR || chr(10) || round(value * 1e9)::HUGEINT::VARCHAR || chr(10) || coalesce(quality, 'null')) AS h FROM s) GROUP BY ALL""")
 def q_fingerprint(spark, sf):
     return provenance.fingerprint(_samples(spark, sf), TAG)
 
@@ -617,6 +621,20 @@ def q_compare(spark, sf):
     return _round(got, "shift").select(*TAG, told.alias("verdict"), "shift", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f""", {_V} SELECT source_id, point_id, floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 / 21600)::BIGINT AS step, count(*) AS n, min(value) AS low, first({_US} ORDER BY value, ts) AS low_us, max(value) AS high, first({_US} ORDER BY value DESC, ts) AS high_us FROM v GROUP BY ALL""")
+def q_thin(spark, sf):
+    got = features.thin(_valid(spark, sf), datetime(2024, 1, 1, tzinfo=UTC), 21600)
+    return got.select(*TAG, "step", "n", "low", F.unix_micros("low_at").alias("low_us"), "high", F.unix_micros("high_at").alias("high_us"))
+
+
+@query()
+def q_isolation(spark, sf):
+    """Anomaly scores of every tag's days."""
+    days = _valid(spark, sf).groupBy(*TAG, F.to_date("ts").alias("day")).agg(*(f("value").alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))))
+    columns = ["mean", "std", "min", "max"]
+    return _round(isolation.score_rows(days, columns, isolation.fit(days, columns)), "score").select(*TAG, F.col("day").cast("string").alias("day"), "score")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Per tag: severities, coverage, gaps, clipping and means, in one table."""
     s = _samples(spark, sf)
