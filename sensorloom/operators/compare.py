@@ -140,18 +140,21 @@ def differences(rows: DataFrame, points: list[str]) -> DataFrame:
 
 
 def ranks(rows: DataFrame, points: list[str]) -> DataFrame:
-    """Average-tie ranks of each column."""
-    for p in points:
-        w = Window.orderBy(F.col(f"`{p}`"))
-        tied = Window.partitionBy(F.col(f"`{p}`"))
-        rows = rows.withColumn(f"_r_{p}", F.rank().over(w) + (F.count(F.lit(1)).over(tied) - 1) / 2)
-    return rows.select("ts", *(F.col(f"`_r_{p}`").alias(p) for p in points))
+    """Average-tie ranks of each column; the columns are ranked side by side, each in its own window."""
+    long = rows.select("ts", *(F.col(f"`{p}`").cast("double").alias(p) for p in points)).unpivot(["ts"], points, "point_id", "value")
+    place = F.rank().over(Window.partitionBy("point_id").orderBy("value")) + (F.count(F.lit(1)).over(Window.partitionBy("point_id", "value")) - 1) / 2
+    return long.withColumn("value", place).groupBy("ts").pivot("point_id", points).agg(F.first("value"))
 
 
 def correlations(rows: DataFrame, points: list[str]) -> DataFrame:
-    """a, b, corr for every unordered pair; null where a column is flat. One aggregate over all pairs."""
+    """a, b, corr for every unordered pair; null where a column is flat. One aggregate over all pairs, or products in each task."""
     points = sorted(points)
     pairs = [(a, b) for i, a in enumerate(points) for b in points[i + 1 :]]
+    if len(points) > mspc.MOST_EXPRESSIONS:
+        _, _, cov = mspc.gram(rows, points)
+        sd, at = np.sqrt(np.diag(cov)), {p: i for i, p in enumerate(points)}
+        corr = lambda a, b: float(cov[at[a], at[b]] / (sd[at[a]] * sd[at[b]])) if sd[at[a]] > 0 and sd[at[b]] > 0 else None
+        return rows.sparkSession.createDataFrame([(a, b, corr(a, b)) for a, b in pairs], "a string, b string, corr double")
     got = rows.agg(*(F.when((F.stddev_samp(f"`{a}`") > 0) & (F.stddev_samp(f"`{b}`") > 0), F.corr(f"`{a}`", f"`{b}`")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)))
     return got.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,7 +125,9 @@ def fit(train: DataFrame, points: list[str], variance: float = 0.95, quantile: f
 
 
 def score(rows: DataFrame, model: Pca) -> DataFrame:
-    """Adds t2, spe and resid (array by point), with array functions only."""
+    """Adds t2, spe and resid (array by point): array functions, or a matrix product by batch for many tags."""
+    if len(model.points) > MOST_EXPRESSIONS:
+        return _score_many(rows, model)
     z = F.array(*((F.col(f"`{p}`") - float(m)) / float(s) for p, m, s in zip(model.points, model.mean, model.scale, strict=True)))
     out = rows.withColumn("_z", z)
     dot = lambda row: sum((F.get("_z", F.lit(j)) * float(x) for j, x in enumerate(row)), F.lit(0.0))
@@ -136,6 +139,22 @@ def score(rows: DataFrame, model: Pca) -> DataFrame:
     return out.withColumn("t2", t2).withColumn("spe", spe).drop("_z", "_t")
 
 
+def _score_many(rows: DataFrame, model: Pca) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # MAX_TAGS squared numbers at most, 32 MB
+
+    @F.pandas_udf("t2 double, spe double, resid array<double>")
+    def run(values: pd.Series) -> pd.DataFrame:
+        m = shared.value
+        z = (np.stack(values.to_list()) - m.mean) / m.scale
+        t = z @ m.loadings.T
+        resid = z - t @ m.loadings
+        return pd.DataFrame({"t2": (t**2 / np.maximum(m.variances, 1e-12)).sum(1), "spe": (resid**2).sum(1), "resid": list(resid)})
+
+    whole = F.array(*(F.col(f"`{p}`").cast("double") for p in model.points))
+    out = rows.withColumn("_m", run(whole))
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), F.col("_m.t2").alias("t2"), F.col("_m.spe").alias("spe"), F.col("_m.resid").alias("resid"))
+
+
 def detect(rows: DataFrame, model: Pca, top: int = 3) -> DataFrame:
     """ts, t2, spe, t2_breach, spe_breach (strictly above the limits) and the points that contribute most."""
     weight = np.abs(model.loadings).sum(0)

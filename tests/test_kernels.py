@@ -221,3 +221,14 @@ def test_gram_of_many_tags(spark):
     points = [f"p.{i}" for i in range(x.shape[1])]
     n, mean, cov = mspc.gram(spark.createDataFrame(x.tolist(), ", ".join(f"`{p}` double" for p in points)), points)
     assert n == 90 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T))
+    rows = spark.createDataFrame(x.tolist(), ", ".join(f"`{p}` double" for p in points))
+    got = {(r["a"], r["b"]): r["corr"] for r in compare.correlations(rows, points).collect()}
+    assert got["p.0", "p.1"] == pytest.approx(np.corrcoef(x.T)[0, 1]) and len(got) == len(points) * (len(points) - 1) // 2
+    model = mspc.fit(rows, points, 0.8)
+    many = mspc.score(rows, model).agg(F.sum("t2"), F.sum("spe")).first()
+    old, mspc.MOST_EXPRESSIONS = mspc.MOST_EXPRESSIONS, 100
+    try:
+        few = mspc.score(rows, model).agg(F.sum("t2"), F.sum("spe")).first()
+    finally:
+        mspc.MOST_EXPRESSIONS = old
+    assert tuple(many) == pytest.approx(tuple(few))
