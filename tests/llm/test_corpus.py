@@ -650,3 +650,21 @@ def test_vector_recall(spark):
         data = [(i, [float(v) for v in r]) for i, r in enumerate(np.concatenate([x, z]))]
         got = {r["vec_id"]: r["n_links"] for r in vectors.report(spark.createDataFrame(data, f"vec_id long, embedding array<{kind}>")).collect()}
         assert sum(got[1500 + i] >= 1 for i in range(500)) >= 499
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], DOCS)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([], "item_id string, text string")
+    made = [quality.report(docs, labels), neardup.report(docs), toxicity.report(docs, labels), substrings.report(docs), decontaminate.report(docs, items)]
+    assert [m.count() for m in made] == [0] * 5
+
+
+def test_columns_with_names_of_ours(spark):
+    """A user's columns pass through, whatever they are called."""
+    rows = [(1, "a b c d e f g h i j k", 7, 8, 9), (2, "a b c d e f g h i j k", 5, 6, 7), (3, "other words", 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid int, maybe int, leak int")
+    assert sorted(map(tuple, neardup.keep(df).collect())) == [rows[0], rows[2]]
+    items = spark.createDataFrame([("i", "a b c d e f g h i j")], "item_id string, text string")
+    assert [tuple(r) for r in decontaminate.clean(df, items).collect()] == [rows[2]]
+    assert [tuple(r) for r in decontaminate.clean(df, items, max_windows=1).collect()] == [rows[2]]
