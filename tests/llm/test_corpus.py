@@ -468,6 +468,22 @@ def test_rare_insult_beside_many_candidates(spark):
     assert model.score("such grumpf here") > model.score("such words here")
 
 
+def test_weights_where_most_toxic_rows_hold_no_sign():
+    """A fifth of the toxic rows hold an insult, the others nothing: the fit settles, also far from where it starts."""
+    x, y = np.zeros((195, 9)), (np.arange(195) < 67).astype(int)
+    x[:12, 0] = 0.8
+    w, bias = toxicity.fit_weights(x, y)
+    z = x @ w + bias
+    assert abs(bias) < 5 and z[0] > 0 > z[-1]
+    share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    grad = lambda w, prior, ridge: np.column_stack([x, np.ones(195)]).T @ (share * (1 / (1 + np.exp(-z)) - y)) + ridge * (w - prior)
+    for start in (0.0, -20.0):
+        prior = np.append(toxicity.PRIOR, start)
+        w = toxicity._logistic(x, y, prior, 1.0)
+        z = x @ w[:-1] + w[-1]
+        assert abs(grad(w, prior, 1.0)).max() < 1e-5
+
+
 # --- 6 near-duplicates
 
 
