@@ -74,7 +74,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     with lent():  # what the driver collected before may be gone by now
         pass
     out = spark.read.schema(df.schema).parquet(path)
@@ -82,6 +83,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries run in here drop their own shuffle files as they end, not when the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def drop_stage(staged: DataFrame) -> None:
     """Removes a staged table that nothing reads any more."""
     drop_path(staged.sparkSession, staged._staged_at)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorloom.llm import decontaminate, gbt, html, lmscore, mixing, neardup, quality, queries, substrings, tokenstore, toxicity, vectors
-from sensorloom.llm.common import components, key_mark, prefix_sums, word_count
+from sensorloom.llm.common import components, key_mark, prefix_sums, stage, word_count
 from sensorloom.llm.pages import training_pages
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,6 +59,18 @@ def rows():
 # --- shared helpers
 
 
+def test_staged_tables_leave_no_shuffle_files(spark):
+    """Shuffle files of what is written down go at once, not when the driver happens to collect its garbage."""
+    held = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")))
+    before = held()
+    made = [stage(spark.range(1000).repartition(3, "id"), "dealt") for _ in range(2)]
+    until = time.monotonic() + 20
+    while held() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not held() - before
+    assert [m.count() for m in made] == [1000, 1000]
+
+
 def test_word_count(spark):
     texts = [None, "", " ", "a", " a  b\x0b", "a b c", "\x1ca"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(word_count(F.col("t")).alias("n"))
