@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import os
 import shutil
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -80,7 +78,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     with lent():  # what the driver collected before may be gone by now
         pass
-    swept(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -103,23 +100,6 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
-#: Seconds between two sweeps at least.
-SWEEP = 2.0
-_last_sweep = -SWEEP
-
-
-def swept(spark: SparkSession) -> None:
-    """Has the driver's JVM collect its garbage, at most every ``SWEEP`` seconds.
-
-    Generated code of finished plans and a heap that has grown go back; its own collections come late.
-    """
-    global _last_sweep
-    if time.monotonic() - _last_sweep >= SWEEP:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        _last_sweep = time.monotonic()
-
-
 def drop_stage(staged: DataFrame) -> None:
     """Removes a staged table that nothing reads any more."""
     drop_path(staged.sparkSession, staged._staged_at)
