@@ -17,8 +17,9 @@ stretches of different documents give equal chunks. ``verify`` reads the files b
 every chunk and recipe anew and compares them with the digests and the Merkle root.
 
 Ids come from the tokenizers library. Its result for a text is the concatenation of its results
-for the pieces between spaces and line ends, so pieces are put together from parts that
-are encoded once per worker and remembered (``MAX_PIECES`` and twice ``MAX_CORES`` bytes at most).
+for the pieces between spaces and line ends, so pieces are put together from parts that are
+encoded once per worker and remembered (twice ``MAX_CORES`` bytes and the parts of ``AT_ONCE``
+pieces at most).
 
 Defined cases: a null or empty text is a stream of the end id alone; rows of equal doc_id follow
 each other in the order of their texts' hashes; an empty table gives an empty store; other
@@ -30,14 +31,17 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import string
 import zlib
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from sys import getsizeof
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +49,10 @@ from .common import bounded, drop_path, lent, prefix_sums, shared_path, stage
 
 END = 2
 SPAN, MASK_BITS, LEAST, MOST = 8, 9, 128, 4096
-#: Bytes of remembered pieces, and of one generation of cores, and of one entry besides its strings.
-MAX_PIECES, MAX_CORES, ENTRY = 24 << 20, 64 << 20, 110
+#: Bytes of one generation of cores, and of one entry besides its strings.
+MAX_CORES, ENTRY = 64 << 20, 110
+#: Pieces that are looked up together, and words that are encoded as one text.
+AT_ONCE, GROUP = 1_000_000, 128
 #: Ids that are cut into chunks together.
 TOGETHER = 100_000
 #: Ids in one run of leaves, and runs in one group, of the Merkle tree.
@@ -58,68 +64,93 @@ _rng = np.random.default_rng(7)
 _GEAR = _rng.integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
-class _Pieces(dict):
+class _Pieces:
     """Ids of pieces between spaces, as bytes.
 
     A piece is put together from its core and the signs behind it, so that a word is encoded once
     whether a comma follows or not. Cores are remembered in two generations: when one is full,
-    the one before is forgotten.
+    the one before is forgotten. Words of letters alone are encoded many at a time: each ends in
+    the one id that ends a word, which is counted.
     """
 
     def __init__(self, tokenizer, width: str):
-        super().__init__()
         self.tokenizer, self.width = tokenizer, width
         self.code = {"<u2": "H", "<u4": "I"}[width]
         self.cores: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.size = self.size_cores = 0
-        probe = "Ab,"
-        self.parted = self._ids(probe) == self._ids("ab") + self._ids(",")
+        self.size = 0
+        self.parted = all(self._ids(f"Ab{c}") == self._ids("ab") + self._ids(c) for c in SIGNS)
+        suffix, known = getattr(tokenizer.model, "end_of_word_suffix", None), tokenizer.get_vocab()
+        self.last = np.zeros(max(known.values(), default=0) + 1, bool)
+        if suffix:
+            self.last[[i for token, i in known.items() if token.endswith(suffix)]] = True
 
     def _ids(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _core(self, core: str) -> bytes:
-        found = self.cores.get(core)
-        if found is None:
-            if self.size_cores >= MAX_CORES:
-                self.before, self.cores, self.size_cores = self.cores, {}, 0
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words, encoded as one text if each is one piece to the vocabulary's rules."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.width)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return [self._ids(w) for w in words]
+        raw, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def _remember(self, core: str, ids: bytes) -> None:
+        self.cores[core] = ids
+        self.size += ENTRY + getsizeof(core) + len(ids)
+
+    def many(self, cores: list[str]) -> list[bytes]:
+        """The ids of each core."""
+        if self.size >= MAX_CORES:
+            self.before, self.cores, self.size = self.cores, {}, 0
+        known, words = self.cores, []
+        for core in [c for c in cores if c not in known]:
             found = self.before.get(core)
-            if found is None:
-                found = self._ids(core)
-            self.cores[core] = found
-            self.size_cores += ENTRY + getsizeof(core) + len(found)
-        return found
-
-    def clear(self) -> None:
-        super().clear()
-        self.size = 0
-
-    def __missing__(self, piece: str) -> bytes:
-        if self.size >= MAX_PIECES:
-            self.clear()
-        core, after = parted(piece) if self.parted else (piece, "")
-        found = self._core(core) + self._core(after) if after else self._core(core)
-        self[piece] = found
-        self.size += ENTRY + getsizeof(piece) + len(found)
-        return found
+            if found is None and core and LAST.issuperset(core):
+                words.append(core)
+            else:
+                self._remember(core, self._ids(core) if found is None else found)
+        for k in range(0, len(words), GROUP):
+            some = words[k : k + GROUP]
+            for core, ids in zip(some, self._together(some), strict=True):
+                self._remember(core, ids)
+        return [known[c] for c in cores]
 
 
 #: Latin letters whose lower case is one letter; the classes of rarer signs may differ from one library to another.
 LAST = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1)
+#: ASCII signs; the one that begins a special token is not among them.
+SIGNS = string.punctuation.replace("<", "")
+_IS_LAST, _IS_SIGN = np.isin(np.arange(0x800), list(map(ord, LAST))), np.isin(np.arange(0x100), list(map(ord, SIGNS)))
 
 
-def parted(piece: str) -> tuple[str, str]:
-    """Core and the signs behind it, which the vocabulary's own rules always tell apart from a letter; ASCII cores in lower case.
+def parts(pieces: pa.LargeStringArray) -> pa.LargeStringArray:
+    """Core of each piece and the signs behind it in turn, which the vocabulary's own rules always tell apart from a letter; ASCII cores in lower case.
 
     Pieces that may hold a special token stay whole.
     """
-    if "<" in piece:
-        return piece, ""
-    core = piece.rstrip(".,;:!?")
-    if core[-1:] not in LAST or not core:
-        core = piece
-    return core.lower() if core.isascii() else core, piece[len(core) :]
+    places = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1]
+    data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[: places[-1]]
+    starts, ends = places[:-1], places[1:]
+    signless = np.append(0, np.maximum.accumulate(np.where(_IS_SIGN[data], 0, np.arange(1, len(data) + 1))))
+    cut = signless[ends]
+    padded = np.append(np.zeros(2, np.uint8), data).astype(np.int16)
+    last, prior = padded[cut + 1], padded[cut]
+    letter = np.where(last < 0x80, last, np.where(prior >> 5 == 6, (prior & 31) << 6 | last & 63, 0))  # of one or two bytes
+    split = (cut > starts) & _IS_LAST[letter]
+    split[np.searchsorted(ends, np.flatnonzero(data == ord("<")), "right")] = False
+    both = np.zeros(2 * len(pieces) + 1, np.int64)
+    both[1::2], both[2::2] = np.where(split, cut, ends), ends
+    out = pa.LargeStringArray.from_buffers(2 * len(pieces), pa.py_buffer(both), pa.py_buffer(data))
+    plain = pc.and_not(pc.string_is_ascii(out), pc.match_substring(out, "<"))
+    return pc.if_else(plain, pc.ascii_lower(out), out)
+
+
+def parted(piece: str) -> tuple[str, str]:
+    """Core of one piece and the signs behind it."""
+    return tuple(parts(pa.array([piece], pa.large_string())).to_pylist())
 
 
 _LOADED: dict[tuple[str, str], _Pieces] = {}
@@ -136,8 +167,38 @@ def _pieces(path: str, width: str) -> _Pieces:
 
 def encode(text: str | None, pieces: _Pieces, end: int = END) -> np.ndarray:
     """The ids of a text and the end id."""
-    got = b"".join(map(pieces.__getitem__, (text or "").replace("\n", " ").split(" ")))
-    return np.append(np.frombuffer(got, pieces.width), np.array(end, pieces.width))
+    return encode_all([text], pieces, end)[0]
+
+
+def encode_all(texts: Iterable[str | None], pieces: _Pieces, end: int = END) -> list[np.ndarray]:
+    """The ids of each text and the end id.
+
+    Pieces are told apart in the texts' bytes, and each run of ``AT_ONCE`` pieces is looked up once per distinct piece.
+    """
+    rows = pa.array([f"{t or ''} " for t in texts], pa.large_string())
+    if not len(rows):
+        return []
+    stops = np.frombuffer(rows.buffers()[1], np.int64)[1 : len(rows) + 1]
+    data = np.frombuffer(rows.buffers()[2], np.uint8)[: stops[-1]]
+    apart = (data == ord(" ")) | (data == ord("\n"))
+    at = np.flatnonzero(apart)
+    places = np.append(0, at - np.arange(len(at)))
+    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(places), pa.py_buffer(data[~apart]))
+    flat, sizes = [], [np.zeros(1, np.int64)]
+    for k in range(0, len(words), AT_ONCE):
+        run = words.slice(k, AT_ONCE).dictionary_encode()
+        each = (parts(run.dictionary) if pieces.parted else run.dictionary).dictionary_encode()
+        got = pa.array(pieces.many(each.dictionary.to_pylist()), pa.large_binary()).take(each.indices)
+        if pieces.parted:  # core and signs are one piece again
+            both = np.frombuffer(got.buffers()[1], np.int64)[: len(got) + 1 : 2].copy()
+            got = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(both) - 1, [None, pa.py_buffer(both), got.buffers()[2]])
+        got = got.take(run.indices)
+        ends = np.frombuffer(got.buffers()[1], np.int64)[: len(got) + 1]
+        flat.append(np.frombuffer(got.buffers()[2] or b"", np.uint8)[: ends[-1]].view(pieces.width))
+        sizes.append(np.diff(ends))
+    ids = np.concatenate(flat)
+    ends = np.cumsum(np.concatenate(sizes))[np.searchsorted(at, stops)] // ids.itemsize
+    return np.split(np.insert(ids, ends, end), (ends + np.arange(1, len(ends) + 1))[:-1])
 
 
 def marks(ids: np.ndarray) -> np.ndarray:
@@ -192,12 +253,12 @@ def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
     @F.pandas_udf("n_tokens long, digests array<binary>, lengths array<int>, fresh array<binary>")
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces, sent = _pieces(tokenizer, width), set()
-        with lent(pieces):
+        with lent():
             for texts in batches:
                 rows, streams, size = [], [], 0
-                for t in texts:
-                    streams.append(encode(t, pieces, end))
-                    size += len(streams[-1])
+                for ids in encode_all(texts, pieces, end):
+                    streams.append(ids)
+                    size += len(ids)
                     if size > TOGETHER:
                         rows += packed(streams, sent)
                         streams, size = [], 0

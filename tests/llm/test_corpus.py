@@ -154,6 +154,50 @@ def test_tokenizer_parts_at_every_letter():
     assert ids([f"a{x}b" for x in ascii_letters]) == ids([f"a{x}b".lower() for x in ascii_letters])
 
 
+class _Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode(self, text, **more):
+        self.texts += 1
+        return self.tokenizer.encode(text, **more)
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_new_words_are_encoded_together():
+    """2,000 words not seen before, with signs behind most, take few calls of the library and give its ids."""
+    tok = tokenstore._pieces(queries.vocabulary(), "<u2").tokenizer
+    pieces = tokenstore._Pieces(_Counted(tok), "<u2")
+    rng, before = random.Random(5), pieces.tokenizer.texts
+    words = ["".join(rng.choices("abcdefgéü", k=9)) + s for s in ("", ",", "***", ".$$$", "'") for _ in range(400)]
+    texts = [" ".join(words), None, "", " \n", " ".join(words[::-1]) + "\n\n", "<|x ABC<|ENDOFTEXT|> ***", "^ a^"]
+    got = [tokenstore.encode(t, pieces) for t in texts]
+    assert [g.tolist() for g in got] == [tok.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert pieces.tokenizer.texts - before < 100
+
+
+def test_runs_of_pieces_and_forgotten_words(monkeypatch):
+    monkeypatch.setattr(tokenstore, "AT_ONCE", 7)
+    monkeypatch.setattr(tokenstore, "MAX_CORES", 2000)
+    monkeypatch.setattr(tokenstore, "GROUP", 3)
+    tok = tokenstore._pieces(queries.vocabulary(), "<u2").tokenizer
+    pieces = tokenstore._Pieces(tok, "<u2")
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("aZéŉ日ß.,'!_9 \n\té́İ<", k=rng.randrange(60))) for _ in range(200)]
+    for _ in range(2):
+        got = tokenstore.encode_all(texts, pieces)
+        assert [g.tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert pieces.before and tokenstore.encode_all([], pieces) == []
+
+
 def test_empty_store(spark):
     store = tokenstore.write(spark.createDataFrame([], DOCS), queries.vocabulary())
     assert tokenstore.read_back(spark, store).count() == 0 and tokenstore.manifest(spark, store)["ids"] == 0
