@@ -36,7 +36,7 @@ import zlib
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from sys import getsizeof
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,8 +49,8 @@ from .common import bounded, drop_path, lent, prefix_sums, shared_path, stage
 
 END = 2
 SPAN, MASK_BITS, LEAST, MOST = 8, 9, 128, 4096
-#: Bytes of one generation of cores, and of one entry besides its strings.
-MAX_CORES, ENTRY = 64 << 20, 110
+#: Bytes of one generation of cores and their ids: some 400,000.
+MAX_CORES = 12 << 20
 #: Pieces that are looked up together, and words that are encoded as one text.
 AT_ONCE, GROUP = 1_000_000, 128
 #: Ids that are cut into chunks together.
@@ -64,21 +64,24 @@ _rng = np.random.default_rng(7)
 _GEAR = _rng.integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
+NO_CORES, NO_IDS = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+
 class _Pieces:
     """Ids of pieces between spaces, as bytes.
 
     A piece is put together from its core and the signs behind it, so that a word is encoded once
     whether a comma follows or not. Cores are remembered in two generations: when one is full,
-    the one before is forgotten. Words of letters alone are encoded many at a time: each ends in
-    the one id that ends a word, which is counted.
+    the one before is forgotten. A generation is two Arrow arrays, cores and their ids, not a dict
+    of Python objects. Words of letters alone are encoded many at a time: each ends in the one id
+    that ends a word, which is counted.
     """
 
     def __init__(self, tokenizer, width: str):
         self.tokenizer, self.width = tokenizer, width
         self.code = {"<u2": "H", "<u4": "I"}[width]
-        self.cores: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.size = 0
+        self.cores, self.ids = NO_CORES, NO_IDS
+        self.before: tuple[pa.LargeStringArray, pa.LargeBinaryArray] | None = None
         self.parted = all(self._ids(f"Ab{c}") == self._ids("ab") + self._ids(c) for c in SIGNS)
         suffix, known = getattr(tokenizer.model, "end_of_word_suffix", None), tokenizer.get_vocab()
         self.last = np.zeros(max(known.values(), default=0) + 1, bool)
@@ -97,26 +100,27 @@ class _Pieces:
         raw, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
         return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
-    def _remember(self, core: str, ids: bytes) -> None:
-        self.cores[core] = ids
-        self.size += ENTRY + getsizeof(core) + len(ids)
-
-    def many(self, cores: list[str]) -> list[bytes]:
-        """The ids of each core."""
-        if self.size >= MAX_CORES:
-            self.before, self.cores, self.size = self.cores, {}, 0
-        known, words = self.cores, []
-        for core in [c for c in cores if c not in known]:
-            found = self.before.get(core)
-            if found is None and core and LAST.issuperset(core):
-                words.append(core)
-            else:
-                self._remember(core, self._ids(core) if found is None else found)
-        for k in range(0, len(words), GROUP):
-            some = words[k : k + GROUP]
-            for core, ids in zip(some, self._together(some), strict=True):
-                self._remember(core, ids)
-        return [known[c] for c in cores]
+    def _new(self, cores: list[str]) -> list[bytes]:
+        plain = [c != "" and LAST.issuperset(c) for c in cores]
+        words = [c for c, p in zip(cores, plain, strict=True) if p]
+        found = chain.from_iterable(self._together(words[k : k + GROUP]) for k in range(0, len(words), GROUP))
+        return [next(found) if p else self._ids(c) for c, p in zip(cores, plain, strict=True)]
+
+    def _remember(self, cores: pa.LargeStringArray, ids: pa.LargeBinaryArray) -> None:
+        self.cores, self.ids = pa.concat_arrays([self.cores, cores]), pa.concat_arrays([self.ids, ids])
+
+    def many(self, cores: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The ids of each core; no two are equal."""
+        if self.cores.nbytes + self.ids.nbytes >= MAX_CORES:
+            self.before, self.cores, self.ids = (self.cores, self.ids), NO_CORES, NO_IDS
+        new = cores.filter(pc.invert(pc.is_in(cores, value_set=self.cores)))
+        if self.before:
+            known, ids = self.before
+            at = pc.index_in(new, value_set=known)
+            self._remember(new.filter(at.is_valid()), ids.take(at.drop_null()))
+            new = new.filter(at.is_null())
+        self._remember(new, pa.array(self._new(new.to_pylist()), pa.large_binary()))
+        return self.ids.take(pc.index_in(cores, value_set=self.cores))
 
 
 #: Latin letters whose lower case is one letter; the classes of rarer signs may differ from one library to another.
@@ -188,7 +192,7 @@ def encode_all(texts: Iterable[str | None], pieces: _Pieces, end: int = END) ->
     for k in range(0, len(words), AT_ONCE):
         run = words.slice(k, AT_ONCE).dictionary_encode()
         each = (parts(run.dictionary) if pieces.parted else run.dictionary).dictionary_encode()
-        got = pa.array(pieces.many(each.dictionary.to_pylist()), pa.large_binary()).take(each.indices)
+        got = pieces.many(each.dictionary).take(each.indices)
         if pieces.parted:  # core and signs are one piece again
             both = np.frombuffer(got.buffers()[1], np.int64)[: len(got) + 1 : 2].copy()
             got = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(both) - 1, [None, pa.py_buffer(both), got.buffers()[2]])

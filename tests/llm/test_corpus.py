@@ -1,14 +1,17 @@
 """The corpus operators against plain definitions on small fixtures."""
 
+import gc
 import hashlib
 import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +201,28 @@ def test_runs_of_pieces_and_forgotten_words(monkeypatch):
     assert pieces.before and tokenstore.encode_all([], pieces) == []
 
 
+def test_remembered_words_take_little_memory():
+    """What 40,000 words leave behind in a worker, inside and outside Python, is some of their own bytes and not Python objects each."""
+    tok = tokenstore._pieces(queries.vocabulary(), "<u2").tokenizer
+    pieces, rng = tokenstore._Pieces(tok, "<u2"), random.Random(8)
+    text = " ".join({"".join(rng.choices("abcdefghij", k=9)) for _ in range(40_000)})
+    gc.collect()
+    arrow, told = pa.total_allocated_bytes(), tracemalloc.is_tracing()
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    ids = tokenstore.encode(text, pieces).tolist()
+    expected = tok.encode(text, add_special_tokens=False).ids + [2]
+    same = ids == expected
+    del ids, expected
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] - before + pa.total_allocated_bytes() - arrow
+    if not told:
+        tracemalloc.stop()
+    assert same and len(pieces.cores) > 39_000
+    assert held < 80 * len(pieces.cores)
+    assert tokenstore.encode(text, pieces).tolist() == tok.encode(text, add_special_tokens=False).ids + [2]
+
+
 def test_empty_store(spark):
     store = tokenstore.write(spark.createDataFrame([], DOCS), queries.vocabulary())
     assert tokenstore.read_back(spark, store).count() == 0 and tokenstore.manifest(spark, store)["ids"] == 0
