@@ -266,8 +266,8 @@ def q_flag_runs(spark, sf):
 
 
 def _regimes(spark, sf) -> DataFrame:
-    """Every tag's values with the mode of its source at the same stamp."""
-    modes = _modes(spark, sf).select("source_id", F.col("of").alias("point_id"), "ts", "state")
+    """Every tag's values with the mode of its source at the same stamp; a stamp seen more than once has one mode."""
+    modes = _modes(spark, sf).select("source_id", F.col("of").alias("point_id"), "ts", "state").distinct()
     return _valid(spark, sf).join(modes.withColumnRenamed("state", "regime"), [*TAG, "ts"])
 
 
