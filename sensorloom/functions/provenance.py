@@ -24,12 +24,20 @@ def fingerprint(samples: DataFrame, keys: list[str]) -> DataFrame:
     return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *(lane(i) for i in range(8))).cast("binary"), 256).alias("fingerprint"))
 
 
-def diff_frames(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, ts, change: removed, added or changed, by a full outer join on key and stamp."""
-    side = lambda df, n: df.select(*keys, "ts", row_hash(F.col("ts"), F.col("value"), F.col("quality")).alias(n))
-    both = side(before, "b").join(side(after, "a"), [*keys, "ts"], "full")
-    change = F.when(F.col("a").isNull(), "removed").when(F.col("b").isNull(), "added").when(F.col("a") != F.col("b"), "changed")
-    return both.select(*keys, "ts", change.alias("change")).where("change is not null")
+def diff_frames(before: DataFrame, after: DataFrame, keys: list[str], row: tuple[str, ...] = ()) -> DataFrame:
+    """keys, ts, change: removed, added or changed, one row for each row that differs.
+
+    Rows meet by key and stamp, and by ``row`` where they have names of their own. Where several meet,
+    equal rows cancel one for one; as many of the rest as both sides have are changed.
+    """
+    at = [*keys, *row, "ts"]
+    side = lambda df, n: df.select(*at, row_hash(F.col("ts"), F.col("value"), F.col("quality")).alias("_h"), F.lit(n).cast("long").alias("_n"))
+    left = side(before, 1).unionByName(side(after, -1)).groupBy(*at, "_h").agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    rest = lambda n: F.sum(F.greatest(n, F.lit(0).cast("long")))
+    both = left.groupBy(*at).agg(rest(F.col("_n")).alias("_b"), rest(-F.col("_n")).alias("_a")).withColumn("_c", F.least("_b", "_a"))
+    kind = lambda name, n: F.array_repeat(F.lit(name), n.cast("int"))
+    each = F.concat(kind("changed", F.col("_c")), kind("removed", F.col("_b") - F.col("_c")), kind("added", F.col("_a") - F.col("_c")))
+    return both.select(*keys, "ts", F.explode(each).alias("change"))
 
 
 def env_fingerprint() -> dict:

@@ -532,7 +532,7 @@ def q_replay_diff(spark, sf):
     k = F.col("row_ix") % 100
     after = s.where(k != 0).withColumn("value", F.when(k == 1, F.col("value") + 1).otherwise(F.col("value")))
     after = after.unionByName(s.where(k == 2).withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + 1)))
-    d = provenance.diff_frames(s, after, TAG)
+    d = provenance.diff_frames(s, after, TAG, ("row_ix",))
     return d.select(*TAG, F.unix_micros("ts").alias("us"), "change")
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from test_catalog import SF, _plain
 
+from sensorloom.functions import provenance
 from sensorloom.operators import baselines
 from sensorloom.plans import catalog
 
@@ -37,3 +38,17 @@ def test_modes_at_repeated_stamps(spark):
     values = spark.createDataFrame([("s", "p", 0, t, 1.0), ("s", "p", 1, t, 2.0)], "source_id string, point_id string, row_ix long, ts timestamp, value double")
     modes = spark.createDataFrame([("s", t, "A"), ("s", t, "A")], "source_id string, ts timestamp, state string")
     assert sorted((r["row_ix"], r["regime"]) for r in baselines.aligned_modes(values, modes).collect()) == [(0, "A"), (1, "A")]
+
+
+def test_replay_diff_at_repeated_stamps(spark, thrice):
+    _same(spark, thrice, "q_replay_diff")
+
+
+def test_diff_of_repeated_stamps(spark):
+    t = datetime(2024, 1, 1, tzinfo=UTC)
+    rows = lambda *v: spark.createDataFrame([("s", at, x, "GOOD") for at, x in v], "k string, ts timestamp, value double, quality string")
+    diff = lambda a, b: sorted(r["change"] for r in provenance.diff_frames(rows(*a), rows(*b), ["k"]).collect())
+    assert diff([(t, 1.0)] * 3, [(t, 1.0)] * 3) == []
+    assert diff([(t, 1.0), (t, 1.0), (t, 2.0)], [(t, 1.0), (t, 3.0)]) == ["changed", "removed"]
+    assert diff([(t, 1.0)], [(t, 2.0), (t, 1.0), (t, 1.0)]) == ["added", "added"]
+    assert diff([(None, 1.0)], [(None, 1.0)]) == []
