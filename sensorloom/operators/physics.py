@@ -20,6 +20,70 @@ def by_row():
     return Window.partitionBy(*TAG).orderBy("row_ix")
 
 
+#: Stored rows of one block are numbered within a power of two of row_ix; a tag's blocks are dealt out one by one.
+BLOCK_BITS = 16
+#: Tables of one row per tag that are met by broadcast, a few tens of MB; longer ones are met by shuffle.
+MAX_TAGS = 100_000
+
+
+def few(rows: DataFrame, keys: list[str] = TAG) -> bool:
+    """Whether ``rows`` have at most ``MAX_TAGS`` keys."""
+    return rows.select(*keys).distinct().limit(MAX_TAGS + 1).count() <= MAX_TAGS
+
+
+def beside(per_tag: DataFrame, is_few: bool) -> DataFrame:
+    """A table of one row per tag, to be met by all rows without dealing them by tag where tags are few."""
+    return F.broadcast(per_tag) if is_few else per_tag
+
+
+def neighbour(rows: DataFrame, column: str, out: str, ahead: bool = False) -> DataFrame:
+    """Adds ``out``: ``column`` of the row before in a tag's stored order, or after with ``ahead``.
+
+    Blocks of row_ix are sorted one by one; a block's first row gets the last one of the tag's block before.
+    Stored numbers that lie far apart give small blocks, and the same answer.
+    """
+    rows = rows.withColumn("_block", F.shiftright(F.col("row_ix").cast("long"), BLOCK_BITS))
+    keys = [*TAG, "_block"]
+    within = Window.partitionBy(*keys).orderBy("row_ix")
+    step, edge = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
+    ends = rows.groupBy(*keys).agg(edge(F.col(column), F.col("row_ix")).alias("_edge"))
+    ends = ends.select(*keys, step("_edge").over(Window.partitionBy(*TAG).orderBy("_block")).alias("_edge"))
+    near = step(F.struct(F.col(column).alias("x"))).over(within)
+    found = rows.withColumn("_near", near).join(ends, keys, "left")
+    return found.select(*(c for c in rows.columns if c != "_block" and c != out), F.when(F.col("_near").isNull(), F.col("_edge")).otherwise(F.col("_near.x")).alias(out))
+
+
+def median(rows: DataFrame, value: str, keys: list[str] = TAG, out: str = "median", is_few: bool | None = None) -> DataFrame:
+    """keys, out: the exact median of the values that aren't null; null for a key without any.
+
+    Values are counted in narrow ranges of their logarithm; only those in the ranges that hold a key's
+    middle ranks are counted one by one. No task holds all values of a key.
+    """
+    is_few = few(rows, keys) if is_few is None else is_few
+    v = F.col("_v")
+    part = (F.floor(F.log(F.abs(v)) * LOG_PARTS) + 1000 * LOG_PARTS).cast("long")  # above 0, and rising with abs(v)
+    part = F.when(v == 0, F.lit(0)).when(F.isnan(v), F.lit(1 << 62)).when(F.abs(v) == float("inf"), F.signum(v).cast("long") * (1 << 61)).when(v > 0, part).when(v < 0, -part)
+    rows = rows.select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_part", part)
+    upto = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.groupBy(*keys, "_part").agg(F.count("_v").alias("_k"))
+    sizes = sizes.withColumns({"_to": F.sum("_k").over(upto), "_n": F.sum("_k").over(Window.partitionBy(*keys))})
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    # a key without values keeps its one row of the part null
+    middle = sizes.where(((F.col("_to") > low) & (F.col("_to") - F.col("_k") <= high) & (F.col("_k") > 0)) | (F.col("_n") == 0))
+    middle = middle.select(*keys, "_part", (F.col("_to") - F.col("_k")).alias("_base"), "_n")
+    same = lambda a, b, names: [a[k].eqNullSafe(b[f"_m{k}"]) for k in names]
+    named = beside(middle.select(*(F.col(k).alias(f"_m{k}") for k in [*keys, "_part"]), "_base", "_n"), is_few)
+    met = rows.join(named, same(rows, named, [*keys, "_part"]))
+    each = met.groupBy(*keys, "_part", "_v").agg(F.count("_v").alias("_k"), F.first("_base").alias("_base"), F.first("_n").alias("_n"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("_to", F.col("_base") + F.sum("_k").over(inside))
+    at = lambda rank: F.min(F.when(F.col("_to") > rank, v))
+    a, b = at(low), at(high)
+    return each.groupBy(*keys).agg(F.when(a == b, a).otherwise(0.5 * a + 0.5 * b).alias(out))
+
+
+#: Ranges of a median's values for each factor of e.
+LOG_PARTS = 1 << 14
 LOST = ("comm_outage", "scan_off", "unknown")
 NO_MEDIAN_S = 3600.0
 
@@ -36,14 +100,15 @@ def window(samples: DataFrame, start: datetime, end: datetime) -> DataFrame:
 
 def intervals(samples: DataFrame) -> DataFrame:
     """Adds dt: seconds since the row before, over all rows whatever their severity."""
-    return samples.withColumn("dt", seconds(F.col("ts"), F.lag("ts").over(by_row())))
+    return neighbour(samples, "ts", "_prev").withColumn("dt", seconds(F.col("ts"), F.col("_prev"))).drop("_prev")
 
 
-def thresholds(samples: DataFrame) -> DataFrame:
+def thresholds(samples: DataFrame, is_few: bool | None = None) -> DataFrame:
     """tag, median_dt, threshold: max(2.5 medians, 60 s); 3600 s where the median is null or 0."""
-    med = F.median("dt")
+    med = F.col("median_dt")
     rule = F.when(med.isNull() | (med == 0), NO_MEDIAN_S).otherwise(F.greatest(2.5 * med, F.lit(60.0)))
-    return intervals(samples).groupBy(*TAG).agg(med.alias("median_dt"), rule.alias("threshold"))
+    is_few = few(samples) if is_few is None else is_few
+    return median(intervals(samples), "dt", out="median_dt", is_few=is_few).withColumn("threshold", rule)
 
 
 def classify(duration: Column, interior: Column, median: Column, rate: Column, stepped: Column, off: Column | None = None, peers: Column | None = None) -> Column:
@@ -78,7 +143,7 @@ def shared_holes(found: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 1").select(*keys)
 
 
-def gaps(samples: DataFrame, tags: DataFrame | None = None, bounds: DataFrame | None = None, stepped: bool = False, rate_s: float | None = None, off: DataFrame | None = None, peers: bool = False) -> DataFrame:
+def gaps(samples: DataFrame, tags: DataFrame | None = None, bounds: DataFrame | None = None, stepped: bool = False, rate_s: float | None = None, off: DataFrame | None = None, peers: bool = False, is_few: bool | None = None) -> DataFrame:
     """One row per gap: tag, start, end, duration_s, interior, class.
 
     bounds: tag, start, end of the window; adds the gaps at its edges, and one over the whole
@@ -87,8 +152,9 @@ def gaps(samples: DataFrame, tags: DataFrame | None = None, bounds: DataFrame |
     gap of another tag of its source is an outage of both.
     """
     dt = intervals(samples)
-    limit = dt.groupBy(*TAG).agg(F.median("dt").alias("median_dt")).withColumn("threshold", F.when(F.col("median_dt").isNull() | (F.col("median_dt") == 0), NO_MEDIAN_S).otherwise(F.greatest(2.5 * F.col("median_dt"), F.lit(60.0))))
-    inner = dt.join(limit, TAG).where("dt > threshold")
+    is_few = few(samples) if is_few is None else is_few
+    limit = thresholds(samples, is_few)
+    inner = dt.join(beside(limit, is_few), TAG).where("dt > threshold")
     found = inner.select(*TAG, F.timestamp_micros(F.unix_micros("ts") - F.round(F.col("dt") * 1e6).cast("long")).alias("start"), F.col("ts").alias("end"), F.col("dt").alias("duration_s"), F.lit(True).alias("interior"), "median_dt")
     if bounds is not None:
         ends = samples.groupBy(*TAG).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
@@ -121,10 +187,10 @@ def coverage(found: DataFrame, bounds: DataFrame) -> DataFrame:
     return bounds.join(total, TAG, "left").select(*TAG, F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"), "longest_gap_s", share.alias("coverage"))
 
 
-def edge_slack(samples: DataFrame, bounds: DataFrame) -> DataFrame:
+def edge_slack(samples: DataFrame, bounds: DataFrame, is_few: bool | None = None) -> DataFrame:
     """tag, edge_slack_start, edge_slack_end: seconds at the edges too short to be gaps, else null."""
     ends = samples.groupBy(*TAG).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    both = bounds.join(ends, TAG).join(thresholds(samples), TAG)
+    both = bounds.join(ends, TAG).join(thresholds(samples, is_few), TAG)
     head, tail = seconds(F.col("first"), F.col("start")), seconds(F.col("end"), F.col("last"))
     return both.select(*TAG, F.when(head <= F.col("threshold"), head).alias("edge_slack_start"), F.when(tail <= F.col("threshold"), tail).alias("edge_slack_end"))
 
@@ -156,7 +222,7 @@ def clipping(samples: DataFrame, zero: Column, span: Column) -> DataFrame:
 
 def stamp_audit(samples: DataFrame) -> DataFrame:
     """tag, n, n_backwards, n_duplicate_stamps (distinct stamps seen more than once)."""
-    back = samples.withColumn("back", F.col("ts") < F.lag("ts").over(by_row()))
+    back = neighbour(samples, "ts", "_prev").withColumn("back", F.col("ts") < F.col("_prev"))
     turns = back.groupBy(*TAG).agg(F.count(F.lit(1)).alias("n"), F.count_if("back").alias("n_backwards"))
     twice = samples.groupBy(*TAG, "ts").count().where("count > 1").groupBy(*TAG).agg(F.count(F.lit(1)).alias("n_duplicate_stamps"))
     return turns.join(twice, TAG, "left").na.fill(0, ["n_duplicate_stamps"])
@@ -171,8 +237,8 @@ def monotonic_refusals(samples: DataFrame, step: str = "read") -> DataFrame:
 def time_weighted_mean(annotated: DataFrame, end: Column | None = None) -> DataFrame:
     """tag, tw_mean: a GOOD value holds until the next one, the last until ``end``; null where no time passes."""
     good = annotated.where((F.col("severity") == "GOOD") & F.col("value").isNotNull())
-    after = F.coalesce(F.lead("ts").over(by_row()), end if end is not None else F.col("ts"))
-    w = good.withColumn("w", F.greatest(F.lit(0.0), seconds(after, F.col("ts"))))
+    after = F.coalesce(F.col("_next"), end if end is not None else F.col("ts"))
+    w = neighbour(good, "ts", "_next", ahead=True).withColumn("w", F.greatest(F.lit(0.0), seconds(after, F.col("ts"))))
     total = F.sum("w")
     return w.groupBy(*TAG).agg(F.when(total > 0, F.sum(F.col("value") * F.col("w")) / total).alias("tw_mean"))
 
@@ -193,13 +259,15 @@ def read_window(samples: DataFrame, bounds: DataFrame, tags: DataFrame | None =
     from ..functions.quality import FLOAT32_MAX, annotate
 
     known = [c for c in ("sample_rate_s", "eng_zero", "eng_span", "quality_codes") if tags is not None and c in tags.columns]
-    rows = samples.join(bounds.select(*TAG, F.col("start").alias("_w0"), F.col("end").alias("_w1")), TAG).where(F.col("ts").between(F.col("_w0"), F.col("_w1"))).drop("_w0", "_w1")
+    is_few = few(bounds)
+    rows = samples.join(beside(bounds.select(*TAG, F.col("start").alias("_w0"), F.col("end").alias("_w1")), is_few), TAG).where(F.col("ts").between(F.col("_w0"), F.col("_w1"))).drop("_w0", "_w1")
     if known:
-        rows = rows.join(tags.select(*TAG, *known), TAG, "left")
+        own = tags.select(*TAG, *known).join(bounds.select(*TAG), TAG, "left_semi")
+        rows = rows.join(beside(own, is_few), TAG, "left")
     raw = rows
     rows = annotate(rows, "quality_codes" if "quality_codes" in known else None, least)
     zero, span = (F.col(c) if c in known else F.lit(None).cast("double") for c in ("eng_zero", "eng_span"))
-    found = gaps(samples=raw, tags=tags if "sample_rate_s" in known else None, bounds=bounds, stepped=stepped, off=off, peers=peers)
+    found = gaps(samples=raw, tags=tags if "sample_rate_s" in known else None, bounds=bounds, stepped=stepped, off=off, peers=peers, is_few=is_few)
     byte = F.col("q_num").between(0, 255)
     more = rows.groupBy(*TAG).agg(
         F.sort_array(F.collect_set(F.when(F.col("unmapped"), F.coalesce("quality", F.lit("<null>"))))).alias("unmapped_codes"),
@@ -208,6 +276,6 @@ def read_window(samples: DataFrame, bounds: DataFrame, tags: DataFrame | None =
     )
     listed = found.groupBy(*TAG).agg(F.sort_array(F.collect_list(F.struct("start", "end", "duration_s", "interior", "class"))).alias("gaps"))
     out = coverage(found, bounds)
-    for part in (severity_counts(rows), valid_fraction(rows), clipping(raw, zero, span).drop("n"), stamp_audit(raw).drop("n"), edge_slack(raw, bounds), more, listed):
+    for part in (severity_counts(rows), valid_fraction(rows), clipping(raw, zero, span).drop("n"), stamp_audit(raw).drop("n"), edge_slack(raw, bounds, is_few), more, listed):
         out = out.join(part, TAG, "left")
     return rows, out.na.fill(0, ["n", "n_good", "n_uncertain", "n_bad", "n_clipped", "n_backwards", "n_duplicate_stamps", "n_beyond_float32"])

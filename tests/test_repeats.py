@@ -1,13 +1,15 @@
-"""Queries over events whose stamps repeat: the rows of the table three times, with keys of their own."""
+"""Queries over events whose stamps repeat, the rows of the table three times with keys of their own; rows of one tag in many tasks."""
 
+import random
 from datetime import UTC, datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_catalog import SF, _plain
 
 from sensorloom.functions import provenance
-from sensorloom.operators import baselines
+from sensorloom.operators import baselines, physics
 from sensorloom.plans import catalog
 
 
@@ -52,3 +54,59 @@ def test_diff_of_repeated_stamps(spark):
     assert diff([(t, 1.0), (t, 1.0), (t, 2.0)], [(t, 1.0), (t, 3.0)]) == ["changed", "removed"]
     assert diff([(t, 1.0)], [(t, 2.0), (t, 1.0), (t, 1.0)]) == ["added", "added"]
     assert diff([(None, 1.0)], [(None, 1.0)]) == []
+
+
+@pytest.mark.parametrize("name", ["q_read_window", "q_window_features"])
+def test_accounts_of_repeated_rows(spark, thrice, name):
+    _same(spark, thrice, name)
+
+
+TAGGED = "source_id string, point_id string, row_ix long, ts timestamp, value double, quality string"
+
+
+def _numbered(spark, n=300):
+    """Numbers close together, far apart and below zero; one value in ten is null."""
+    draw = random.Random(3)
+    ids = draw.sample([*range(-90, 90), *range(-(10**6), 10**6, 5003), *range(2**60, 2**60 + 200)], n)
+    rows = [("s", f"p{i % 3}", i, datetime.fromtimestamp(draw.randrange(10**6), UTC), draw.choice([None] + [float(x) for x in range(9)]), "GOOD") for i in ids]
+    return spark.createDataFrame(rows, TAGGED)
+
+
+@pytest.mark.parametrize("ahead", [False, True])
+def test_neighbours_over_blocks(spark, ahead):
+    rows = _numbered(spark)
+    plain = rows.withColumn("x", (F.lead if ahead else F.lag)("value").over(physics.by_row()))
+    got = physics.neighbour(rows, "value", "x", ahead)
+    assert got.columns == plain.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+def _largest(spark, df):
+    """Rows of the largest partition, and of all."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        found = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset(key)
+    return max(found), sum(found)
+
+
+def test_rows_of_one_tag_are_dealt_out(spark):
+    t = [datetime.fromtimestamp(i, UTC) for i in range(240)]
+    s = spark.createDataFrame([("s", "p", i << 13, t[i], float(i % 7), "GOOD") for i in range(240)], TAGGED)
+    bounds = spark.createDataFrame([("s", "p", t[0], t[-1])], "source_id string, point_id string, start timestamp, end timestamp")
+    for df in (physics.intervals(s), physics.read_window(s, bounds)[0]):
+        most, n = _largest(spark, df)
+        assert n == 240 and most < n
+
+
+@pytest.mark.parametrize("is_few", [True, False])
+def test_medians(spark, is_few):
+    inf, nan = float("inf"), float("nan")
+    groups = {"a": [1.0, 2.0], "b": [3.0], "c": [None, None], "d": [None, -1.0, -2.0, 5.0], "e": [0.0, -0.0, 1.0, 1.0], "f": [inf, -inf, 1.0, 2.0], "g": [nan, 1.0, 2.0], "h": [-1e300, 1e-300, 5e-324], "i": [0.1, 0.3], "j": [1.0, inf]}
+    draw = random.Random(5)
+    groups |= {"k": [draw.gauss(0, 1) for _ in range(500)], "l": [100 + 1e-9 * draw.random() for _ in range(501)], "m": [float(draw.randrange(4)) for _ in range(400)]}
+    rows = spark.createDataFrame([("s", k, v) for k, x in groups.items() for v in x], "source_id string, point_id string, value double")
+    want = {r["point_id"]: repr(r["m"]) for r in rows.groupBy("point_id").agg(F.median("value").alias("m")).collect()}
+    assert {r["point_id"]: repr(r["median"]) for r in physics.median(rows, "value", is_few=is_few).collect()} == want
